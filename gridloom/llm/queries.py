@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pii, ppm, simhash
+from . import bpe, mixing, pii, ppm, simhash, topk
 from .common import table
 
 
@@ -39,8 +39,17 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op9_topk_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op10_mix_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.choose(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_language_id, op5_simhash_dedup, op7_byte_bpe, op8_pii)}
+    return {f.__name__: f for f in (op4_language_id, op5_simhash_dedup, op7_byte_bpe, op8_pii, op9_topk_threshold, op10_mix_budget)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -39,8 +39,8 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 WIDE_SPACE = regex.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 WIDE_FIRST = np.zeros(256, bool)
 WIDE_FIRST[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
-#: Distinct chunks that a worker remembers.
-MEMORY = 400_000
+#: Distinct chunks in one generation of a worker's memory; it keeps two, and what is used again moves to the younger.
+MEMORY = 600_000
 
 
 def byte_characters() -> list[str]:
@@ -91,29 +91,47 @@ def rank_tokenizer(path: str, pattern: str):
     return t, ranks, names
 
 
-class ChunkEncoder:
-    """Encodes Arrow string columns, each distinct chunk once."""
+class Memory:
+    """Ids of the chunks met so far, in one array."""
 
-    def __init__(self, encode, wide_space_splits: bool):
-        """encode: list of texts -> list of id lists. wide_space_splits: chunks may be cut next to wide white space too."""
-        self.encode, self.splits = encode, wide_space_splits
-        self.forget()
-
-    def forget(self) -> None:
+    def __init__(self):
         self.known: dict[str, int] = {}
         self.ids, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def learn(self, chunks: list[str]) -> None:
-        new = [c for c in chunks if c not in self.known]
-        if not new:
-            return
-        got = self.encode(new)
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for g in got for i in g), np.uint32, int(sizes.sum()))
-        self.ids = np.concatenate([self.ids, flat])
+    def add(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks)), strict=True))
+        self.ids = np.concatenate([self.ids, ids])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
 
+    def get(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = self.starts[code + 1] - self.starts[code]
+        return self.ids[np.repeat(self.starts[code], sizes) + ranges(sizes)], sizes
+
+
+class ChunkEncoder:
+    """Encodes Arrow string columns; the library sees a distinct chunk once while it is remembered."""
+
+    def __init__(self, encode, wide_space_splits: bool):
+        """encode: list of texts -> list of id lists. wide_space_splits: chunks may be cut next to wide white space too."""
+        self.encode, self.splits = encode, wide_space_splits
+        self.young, self.old = Memory(), Memory()
+
+    def codes(self, chunks: list[str]) -> np.ndarray:
+        """Places of distinct chunks in the younger memory, into which they come if need be."""
+        if len(self.young.known) + len(chunks) > MEMORY and self.young.known:
+            self.young, self.old = Memory(), self.young
+        young, old = self.young, self.old
+        missing = [c for c in chunks if c not in young.known]
+        again = [c for c in missing if c in old.known]
+        if again:
+            young.add(again, *old.get(np.fromiter((old.known[c] for c in again), np.int64, len(again))))
+        new = [c for c in missing if c not in young.known] if again else missing
+        if new:
+            got = self.encode(new)
+            sizes = np.fromiter(map(len, got), np.int64, len(got))
+            young.add(new, np.fromiter((i for g in got for i in g), np.uint32, int(sizes.sum())), sizes)
+        return np.fromiter((young.known[c] for c in chunks), np.int64, len(chunks))
+
     def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, one after the other, and the number of ids of each row."""
         data, offsets = text_buffer(texts)
@@ -135,17 +153,13 @@ class ChunkEncoder:
         bounds = np.r_[at, len(data)].astype(np.int64)
         chunks = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
         found = chunks.dictionary_encode()
-        names = found.dictionary.to_pylist()
-        if len(self.known) + len(names) > MEMORY:
-            self.forget()
-        self.learn(names)
-        code = np.fromiter((self.known[c] for c in names), np.int64, len(names))[found.indices.to_numpy()]
-        size = self.starts[code + 1] - self.starts[code]
-        flat = self.ids[np.repeat(self.starts[code], size) + ranges(size)]
+        code = self.codes(found.dictionary.to_pylist())[found.indices.to_numpy()]
+        flat, size = self.young.get(code)
         row = np.searchsorted(offsets, ends, side="left") - 1  # the row in which a chunk ends
         return flat, np.bincount(row, size, n).astype(np.int64)
 
 
+@lru_cache(maxsize=1)
 def byte_encoder(path: str, pattern: str) -> ChunkEncoder:
     from tiktoken import Encoding
 

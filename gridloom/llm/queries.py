@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, pii, ppm, simhash, topk
+from . import bpe, mixing, pii, ppm, simhash, tokenfile, topk
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.round_trip(spark, table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), pattern())
 
@@ -49,7 +53,7 @@ def op10_mix_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_language_id, op5_simhash_dedup, op7_byte_bpe, op8_pii, op9_topk_threshold, op10_mix_budget)}
+    return {f.__name__: f for f in (op4_language_id, op5_simhash_dedup, op6_token_binary, op7_byte_bpe, op8_pii, op9_topk_threshold, op10_mix_budget)}
 
 
 def oracle_sql() -> dict[str, str]:

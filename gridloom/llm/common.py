@@ -109,6 +109,11 @@ def range_bounds(df: DataFrame, key: str, rows: int) -> list[int]:
     return sorted(set(got))
 
 
+def constants(values: list, kind: str) -> Column:
+    """A literal array; one string in the plan, folded once."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+
 def range_bucket(key: Column, bounds: list[int]) -> Column:
     """Number of the range: how many bounds are <= key (binary search); null: 0."""
     if not bounds:
@@ -118,8 +123,7 @@ def range_bucket(key: Column, bounds: list[int]) -> Column:
     top = (1 << 63) - 1
     padded = bounds + [top] * (size - len(bounds))
     n = len(bounds)
-    table = F.from_json(F.lit("[" + ",".join(map(str, padded)) + "]"), "array<bigint>")
-    powers = F.from_json(F.lit("[" + ",".join(str(1 << (steps - 1 - i)) for i in range(steps)) + "]"), "array<int>")
+    table, powers = constants(padded, "bigint"), constants([1 << (steps - 1 - i) for i in range(steps)], "int")
     found = F.aggregate(
         powers,
         F.lit(0),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, mixing, pii, ppm, simhash, tokenfile, topk, urls
+from . import bpe, minhash, mixing, pii, ppm, repeats, simhash, tokenfile, topk, urls
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -61,7 +65,7 @@ def op10_mix_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op3_minhash, op4_language_id, op5_simhash_dedup, op6_token_binary, op7_byte_bpe, op8_pii, op9_topk_threshold, op10_mix_budget)}
+    return {f.__name__: f for f in (op1_url_filter, op2_suffix_array_dedup, op3_minhash, op4_language_id, op5_simhash_dedup, op6_token_binary, op7_byte_bpe, op8_pii, op9_topk_threshold, op10_mix_budget)}
 
 
 def oracle_sql() -> dict[str, str]:

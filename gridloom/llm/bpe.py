@@ -21,6 +21,7 @@ import hashlib
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ WIDE_SPACE = regex.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u
 WIDE_FIRST = np.zeros(256, bool)
 WIDE_FIRST[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 #: Distinct chunks in one generation of a worker's memory; it keeps two, and what is used again moves to the younger.
-MEMORY = 600_000
+MEMORY = 500_000
 
 
 def byte_characters() -> list[str]:
@@ -108,11 +109,16 @@ class Memory:
         return self.ids[np.repeat(self.starts[code], sizes) + ranges(sizes)], sizes
 
 
+def flattened(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes
+
+
 class ChunkEncoder:
     """Encodes Arrow string columns; the library sees a distinct chunk once while it is remembered."""
 
     def __init__(self, encode, wide_space_splits: bool):
-        """encode: list of texts -> list of id lists. wide_space_splits: chunks may be cut next to wide white space too."""
+        """encode: list of texts -> ids of all, one after the other, and the number of each. wide_space_splits: chunks may be cut next to wide white space too."""
         self.encode, self.splits = encode, wide_space_splits
         self.young, self.old = Memory(), Memory()
 
@@ -127,9 +133,7 @@ class ChunkEncoder:
             young.add(again, *old.get(np.fromiter((old.known[c] for c in again), np.int64, len(again))))
         new = [c for c in missing if c not in young.known] if again else missing
         if new:
-            got = self.encode(new)
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            young.add(new, np.fromiter((i for g in got for i in g), np.uint32, int(sizes.sum())), sizes)
+            young.add(new, *self.encode(new))
         return np.fromiter((young.known[c] for c in chunks), np.int64, len(chunks))
 
     def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -166,12 +170,12 @@ def byte_encoder(path: str, pattern: str) -> ChunkEncoder:
     t, ranks, _ = rank_tokenizer(path, pattern)
     rule = Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(texts: list[str]) -> list[list[int]]:
+    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         out = []
         for text, e in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
             ids, exact = e.ids, rule.encode_ordinary(text)
             out.append(ids if ids == exact else exact)
-        return out
+        return flattened(out)
 
     return ChunkEncoder(encode, wide_space_splits=False)
 

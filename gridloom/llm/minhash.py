@@ -153,16 +153,16 @@ def with_next(docs: DataFrame, rows: int = 2048) -> DataFrame:
     here = Window.partitionBy("_range").orderBy(*order)
     after = lambda c: F.lead(c).over(here)
     linked = keyed.withColumns({"next_text": after("text"), "next_print": after("print"), "_last": F.lead(F.lit(False), 1, True).over(here)})
-    inner = linked.where(~F.col("_last")).select("doc_id", "text", "print", "next_text", "next_print")
     # the ranges themselves: at most as many rows as there are bounds
     source = docs.withColumn("_range", range_bucket(F.col("doc_id"), bounds))
     firsts = source.groupBy("_range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("a"), F.col("doc_id").alias("b"), F.col("text").alias("c")))["c"].alias("next_text"))
     every = Window.orderBy("_range")
     chain = source.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
     chain = chain.select(F.lag("_range").over(every).alias("_before"), "_range").withColumn("_before", F.coalesce("_before", F.max("_range").over(Window.partitionBy())))
-    heads = firsts.join(chain, "_range").select(F.col("_before").alias("_range"), "next_text")
-    outer = linked.where("_last").select("_range", "doc_id", "text", "print").join(heads, "_range").select("doc_id", "text", "print", "next_text", packed(F.col("next_text")).alias("next_print"))
-    return inner.unionByName(outer)
+    heads = firsts.join(chain, "_range").select(F.col("_before").alias("_range"), F.col("next_text").alias("_text"), packed(F.col("next_text")).alias("_print"))
+    # rows are dealt and sorted by range already: the few heads come to them
+    pick = lambda far, near: F.when(F.col("_last"), F.col(far)).otherwise(F.col(near)).alias(near)
+    return linked.join(heads, "_range", "left").select("doc_id", "text", "print", pick("_text", "next_text"), pick("_print", "next_print"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

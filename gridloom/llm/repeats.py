@@ -168,21 +168,14 @@ def per_slice(df: DataFrame, work, schema: str) -> DataFrame:
     return df.repartition("slice").sortWithinPartitions("slice").mapInArrow(run, schema)
 
 
-def packed_by(keys: np.ndarray, values: np.ndarray, names: tuple[str, str], kind: str) -> Iterator[pa.RecordBatch]:
-    """One row for each key with its values in one binary."""
-    order = np.argsort(keys, kind="stable")
-    keys, values = keys[order], np.ascontiguousarray(values[order]).astype(kind)
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    width = values.itemsize * (values.shape[1] if values.ndim > 1 else 1)
-    bounds = np.r_[starts, len(keys)] * width
-    data = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(values.tobytes())]).cast(pa.binary())
-    whole = pa.RecordBatch.from_arrays([pa.array(keys[starts]), data], names=[*names])
-    for i in range(0, whole.num_rows, 20_000):
-        yield whole.slice(i, 20_000)
+def in_batches(columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    whole = pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
+    for i in range(0, whole.num_rows, 50_000):
+        yield whole.slice(i, 50_000)
 
 
 def shared_anchors(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-    """(u, h): the hashes of each document that others have too."""
+    """(u, h): each hash of a document that others have too."""
     h = np.concatenate([undelta(r["hashes"]) for r in rows])
     place = [np.frombuffer(r["docs"], "<u2") for r in rows]
     u = np.concatenate([np.frombuffer(r["u"], np.int64)[p] for r, p in zip(rows, place, strict=True)])
@@ -191,13 +184,13 @@ def shared_anchors(rows: list[dict]) -> Iterator[pa.RecordBatch]:
     starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
     many = np.minimum.reduceat(u, starts) != np.maximum.reduceat(u, starts)
     own = np.repeat(many, np.diff(np.r_[starts, len(h)]))
-    yield from packed_by(u[own], h[own], ("u", "h"), "<u8")
+    yield from in_batches({"u": u[own], "h": h[own].astype(np.int64)})
 
 
 def stretches(joined: DataFrame, slices: int, length: int, gram: int) -> DataFrame:
     """Packed rows (slice, u, o, docs, at, strings, bytes): stretches of strings that share an anchor others have too.
 
-    joined: (u, o, z, h), h the list of binaries of hashes.
+    joined: (u, o, z, h), h the list of hashes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +216,8 @@ def stretches(joined: DataFrame, slices: int, length: int, gram: int) -> DataFra
 
         parts, u, o, size = [], [], [], 0
         for b in batches:
-            us, os_, flags = b.column("u").to_pylist(), b.column("o").to_pylist(), b.column("h").to_pylist()
+            us, os_ = b.column("u").to_pylist(), b.column("o").to_pylist()
+            flags, edges = b.column("h").flatten().to_numpy().astype(np.uint64), np.r_[0, np.cumsum(b.column("h").value_lengths().to_numpy())]
             for first, last, data, offsets in inflated(b):
                 starts, at, h = owners(data, np.repeat(offsets[1:], np.diff(offsets)), length, gram)
                 if not len(starts):
@@ -233,8 +227,8 @@ def stretches(joined: DataFrame, slices: int, length: int, gram: int) -> DataFra
                 own = short(h[at[begin]])
                 doc = np.searchsorted(offsets, starts[begin], side="right") - 1
                 # the hashes others have too, of each document: one look-up of (document, hash) pairs
-                known = [np.frombuffer(b"".join(x), "<u8") for x in flags[first:last]]
-                pair = np.concatenate([(k << np.uint64(16)) | np.uint64(i) for i, k in enumerate(known)])
+                whose = np.repeat(np.arange(last - first), np.diff(edges[first : last + 1])).astype(np.uint64)
+                pair = (flags[edges[first] : edges[last]] << np.uint64(16)) | whose
                 hit = np.isin((own << np.uint64(16)) | doc.astype(np.uint64), pair)
                 begin, end, own, doc = begin[hit], end[hit], own[hit], doc[hit]
                 raw = data.tobytes()
@@ -284,7 +278,7 @@ def has_smaller(group: np.ndarray, value: np.ndarray) -> np.ndarray:
 
 
 def later_copies(rows: list[dict], length: int) -> Iterator[pa.RecordBatch]:
-    """(u, spans): (start, end) of the bytes in each document that strings of earlier documents cover."""
+    """(u, span): bytes of a document that strings of earlier documents cover, from the upper half to the lower half."""
     u, o, at, strings, pieces = [], [], [], [], []
     for r in rows:
         place = np.frombuffer(r["docs"], "<u2")
@@ -329,12 +323,13 @@ def later_copies(rows: list[dict], length: int) -> Iterator[pa.RecordBatch]:
         return
     begin = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)])
     end = np.r_[begin[1:], len(doc)] - 1
-    yield from packed_by(u[doc[begin]], np.stack([start[begin], start[end] + length], axis=1), ("u", "spans"), "<u4")
+    yield from in_batches({"u": u[doc[begin]], "span": start[begin] << 32 | start[end] + length})
 
 
-def merged(spans: list[bytes]) -> np.ndarray:
+def merged(spans: list[int]) -> np.ndarray:
     """Maximal runs (start, end) of what some spans cover."""
-    x = np.frombuffer(b"".join(spans), "<u4").reshape(-1, 2).astype(np.int64)
+    x = np.array(spans, np.int64)
+    x = np.stack([x >> 32, x & 0xFFFFFFFF], axis=1)
     x = x[np.argsort(x[:, 0], kind="stable")]
     top = np.maximum.accumulate(x[:, 1])
     new = np.flatnonzero(np.r_[True, x[1:, 0] > top[:-1]])
@@ -363,7 +358,7 @@ def stored(docs: DataFrame, slices: int) -> tuple[DataFrame, str]:
 def spans_of(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, finish=None) -> DataFrame:
     """What ``finish`` makes of (texts, firsts, found): the stored texts, the earliest row of each text and their spans.
 
-    firsts: (sha, first: struct(o, u)); found: (u, spans: list of binaries) for rows that lose something.
+    firsts: (sha, first: struct(o, u)); found: (u, spans: list of longs) for rows that lose something.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -371,11 +366,11 @@ def spans_of(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, finish=Non
     texts, name = stored(docs, slices)
     firsts = texts.groupBy("sha").agg(F.min(F.struct("o", "u")).alias("first"))
     sole = texts.where(F.col("n") >= length).join(firsts.select(F.col("first.u").alias("u")), "u", "left_semi")
-    flags = per_slice(anchor_rows(sole, slices, length, gram), shared_anchors, "u long, h binary")
+    flags = per_slice(anchor_rows(sole, slices, length, gram), shared_anchors, "u long, h long")
     flags = flags.groupBy("u").agg(F.collect_list("h").alias("h"))
     sent = stretches(texts.join(flags, "u"), slices, length, gram)
-    found = per_slice(sent, lambda rows: later_copies(rows, length), "u long, spans binary")
-    found = found.groupBy("u").agg(F.collect_list("spans").alias("spans"))
+    found = per_slice(sent, lambda rows: later_copies(rows, length), "u long, span long")
+    found = found.groupBy("u").agg(F.collect_list("span").alias("spans"))
     out = cut(finish(texts, firsts, found), "repeats")
     spark.sql(f"drop table if exists {name}")
     return out

@@ -106,3 +106,12 @@ def write_binary(rows: DataFrame, name: str, octets: str, folder: str) -> DataFr
             yield pa.RecordBatch.from_pydict({"file": [d[0] for d in done], "size": pa.array([d[1] for d in done], pa.int64())})
 
     return rows.select(F.col(name).cast("string"), octets).mapInArrow(run, "file string, size long")
+
+
+def product_section(category: Column | int, num: Column | int, unit: Column | int, value: Column | int, surface: Column | int = 255, surface_scale: Column | int = -127, surface_value: Column | int = -2147483647) -> Column:
+    """Section 4 with template 4.0: a parameter, a forecast time and one fixed surface."""
+    from ..functions.octets import to_sign_magnitude
+
+    signed = lambda v, size: number(to_sign_magnitude(v if isinstance(v, Column) else F.lit(v), 8 * size), size)
+    none = F.lit(b"\xff\xff\xff\xff\xff\xff")
+    return section(4, F.concat(number(0, 4), number(category, 1), number(num, 1), F.lit(b"\x02\xff\xff\x00\x00\x00"), number(unit, 1), number(value, 4), number(surface, 1), signed(surface_scale, 1), signed(surface_value, 4), none))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, slices, text_buffer
+from .common import arrow_map, ship, slices, text_buffer
 
 UNKNOWN = "und"
 
@@ -132,6 +132,8 @@ class Model:
 def train(samples: dict[str, list[bytes]], order: int = 4) -> Model:
     """A model of the texts of each language."""
     langs = sorted(samples)
+    if not langs:
+        return Model([], order, [], [], [], [], np.zeros(0, np.float32))
     seen: list[list[tuple[np.ndarray, np.ndarray]]] = []  # by length, by language: n-grams and counts
     for k in range(order + 1):
         seen.append([])
@@ -224,7 +226,7 @@ def predict(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for whole in batches:
-            for b in slices(whole, "text", 1 << 20):
+            for b in slices(whole, "text", 1 << 19):
                 texts = b.column("text")
                 bits = np.zeros((b.num_rows, 0))
                 known = np.zeros(b.num_rows, bool)
@@ -242,7 +244,7 @@ def predict(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
                     rate[known] = (least / size)[known]
                 yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(pred, pa.string()), pa.array(score), pa.array(rate)], names=[*names, "lang_pred", "score", "bits_per_byte"])
 
-    return source.mapInArrow(run, f"{fields}, lang_pred string, score double, bits_per_byte double")
+    return arrow_map(source, run, f"{fields}, lang_pred string, score double, bits_per_byte double")
 
 
 def identify(docs: DataFrame, order: int = 4, train_bytes: int = 1_000_000) -> DataFrame:

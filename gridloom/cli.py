@@ -6,6 +6,7 @@ import argparse
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import frames
 from .operators import relations as R
@@ -78,7 +79,7 @@ def run(argv: list[str], spark: SparkSession, out=None) -> None:
             raise SystemExit(f"error: no such index: {a.index}")
         target = a.big_endian or a.little_endian
         if target:
-            flat = sinks.flat_binary(g.values(a.index)["values"], "big" if a.big_endian else "little")
+            flat = sinks.flat_binary(F.col("values"), "big" if a.big_endian else "little")
             with open(target, "wb") as f:
                 f.write(g.values(a.index).select(flat.alias("b")).first()[0])
         else:

@@ -89,8 +89,9 @@ def lookup(code: Column, values: dict) -> Column:
 
 
 def target_time(reference: Column, unit: Column, value: Column) -> Column:
-    """Reference time and a forecast time in a unit of fixed length; null for others."""
-    return F.timestamp_micros(F.unix_micros(reference.cast("timestamp")) + value.cast("long") * lookup(unit, UNIT_SECONDS).cast("long") * 1_000_000)
+    """Reference time and a forecast time in a unit of fixed length; null for others, and beyond what a timestamp holds."""
+    micros = F.try_multiply(value.cast("long"), lookup(unit, UNIT_SECONDS).cast("long") * 1_000_000)
+    return F.timestamp_micros(F.try_add(F.unix_micros(reference.cast("timestamp")), micros))
 
 
 def forecast_text(unit: Column, value: Column) -> Column:

@@ -104,9 +104,8 @@ def group_offset_prefix(spark, sf_dir):
     return g.select("c_nationkey", "c_custkey", (F.sum("bits").over(w) - F.col("bits")).alias("bit_offset"))
 
 
-@query("""with l as (select c_nationkey, list(distinct cast(10 + 6 * (c_custkey % 4) as bigint)) as lens from customer group by 1),
-d as (select c_nationkey, unnest(list_transform(lens, lambda x: x - list_min(lens))) as d from l)
-select c_nationkey, cast(max(case when d = 0 then 0 else 6 end) as bigint) as step from d group by 1""")
+@query("""with l as (select c_nationkey, list(distinct cast(10 + 6 * (c_custkey % 4) as bigint)) as lens from customer group by 1)
+select c_nationkey, cast(list_reduce(list_prepend(0::bigint, list_transform(lens, lambda x: x - list_min(lens))), lambda a, b: gcd(a, b)) as bigint) as step from l""")
 def group_length_gcd(spark, sf_dir):
     lens = F.collect_set(10 + 6 * (F.col("c_custkey") % 4))
     low = F.array_min("lens")

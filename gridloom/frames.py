@@ -22,9 +22,11 @@ from .sources import grib
 class Grib:
     """Relations over files or over a DataFrame (path, content). Nothing is read until an action."""
 
-    def __init__(self, files: DataFrame, mode: str = "FAILFAST", code_table: DataFrame | None = None):
+    def __init__(self, files: DataFrame, mode: str = "FAILFAST", code_table: DataFrame | None = None, decoders: dict | None = None, grids: dict | None = None):
+        """decoders, grids: functions by template number, for representations and grids beyond the built-in ones."""
         ship(files.sparkSession)
         self.spark, self.files, self.mode, self._codes = files.sparkSession, files, mode, code_table
+        self.decoders, self.grids = decoders, grids
 
     @cached_property
     def code_table(self) -> DataFrame:
@@ -55,10 +57,10 @@ class Grib:
 
     def values(self, index: str | None = None, where: str | None = None) -> DataFrame:
         """(path, msg, sub, values): one array for each field; ``where`` is a predicate on ``layers``."""
-        return R.fields(self._with_data(index, where), self.mode).select(*R.KEYS, "values")
+        return R.fields(self._with_data(index, where), self.mode, self.decoders).select(*R.KEYS, "values")
 
     def points(self, index: str | None = None, where: str | None = None, normalize: bool = True) -> DataFrame:
-        return R.points(self._with_data(index, where), self.mode, normalize)
+        return R.points(self._with_data(index, where), self.mode, normalize, decoders=self.decoders, more_grids=self.grids)
 
     def count(self) -> int:
         return self.submessages("none").count()

@@ -159,7 +159,7 @@ def typed(payload: Column, num: int) -> Column:
 # ---- Values and coordinates (K, M, E) ----
 
 
-def values_udf(mode: str = "FAILFAST"):
+def values_udf(mode: str = "FAILFAST", decoders: dict | None = None):
     """(num_points, section 5, section 6, section 7) -> array<float>; in PERMISSIVE mode null where decoding fails."""
     from ..errors import GribError
 
@@ -167,7 +167,7 @@ def values_udf(mode: str = "FAILFAST"):
         if points is None or s5 is None or s6 is None or s7 is None:
             return None
         try:
-            return decode.decode_field(int(points), bytes(s5), bytes(s6), bytes(s7))
+            return decode.decode_field(int(points), bytes(s5), bytes(s6), bytes(s7), decoders)
         except GribError:
             if mode == "FAILFAST":
                 raise
@@ -204,15 +204,17 @@ def coordinates_udf(normalize: bool, fallback: bool):
     return run
 
 
-def fields(subs: DataFrame, mode: str = "FAILFAST") -> DataFrame:
+def fields(subs: DataFrame, mode: str = "FAILFAST", decoders: dict | None = None) -> DataFrame:
     """``subs`` (with all octets) and ``values``, one array of a float for each point."""
     points = X.unsigned(F.col("p3"), 6, 4)
-    return subs.withColumn("values", values_udf(mode)(points, "p5", "p6", "p7"))
+    return subs.withColumn("values", values_udf(mode, decoders)(points, "p5", "p6", "p7"))
 
 
-def points(subs: DataFrame, mode: str = "FAILFAST", normalize: bool = True, fallback: bool = True) -> DataFrame:
+def points(subs: DataFrame, mode: str = "FAILFAST", normalize: bool = True, fallback: bool = True, decoders: dict | None = None, more_grids: dict | None = None) -> DataFrame:
     """(path, msg, sub, pt, lat, lon, value): every point of every field, NaN where there is no value.
 
+    decoders, more_grids: functions by template number beyond the built-in ones; they go to the executors with the plan.
+
     Values and coordinates are made in one Python step for each field and taken apart with an outer explode, which keeps
     Catalyst from running the step twice; a filter on the keys goes below it.
     """
@@ -224,13 +226,13 @@ def points(subs: DataFrame, mode: str = "FAILFAST", normalize: bool = True, fall
             return None
         try:
             n = int.from_bytes(s3[6:10], "big")
-            value = decode.decode_field(n, bytes(s5), bytes(s6), bytes(s7))
+            value = decode.decode_field(n, bytes(s5), bytes(s6), bytes(s7), decoders)
         except GribError:
             if mode == "FAILFAST":
                 raise
             return None
         try:
-            lat, lon = grids.lat_lons(bytes(s3), normalize)
+            lat, lon = grids.lat_lons(bytes(s3), normalize, more_grids)
         except NotSupported:
             if not fallback:
                 raise

@@ -178,6 +178,19 @@ def test_unsupported_grids_keep_values(spark):
     assert g.layers().first().grid_name == "unknown (template 101)"
 
 
+def test_own_decoders_and_grids(spark):
+    s3 = E.section3(12, 101, {"earth_shape": 6, "grid_num": 26, "ref_grid_num": 1, "uuid": bytes(16)})
+    s5 = E.section5(12, 4, {"precision": 1})
+    data = E.message(0, [IDENT, s3, E.section4(0, 0, 0, 0), s5, E.section(6, b"\xff"), E.section(7, V.astype(">f4").tobytes())])
+    files = spark.createDataFrame([("x", bytearray(data))], "path string, content binary")
+    g = frames.Grib(files, decoders={4: lambda t, d, n: np.frombuffer(d, ">f4", n).astype("f4")}, grids={101: lambda s: (np.arange(12, dtype="f4"), np.arange(12, dtype="f4"))})
+    p = g.points().orderBy("pt").toPandas()
+    assert p.value.tolist() == V.tolist()
+    assert p.lat.tolist() == list(range(12))
+    with pytest.raises(Exception, match="5.0"):
+        frames.Grib(files).values().collect()
+
+
 def test_permissive_decoding(spark):
     bad = bytearray(ONE)
     at = ONE.index(E.encode_field(V, 1)[1])

@@ -34,9 +34,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_chars, n_tokens, ids, text): the text is what the ids decode to."""
     path, pattern = queries.vocabulary("byte_bpe_multi_50k.tiktoken"), queries.pattern()
-    encoded = bpe.encode_texts(docs, path, pattern, keep=True).drop("text")
-    decoded = bpe.decode_ids(encoded, path, pattern, keep=True)
-    return decoded.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", F.decode("bytes", "UTF-8").alias("text"))
+    both = bpe.round_trip(docs, path, pattern)
+    return both.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
 
 
 STAGES = [("language_id", language_id), ("simhash_near_dedup", near_dedup), ("pii", mask_pii), ("mixing", mix_sources), ("byte_bpe", encode)]

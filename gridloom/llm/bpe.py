@@ -2,8 +2,8 @@
 
 The rank file of a byte-level vocabulary is turned into a ``tokenizers`` model: each byte is a character of the usual
 byte-to-character table, and the merge of a token is the pair that the lower ranks leave of it. Texts are cut where a
-word ends and white space begins, which is always a boundary of the splitting pattern, so that a chunk is encoded alike
-alone and in its text; each distinct chunk of an Arrow batch is encoded once by the library and its ids are spread to
+word ends and white space or punctuation begins, which is always a boundary of the splitting pattern, so that a chunk is
+encoded alike alone and in its text; each distinct chunk of an Arrow batch is encoded once by the library and its ids are spread to
 all places by numpy. An exact check follows on each newly seen chunk: a merge list can differ from the rank rule (always
 the lowest-ranked adjacent pair, leftmost first) where a token can be reached by several pairs; there the rule's ids stand.
 
@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranges, ship, slices, text_buffer
+from .common import arrow_map, ranges, ship, slices, text_buffer
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -41,7 +41,9 @@ WIDE_SPACE = regex.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u
 WIDE_FIRST = np.zeros(256, bool)
 WIDE_FIRST[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 #: Distinct chunks in one generation of a worker's memory; it keeps two, and what is used again moves to the younger.
-MEMORY = 500_000
+MEMORY = 300_000
+#: Chunks that the library encodes in one call; what it makes of them is large.
+CALL = 4096
 
 
 def byte_characters() -> list[str]:
@@ -118,7 +120,10 @@ class ChunkEncoder:
     """Encodes Arrow string columns; the library sees a distinct chunk once while it is remembered."""
 
     def __init__(self, encode, wide_space_splits: bool):
-        """encode: list of texts -> ids of all, one after the other, and the number of each. wide_space_splits: chunks may be cut next to wide white space too."""
+        """encode: list of texts -> ids of all, one after the other, and the number of each.
+
+        wide_space_splits: chunks may be cut next to wide white space too.
+        """
         self.encode, self.splits = encode, wide_space_splits
         self.young, self.old = Memory(), Memory()
 
@@ -172,9 +177,11 @@ def byte_encoder(path: str, pattern: str) -> ChunkEncoder:
 
     def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         out = []
-        for text, e in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
-            ids, exact = e.ids, rule.encode_ordinary(text)
-            out.append(ids if ids == exact else exact)
+        for i in range(0, len(texts), CALL):
+            part = texts[i : i + CALL]
+            for text, e in zip(part, t.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                ids, exact = e.ids, rule.encode_ordinary(text)
+                out.append(ids if ids == exact else exact)
         return flattened(out)
 
     return ChunkEncoder(encode, wide_space_splits=False)
@@ -195,7 +202,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, keep: bool = False) -
                 ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], ids], names=[*names, "ids"])
 
-    return source.mapInArrow(run, f"{fields}, ids array<int>")
+    return arrow_map(source, run, f"{fields}, ids array<int>")
 
 
 class Decoder:
@@ -232,7 +239,27 @@ def decode_ids(encoded: DataFrame, path: str, pattern: str, keep: bool = False)
                 out = pa.Array.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], out], names=[*names, "bytes"])
 
-    return source.mapInArrow(run, f"{fields}, bytes binary")
+    return arrow_map(source, run, f"{fields}, bytes binary")
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """All columns of ``docs`` but text, and ids array<int> and text: what the ids decode to. One worker does both steps."""
+    ship(docs.sparkSession)
+    names = [c for c in docs.columns if c != "text"]
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = byte_encoder(path, pattern), Decoder(rank_tokenizer(path, pattern)[2])
+        for whole in batches:
+            for b in slices(whole, "text", 1 << 20):
+                flat, sizes = encoder.column(b.column("text"))
+                data, ends = decoder(flat.astype(np.int64), sizes)
+                ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat.astype(np.int32)))
+                text = pa.Array.from_buffers(pa.large_string(), b.num_rows, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
+                text.validate(full=True)
+                yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], ids, text.cast(pa.string())], names=[*names, "ids", "text"])
+
+    return arrow_map(docs, run, f"{fields}ids array<int>, text string")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -251,4 +278,4 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 back = [hashlib.sha256(data[i:j]).hexdigest() for i, j in zip(ends, ends[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes), pa.array(ids), pa.array(back)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

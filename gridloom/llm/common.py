@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of anything but these bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
+#: Arrow batches are limited by bytes too; texts are of very different lengths.
+BATCH_BYTES, BATCH_DEFAULT, MOST_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -57,6 +60,37 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def tidied(run):
+    """``run`` with memory given back to the system after each batch: idle and reused workers then hold little."""
+
+    def trim() -> None:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library: it keeps what it keeps
+            pass
+
+    def whole(batches):
+        def each():
+            for b in batches:
+                yield b
+                del b
+                trim()
+
+        yield from run(each())
+        trim()
+
+    return whole
+
+
+def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInArrow`` in batches of bounded bytes, tidied up."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_BYTES) == BATCH_DEFAULT:  # what the user has set stays
+        conf.set(BATCH_BYTES, MOST_BATCH_BYTES)
+    return df.mapInArrow(tidied(run), schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

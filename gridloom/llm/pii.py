@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import arrow_map, ship
 
 KINDS = ("email", "ip", "card", "phone", "account", "login")
 BASE = KINDS[:4]
@@ -199,7 +199,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
                 spans.append(listed(s))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(counts[k], pa.int64()) for k in BASE], pa.array(sha, pa.string()), pa.array(spans, pa.string())], names=["doc_id", *[f"n_{k}" for k in BASE], "base_sha256", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def masked(text: str) -> str:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ranges, ship, text_buffer
+from .common import arrow_map, cut, ranges, ship, text_buffer
 
 LENGTH, GRAM = 50, 16
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -83,7 +83,7 @@ def short(h: np.ndarray) -> np.ndarray:
     return h >> np.uint64(16)
 
 
-def inflated(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def inflated(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row ranges with about ``most`` bytes of text: (first, last, bytes, n+1 offsets)."""
     held: list[bytes] = []
     size, first = 0, 0
@@ -107,47 +107,49 @@ def undelta(data: bytes) -> np.ndarray:
     return np.cumsum(d, dtype=np.uint64) + np.frombuffer(data, "<u8", 1, 1)
 
 
+def row_numbers(data: bytes) -> np.ndarray:
+    return undelta(data).astype(np.int64) if data[0] else np.frombuffer(data, np.int64, -1, 1)
+
+
 def anchor_rows(texts: DataFrame, slices: int, length: int, gram: int) -> DataFrame:
-    """(slice, u, o, docs, hashes): the anchors of some documents that fall in one slice; texts: (u, o, z)."""
+    """(slice, u, docs, hashes): the anchors of some documents that fall in one slice; texts: (u, z)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(hashes: list[np.ndarray], docs: list[np.ndarray], u: list[int], o: list[int]) -> pa.RecordBatch:
+        def out(hashes: list[np.ndarray], docs: list[np.ndarray], u: list[int]) -> pa.RecordBatch:
             h, d = np.concatenate(hashes), np.concatenate(docs)
             key = h % np.uint64(slices)
             order = np.lexsort((h, key))
             h, d, key = h[order], d[order], key[order]
             at = np.searchsorted(key, np.arange(slices + 1, dtype=np.uint64))
-            rows = {"slice": [], "u": [], "o": [], "docs": [], "hashes": []}
-            us, os_ = np.array(u, np.int64), np.array(o, np.int64)
+            rows = {"slice": [], "u": [], "docs": [], "hashes": []}
+            us = np.array(u, np.int64)  # ascending: the table is sorted by it
             for s in range(slices):
                 a, b = at[s], at[s + 1]
                 if a < b:
                     own, place = np.unique(d[a:b], return_inverse=True)
                     rows["slice"].append(s)
-                    rows["u"].append(us[own].tobytes())
-                    rows["o"].append(os_[own].tobytes())
+                    rows["u"].append(deltas(us[own].astype(np.uint64)) if (np.diff(us[own]) > 0).all() else b"\0" + us[own].tobytes())
                     rows["docs"].append(place.astype("<u2").tobytes())
                     rows["hashes"].append(deltas(h[a:b]))
-            return pa.RecordBatch.from_pydict({"slice": pa.array(rows["slice"], pa.int32()), **{k: pa.array(rows[k], pa.binary()) for k in ("u", "o", "docs", "hashes")}})
+            return pa.RecordBatch.from_pydict({"slice": pa.array(rows["slice"], pa.int32()), **{k: pa.array(rows[k], pa.binary()) for k in ("u", "docs", "hashes")}})
 
-        hashes, docs, u, o, size = [], [], [], [], 0
+        hashes, docs, u, size = [], [], [], 0
         for b in batches:
-            us, os_ = b.column("u").to_pylist(), b.column("o").to_pylist()
+            us = b.column("u").to_pylist()
             for first, last, data, offsets in inflated(b):
                 _, at, h = owners(data, np.repeat(offsets[1:], np.diff(offsets)), length, gram)
                 at = at[np.r_[True, at[1:] != at[:-1]]] if len(at) else at
                 hashes.append(short(h[at]))
                 docs.append((np.searchsorted(offsets, at, side="right") - 1 + len(u)).astype(np.int64))
                 u += us[first:last]
-                o += os_[first:last]
                 size += len(data)
                 if size >= 24 << 20 or len(u) > 60_000 - 8192:
-                    yield out(hashes, docs, u, o)
-                    hashes, docs, u, o, size = [], [], [], [], 0
+                    yield out(hashes, docs, u)
+                    hashes, docs, u, size = [], [], [], 0
         if u:
-            yield out(hashes, docs, u, o)
+            yield out(hashes, docs, u)
 
-    return texts.select("u", "o", "z").mapInArrow(run, "slice int, u binary, o binary, docs binary, hashes binary")
+    return arrow_map(texts.select("u", "z"), run, "slice int, u binary, docs binary, hashes binary")
 
 
 def per_slice(df: DataFrame, work, schema: str) -> DataFrame:
@@ -165,7 +167,7 @@ def per_slice(df: DataFrame, work, schema: str) -> DataFrame:
         if held:
             yield from work(held)
 
-    return df.repartition("slice").sortWithinPartitions("slice").mapInArrow(run, schema)
+    return arrow_map(df.repartition("slice").sortWithinPartitions("slice"), run, schema)
 
 
 def in_batches(columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +180,7 @@ def shared_anchors(rows: list[dict]) -> Iterator[pa.RecordBatch]:
     """(u, h): each hash of a document that others have too."""
     h = np.concatenate([undelta(r["hashes"]) for r in rows])
     place = [np.frombuffer(r["docs"], "<u2") for r in rows]
-    u = np.concatenate([np.frombuffer(r["u"], np.int64)[p] for r, p in zip(rows, place, strict=True)])
+    u = np.concatenate([row_numbers(r["u"])[p] for r, p in zip(rows, place, strict=True)])
     order = np.argsort(h, kind="stable")
     h, u = h[order], u[order]
     starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
@@ -244,7 +246,7 @@ def stretches(joined: DataFrame, slices: int, length: int, gram: int) -> DataFra
         if parts:
             yield out(parts, u, o)
 
-    return joined.select("u", "o", "z", "h").mapInArrow(run, "slice int, u binary, o binary, docs binary, at binary, strings binary, bytes binary")
+    return arrow_map(joined.select("u", "o", "z", "h"), run, "slice int, u binary, o binary, docs binary, at binary, strings binary, bytes binary")
 
 
 def suffix_order(text: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -351,7 +353,7 @@ def stored(docs: DataFrame, slices: int) -> tuple[DataFrame, str]:
 
     rows = docs.select(F.monotonically_increasing_id().alias("u"), F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("o"), F.col("text").cast("string").alias("text"))
     name = f"gridloom_texts_{uuid4().hex}"
-    rows.mapInArrow(run, "u long, o long, sha binary, n long, z binary").repartition(slices, "u").write.bucketBy(slices, "u").sortBy("u").saveAsTable(name)
+    arrow_map(rows, run, "u long, o long, sha binary, n long, z binary").repartition(slices, "u").write.bucketBy(slices, "u").sortBy("u").saveAsTable(name)
     return spark.table(name), name
 
 
@@ -364,6 +366,7 @@ def spans_of(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, finish=Non
     ship(spark)
     slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts, name = stored(docs, slices)
+    slices *= 2  # a task works on one after the other
     firsts = texts.groupBy("sha").agg(F.min(F.struct("o", "u")).alias("first"))
     sole = texts.where(F.col("n") >= length).join(firsts.select(F.col("first.u").alias("u")), "u", "left_semi")
     flags = per_slice(anchor_rows(sole, slices, length, gram), shared_anchors, "u long, h long")
@@ -392,7 +395,7 @@ def kept_bytes(joined: DataFrame) -> DataFrame:
                 rows["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
             yield pa.RecordBatch.from_pydict({"u": pa.array(rows["u"], pa.int64()), "n_removed": pa.array(rows["n_removed"], pa.int64()), "n_spans": pa.array(rows["n_spans"], pa.int64()), "kept_sha256": pa.array(rows["kept_sha256"], pa.string())})
 
-    return joined.select("u", "z", "spans").mapInArrow(run, "u long, n_removed long, n_spans long, kept_sha256 string")
+    return arrow_map(joined.select("u", "z", "spans"), run, "u long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import components, cut, ship, slices
+from .common import arrow_map, components, cut, ship, slices
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SEED = 42
@@ -64,7 +64,7 @@ def with_fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
                 fps = np.array([fingerprint(shingle_hashes(t, width)) for t in b.column("text").to_pylist()], dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")), run, "doc_id long, fp long")
 
 
 def forest(adjacent: np.ndarray) -> np.ndarray:
@@ -183,7 +183,7 @@ def links(nodes: DataFrame, radius: int = 3, tile: int = 1024) -> DataFrame:
         if rows:
             yield out(pa.concat_tables(held).combine_chunks())
 
-    return dealt.select("id", "fp", "key", "s", "t").mapInArrow(run, "a long, b long")
+    return arrow_map(dealt.select("id", "fp", "key", "s", "t"), run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, tile: int = 1024) -> DataFrame:

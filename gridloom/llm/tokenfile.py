@@ -29,8 +29,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import ChunkEncoder, flattened
-from .common import cut, new_path, range_bounds, range_bucket, ship, slices
+from .bpe import CALL, ChunkEncoder, flattened
+from .common import arrow_map, cut, new_path, range_bounds, range_bucket, ship, slices
 
 MAGIC, VERSION, BLOCK = b"GLTK", 1, 4096
 #: Between chunks that are encoded in one call, and how many those are.
@@ -151,7 +151,8 @@ def word_encoder(path: str) -> tuple[ChunkEncoder, int]:
         if len(mark) != 1 or any(MARK in x for x in texts):
             return flattened([e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)])
         joined = [f" {MARK} ".join(texts[i : i + JOINED]) for i in range(0, len(texts), JOINED)]
-        ids = np.concatenate([np.array([*e.ids, mark[0]], np.uint32) for e in t.encode_batch_fast(joined, add_special_tokens=False)])
+        step = CALL // JOINED
+        ids = np.concatenate([np.array([*e.ids, mark[0]], np.uint32) for i in range(0, len(joined), step) for e in t.encode_batch_fast(joined[i : i + step], add_special_tokens=False)])
         between = ids == mark[0]
         return ids[~between], np.diff(np.r_[-1, np.flatnonzero(between)]) - 1
 
@@ -200,9 +201,9 @@ def write_files(docs: DataFrame, path: str, end: int, folder: str, rows: int = 4
         if writer:
             yield done()
 
-    encoded = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(encode, "doc_id long, ids binary")
+    encoded = arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")), encode, "doc_id long, ids binary")
     dealt = encoded.withColumn("file", range_bucket(F.col("doc_id"), bounds).cast("int")).repartition("file").sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "ids")
-    return cut(dealt.mapInArrow(write, "file int, uri string, documents long, ids long"), "token-files")
+    return cut(arrow_map(dealt, write, "file int, uri string, documents long, ids long"), "token-files")
 
 
 def read_files(files: DataFrame) -> DataFrame:
@@ -223,7 +224,7 @@ def read_files(files: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(r.docs[at:to], pa.int64(), mask=~r.present[at:to]), pa.array(row["base"] + r.starts[at:to]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
                     at = to
 
-    return placed.select("file", "uri", "base").repartition("file").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return arrow_map(placed.select("file", "uri", "base").repartition("file"), read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, path: str, end: int = 2) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import arrow_map, ship
 
 PACKED = "block int, n int, dims int, ids binary, data binary"
 
@@ -111,7 +111,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: float = 10
 
     def packed(df: DataFrame, parts: int) -> DataFrame:
         df = df.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
-        return df.repartition("block").sortWithinPartitions("block").mapInArrow(pack, PACKED)
+        return arrow_map(df.repartition("block").sortWithinPartitions("block"), pack, PACKED)
 
     left = packed(vectors, blocks).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     right = packed(queries, groups).select(F.col("block").alias("group"), *[F.col(c).alias(f"q_{c}") for c in ("n", "dims", "ids", "data")], F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
@@ -136,6 +136,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: float = 10
                     found.append((np.full(len(rows), who), ids[rows], scores.astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
 
-    pairs = left.join(right, ["block", "group"]).mapInArrow(search, "query_id long, vec_id long, score long")
+    pairs = arrow_map(left.join(right, ["block", "group"]), search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

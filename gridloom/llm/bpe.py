@@ -36,6 +36,11 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: White space of one byte.
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: A word of ASCII letters ends before ASCII punctuation; only an apostrophe may belong to what is before it.
+LETTER, PUNCTUATION, UPPER = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+UPPER[65:91] = True
+LETTER[65:91] = LETTER[97:123] = True
+PUNCTUATION[[c for c in range(33, 127) if not chr(c).isalnum() and c != 39]] = True
 #: White space beyond those: a text with any is encoded whole. First bytes of their UTF-8 forms.
 WIDE_SPACE = regex.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 WIDE_FIRST = np.zeros(256, bool)
@@ -119,12 +124,13 @@ def flattened(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 class ChunkEncoder:
     """Encodes Arrow string columns; the library sees a distinct chunk once while it is remembered."""
 
-    def __init__(self, encode, wide_space_splits: bool):
+    def __init__(self, encode, wide_space_splits: bool, folds: bool = False):
         """encode: list of texts -> ids of all, one after the other, and the number of each.
 
-        wide_space_splits: chunks may be cut next to wide white space too.
+        wide_space_splits: chunks may be cut next to wide white space too. folds: the encoder lower-cases, so that A-Z may
+        be folded first; not before a byte beyond ASCII, which may be a mark that composes with small letters only.
         """
-        self.encode, self.splits = encode, wide_space_splits
+        self.encode, self.splits, self.folds = encode, wide_space_splits, folds
         self.young, self.old = Memory(), Memory()
 
     def codes(self, chunks: list[str]) -> np.ndarray:
@@ -150,6 +156,11 @@ class ChunkEncoder:
         space = SPACE[data]
         cut = np.zeros(len(data), bool)
         cut[1:] = space[1:] & ~space[:-1]
+        cut[1:] |= LETTER[data[:-1]] & PUNCTUATION[data[1:]]
+        if self.folds:
+            upper = UPPER[data]
+            upper[:-1] &= data[1:] < 128
+            data = data + (upper * np.uint8(32))
         if not self.splits:
             maybe = np.unique(np.searchsorted(offsets, np.flatnonzero(WIDE_FIRST[data]), side="right") - 1)
             whole = [i for i in maybe if WIDE_SPACE.search(texts[i].as_py())]

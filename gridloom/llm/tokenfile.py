@@ -156,7 +156,7 @@ def word_encoder(path: str) -> tuple[ChunkEncoder, int]:
         between = ids == mark[0]
         return ids[~between], np.diff(np.r_[-1, np.flatnonzero(between)]) - 1
 
-    return ChunkEncoder(encode, wide_space_splits=True), t.get_vocab_size()
+    return ChunkEncoder(encode, wide_space_splits=True, folds=True), t.get_vocab_size()
 
 
 def write_files(docs: DataFrame, path: str, end: int, folder: str, rows: int = 4096) -> DataFrame:

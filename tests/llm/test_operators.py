@@ -399,7 +399,7 @@ def test_bit_packing(bits):
 
 def odd_texts():
     r = random.Random(5)
-    parts = ["aBc d", "  \n\t", "É’s 12 ", "\u3000\xa0 x", "日本語テ", "😀 '\u0301 é", "\x1c\x1f \x0b\x85<|endoftext|> Σας ΟΔΟΣ", "\x00 a"]
+    parts = ["aBc d", "  \n\t", "É’s 12 ", "\u3000\xa0 x", "日本語テ", "😀 '\u0301 é", "\x1c\x1f \x0b\x85<|endoftext|> Σας ΟΔΟΣ", "\x00 a", "The, END. don't! they're; H\u0331 E\u0301, <\u0338 O'S 's.", "(a)b_c-D's'"]
     return ["".join(r.choice(r.choice(parts)) for _ in range(r.randrange(60))) for _ in range(400)] + ["", None, " " * 1000, "a" * 5000 + "  "]
 
 

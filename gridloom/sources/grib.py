@@ -17,12 +17,12 @@ import lzma
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..errors import ParseError
-from .scan import PAYLOADS, scan
+from .scan import PAYLOADS, message_ranges, scan
 
 SCHEMA = "path string, pos int, msg int, num short, offset long, size long, template_num int, payload binary, error string"
 ARROW = pa.schema([("path", pa.string()), ("pos", pa.int32()), ("msg", pa.int32()), ("num", pa.int16()), ("offset", pa.int64()), ("size", pa.int64()), ("template_num", pa.int32()), ("payload", pa.binary()), ("error", pa.string())])
@@ -36,10 +36,10 @@ def inflate(path: str, data: bytes) -> bytes:
     return lzma.decompress(data) if path.endswith(".xz") or data[:6] == b"\xfd7zXZ\0" else data
 
 
-def rows_of(path: str, file, size: int, payload: str, mode: str) -> Iterator[tuple]:
+def rows_of(path: str, file, size: int, payload: str, mode: str, at: int = 0, msg: int = 0) -> Iterator[tuple]:
     pos = 0
     try:
-        for s in scan(file, size, payload):
+        for s in scan(file, size, payload, at, msg):
             yield path, pos, s.msg, s.num, s.offset, s.size, s.template_num, s.payload, None
             pos += 1
     except ParseError as e:
@@ -79,7 +79,11 @@ def read_sections(spark: SparkSession, paths: str | list[str], payload: str = "m
 
 
 class GribFiles(DataSource):
-    """``spark.read.format("grib2").option("payload", "none|meta|all").option("mode", ...).load(path)``."""
+    """``spark.read.format("grib2").option("payload", "none|meta|all").option("mode", ...).load(path)``.
+
+    With ``.option("split", octets)`` files are cut between messages into runs of about that size, one task each; ``pos``
+    then counts within a run, and ``numbered`` makes it count within the file again.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -95,7 +99,7 @@ class GribFiles(DataSource):
 class GribReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
-        self.payload, self.mode = options.get("payload", "meta"), options.get("mode", "FAILFAST")
+        self.payload, self.mode, self.split = options.get("payload", "meta"), options.get("mode", "FAILFAST"), int(options.get("split", 0))
 
     @staticmethod
     def opened(path: str):
@@ -111,10 +115,17 @@ class GribReader(DataSourceReader):
         if info.type == fs.FileType.NotFound:
             raise FileNotFoundError(self.path)
         found = [info] if info.is_file else sorted((f for f in system.get_file_info(fs.FileSelector(path, recursive=True)) if f.is_file), key=lambda f: f.path)
-        return [InputPartition((f.path, f.size)) for f in found]
+        out = []
+        for f in found:
+            if self.split and f.size > self.split and not f.path.endswith((".gz", ".xz")):
+                with system.open_input_file(f.path) as file:
+                    out += [InputPartition((f.path, end, start, msg)) for start, end, msg in message_ranges(file, f.size, self.split)]
+            else:
+                out.append(InputPartition((f.path, f.size, 0, 0)))
+        return out
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        path, size = partition.value
+        path, size, at, msg = partition.value
         system, _ = self.opened(self.path)
         with system.open_input_file(path) as file:
             head = file.read(6)
@@ -123,7 +134,12 @@ class GribReader(DataSourceReader):
                 data = inflate(path, file.read())
                 yield from batches_of(rows_of(path, io.BytesIO(data), len(data), self.payload, self.mode))
             else:
-                yield from batches_of(rows_of(path, file, size, self.payload, self.mode))
+                yield from batches_of(rows_of(path, file, size, self.payload, self.mode, at, msg))
+
+
+def numbered(sections: DataFrame) -> DataFrame:
+    """``pos`` of sections that were read in runs: their order within the file."""
+    return sections.withColumn("pos", (F.row_number().over(Window.partitionBy("path").orderBy("offset")) - 1).cast("int"))
 
 
 def register(spark: SparkSession) -> None:

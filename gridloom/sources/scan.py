@@ -31,9 +31,13 @@ class Section(NamedTuple):
 
 def find_magic(file: BinaryIO, at: int, size: int) -> int:
     """Place of the next ``GRIB`` that has a whole Section 0, -1 without one."""
+    if at + 16 <= size:  # mostly one message follows the other
+        file.seek(at)
+        if file.read(4) == MAGIC:
+            return at
     while at + 16 <= size:
         file.seek(at)
-        part = file.read(WINDOW)
+        part = file.read(min(WINDOW, size - at))
         found = part.find(MAGIC)
         if found >= 0:
             return at + found if at + found + 16 <= size else -1
@@ -41,8 +45,25 @@ def find_magic(file: BinaryIO, at: int, size: int) -> int:
     return -1
 
 
-def scan(file: BinaryIO, size: int, payload: str = "meta") -> Iterator[Section]:
-    at, msg = 0, 0
+def message_ranges(file: BinaryIO, size: int, octets: int) -> list[tuple[int, int, int]]:
+    """(start, end, first message) of runs of whole messages of about ``octets`` octets; reads Sections 0 only."""
+    starts, at = [], 0
+    while (at := find_magic(file, at, size)) >= 0:
+        starts.append(at)
+        file.seek(at + 8)
+        at += max(16, int.from_bytes(file.read(8), "big"))
+    out: list[tuple[int, int, int]] = []
+    for i, start in enumerate(starts):
+        end = starts[i + 1] if i + 1 < len(starts) else size
+        if out and end - out[-1][0] <= octets:
+            out[-1] = (out[-1][0], end, out[-1][2])
+        else:
+            out.append((start, end, i))
+    return out
+
+
+def scan(file: BinaryIO, size: int, payload: str = "meta", at: int = 0, msg: int = 0) -> Iterator[Section]:
+    """Sections from octet ``at`` to octet ``size``; ``msg`` is the number of the first message there."""
     while (at := find_magic(file, at, size)) >= 0:
         file.seek(at)
         head = file.read(16)

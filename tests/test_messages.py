@@ -301,6 +301,15 @@ def test_sources(spark, tmp_path):
     assert grib.scan_binary(files.limit(0)).count() == 0
 
 
+def test_files_in_runs_of_messages(spark, tmp_path):
+    (tmp_path / "a.grib2").write_bytes(b"x" * 70000 + ONE + b"junk" + TWO + ONE + TWO)
+    grib.register(spark)
+    whole = spark.read.format("grib2").load(str(tmp_path / "a.grib2"))
+    runs = spark.read.format("grib2").option("split", len(TWO) + 10).load(str(tmp_path / "a.grib2"))
+    assert runs.rdd.getNumPartitions() == 4
+    assert sorted(map(tuple, grib.numbered(runs).collect())) == sorted(map(tuple, whole.collect()))
+
+
 def test_typed_sections(spark):
     import json
 

@@ -367,7 +367,8 @@ def spans_of(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, finish=Non
     slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts, name = stored(docs, slices)
     slices *= 2  # a task works on one after the other
-    firsts = texts.groupBy("sha").agg(F.min(F.struct("o", "u")).alias("first"))
+    # written, so that the later join with all rows is one that Spark can split where many rows have one text
+    firsts = cut(texts.groupBy("sha").agg(F.min(F.struct("o", "u")).alias("first")), "firsts")
     sole = texts.where(F.col("n") >= length).join(firsts.select(F.col("first.u").alias("u")), "u", "left_semi")
     flags = per_slice(anchor_rows(sole, slices, length, gram), shared_anchors, "u long, h long")
     flags = flags.groupBy("u").agg(F.collect_list("h").alias("h"))

@@ -19,7 +19,7 @@ texts are compared by digest first, so that only the earliest of them takes part
 
 Defined results: documents are ordered by doc_id, one without doc_id before all others; rows of equal doc_id don't make
 each other later; a null text is empty; texts shorter than ``length`` bytes lose nothing; an empty table gives an empty
-result; other columns are ignored, by ``remove`` kept.
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -399,6 +399,33 @@ def kept_bytes(joined: DataFrame) -> DataFrame:
     return arrow_map(joined.select("u", "z", "spans"), run, "u long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(doc_id, text, spans) of every row: the text without what is removed, and (start, end) of that in bytes.
+
+    Of a character that is cut in two the remaining bytes go as well.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, spans = [], []
+            for r in b.to_pylist():
+                text = zlib.decompress(r["z"])
+                gone = [[0, len(text)]] if r["copy"] else merged(r["spans"]).tolist() if r["spans"] else []
+                edges = [0, *[e for g in gone for e in g], len(text)]
+                texts.append(b"".join(text[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True)).decode("utf-8", "ignore"))
+                spans.append([{"start": i, "end": j} for i, j in gone])
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string()), pa.array(spans, kind)], names=["doc_id", "text", "spans"])
+
+    def finish(texts: DataFrame, firsts: DataFrame, found: DataFrame) -> DataFrame:
+        rows = texts.join(firsts, "sha").join(found.withColumnRenamed("u", "_u"), F.col("first.u") == F.col("_u"), "left")
+        copy = (F.col("o") > F.col("first.o")) & (F.col("n") >= length)
+        rows = rows.select(F.when(F.col("o") != FIRST, F.col("o")).alias("doc_id"), "z", copy.alias("copy"), F.when(F.col("o") == F.col("first.o"), F.col("spans")).alias("spans"))
+        return arrow_map(rows, run, "doc_id long, text string, spans array<struct<start: long, end: long>>")
+
+    return spans_of(docs, length, finish=finish)
+
+
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of ``docs`` (doc_id, text)."""
 

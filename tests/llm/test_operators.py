@@ -171,6 +171,17 @@ def test_repeats_at_edges(spark):
     assert sorted(map(tuple, repeats.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str) == brute_repeats(rows)
 
 
+def test_cleaned_texts(spark):
+    common_part = "a passage of well over fifty bytes that two documents have é "
+    rows = [(1, f"first {common_part}one"), (2, f"second {common_part}two"), (3, f"second {common_part}two"), (4, None)]
+    got = {r.doc_id: r for r in repeats.cleaned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].text == rows[0][1]
+    assert got[2].text == "secondtwo"
+    assert [tuple(s) for s in got[2].spans] == [(6, 6 + 1 + len(common_part.encode()))]
+    assert (got[3].text, [tuple(s) for s in got[3].spans]) == ("", [(0, len(rows[2][1].encode()))])
+    assert (got[4].text, got[4].spans) == ("", [])
+
+
 def test_suffix_order_and_smaller_neighbours():
     rng = np.random.default_rng(2)
     text = rng.integers(97, 99, 400).astype(np.uint8)

@@ -190,19 +190,19 @@ def shared_anchors(rows: list[dict]) -> Iterator[pa.RecordBatch]:
 
 
 def stretches(joined: DataFrame, slices: int, length: int, gram: int) -> DataFrame:
-    """Packed rows (slice, u, o, docs, at, strings, bytes): stretches of strings that share an anchor others have too.
+    """Packed rows (slice, u, o, docs, at, which, strings, bytes): stretches of strings that share an anchor others have too.
 
     joined: (u, o, z, h), h the list of hashes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(parts: list[tuple], u: list[int], o: list[int]) -> pa.RecordBatch:
-            key, doc, at, strings = (np.concatenate([p[i] for p in parts]) for i in range(4))
-            pieces = [x for p in parts for x in p[4]]
+            key, doc, at = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            pieces = [x for p in parts for x in p[3]]
             order = np.argsort(key, kind="stable")
             bounds = np.searchsorted(key[order], np.arange(slices + 1))
             us, os_ = np.array(u, np.int64), np.array(o, np.int64)
-            rows = {"slice": [], "u": [], "o": [], "docs": [], "at": [], "strings": [], "bytes": []}
+            rows = {"slice": [], "u": [], "o": [], "docs": [], "at": [], "which": [], "strings": [], "bytes": []}
             for s in range(slices):
                 mine = order[bounds[s] : bounds[s + 1]]
                 if len(mine):
@@ -212,9 +212,13 @@ def stretches(joined: DataFrame, slices: int, length: int, gram: int) -> DataFra
                     rows["o"].append(os_[own].tobytes())
                     rows["docs"].append(place.astype("<u2").tobytes())
                     rows["at"].append(at[mine].astype("<u4").tobytes())
-                    rows["strings"].append(strings[mine].astype("<u1").tobytes())
-                    rows["bytes"].append(zlib.compress(b"".join([pieces[i] for i in mine]), 1))
-            return pa.RecordBatch.from_pydict({"slice": pa.array(rows["slice"], pa.int32()), **{k: pa.array(rows[k], pa.binary()) for k in ("u", "o", "docs", "at", "strings", "bytes")}})
+                    # equal stretches go once, however many documents here have them
+                    place_of: dict[bytes, int] = {}
+                    which = np.array([place_of.setdefault(pieces[i], len(place_of)) for i in mine], "<u4")
+                    rows["which"].append(which.tobytes())
+                    rows["strings"].append((np.fromiter(map(len, place_of), np.int64, len(place_of)) - length + 1).astype("<u1").tobytes())
+                    rows["bytes"].append(zlib.compress(b"".join(place_of), 1))
+            return pa.RecordBatch.from_pydict({"slice": pa.array(rows["slice"], pa.int32()), **{k: pa.array(rows[k], pa.binary()) for k in ("u", "o", "docs", "at", "which", "strings", "bytes")}})
 
         parts, u, o, size = [], [], [], 0
         for b in batches:
@@ -236,7 +240,7 @@ def stretches(joined: DataFrame, slices: int, length: int, gram: int) -> DataFra
                 raw = data.tobytes()
                 first_at, last_at = starts[begin], starts[end - 1] + length
                 pieces = [raw[i:j] for i, j in zip(first_at, last_at, strict=True)]
-                parts.append(((own % np.uint64(slices)).astype(np.int64), doc + len(u), first_at - offsets[doc], last_at - first_at - length + 1, pieces))
+                parts.append(((own % np.uint64(slices)).astype(np.int64), doc + len(u), first_at - offsets[doc], pieces))
                 u += us[first:last]
                 o += os_[first:last]
                 size += sum(map(len, pieces))
@@ -246,7 +250,7 @@ def stretches(joined: DataFrame, slices: int, length: int, gram: int) -> DataFra
         if parts:
             yield out(parts, u, o)
 
-    return arrow_map(joined.select("u", "o", "z", "h"), run, "slice int, u binary, o binary, docs binary, at binary, strings binary, bytes binary")
+    return arrow_map(joined.select("u", "o", "z", "h"), run, "slice int, u binary, o binary, docs binary, at binary, which binary, strings binary, bytes binary")
 
 
 def suffix_order(text: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -281,19 +285,20 @@ def has_smaller(group: np.ndarray, value: np.ndarray) -> np.ndarray:
 
 def later_copies(rows: list[dict], length: int) -> Iterator[pa.RecordBatch]:
     """(u, span): bytes of a document that strings of earlier documents cover, from the upper half to the lower half."""
-    u, o, at, strings, pieces = [], [], [], [], []
+    u, o, at, local, strings, pieces, before = [], [], [], [], [], [], 0
     for r in rows:
         place = np.frombuffer(r["docs"], "<u2")
         u.append(np.frombuffer(r["u"], np.int64)[place])
         o.append(np.frombuffer(r["o"], np.int64)[place])
         at.append(np.frombuffer(r["at"], "<u4").astype(np.int64))
+        local.append(np.frombuffer(r["which"], "<u4").astype(np.int64) + before)
         strings.append(np.frombuffer(r["strings"], "<u1").astype(np.int64))
         pieces.append(zlib.decompress(r["bytes"]))
-    u, o, at, strings = map(np.concatenate, (u, o, at, strings))
-    sizes = strings + length - 1
-    joined = pa.Array.from_buffers(pa.large_binary(), len(u), [None, pa.py_buffer(np.r_[0, np.cumsum(sizes)].astype(np.int64)), pa.py_buffer(b"".join(pieces))])
+        before += len(strings[-1])
+    u, o, at, local, strings = map(np.concatenate, (u, o, at, local, strings))
+    joined = pa.Array.from_buffers(pa.large_binary(), before, [None, pa.py_buffer(np.r_[0, np.cumsum(strings + length - 1)].astype(np.int64)), pa.py_buffer(b"".join(pieces))])
     named = joined.dictionary_encode()
-    which = named.indices.to_numpy().astype(np.int64)
+    which = named.indices.to_numpy().astype(np.int64)[local]
     text = np.frombuffer(named.dictionary.buffers()[2], np.uint8)
     bounds = np.frombuffer(named.dictionary.buffers()[1], np.int64, len(named.dictionary) + 1)
     # of equal stretches the earliest document stands for all

@@ -159,6 +159,16 @@ def typed(payload: Column, num: int) -> Column:
 # ---- Values and coordinates (K, M, E) ----
 
 
+#: Fields go to Python a few at a time: one may have millions of points however few octets it is packed in.
+ROWS_CONF, ROWS_DEFAULT, FIELDS_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "16"
+
+
+def small_batches(spark) -> None:
+    """Lower Spark's number of rows in an Arrow batch; what the user has set stays."""
+    if spark.conf.get(ROWS_CONF) == ROWS_DEFAULT:
+        spark.conf.set(ROWS_CONF, FIELDS_A_BATCH)
+
+
 def values_udf(mode: str = "FAILFAST", decoders: dict | None = None):
     """(num_points, section 5, section 6, section 7) -> array<float>; in PERMISSIVE mode null where decoding fails."""
     from ..errors import GribError
@@ -206,6 +216,7 @@ def coordinates_udf(normalize: bool, fallback: bool):
 
 def fields(subs: DataFrame, mode: str = "FAILFAST", decoders: dict | None = None) -> DataFrame:
     """``subs`` (with all octets) and ``values``, one array of a float for each point."""
+    small_batches(subs.sparkSession)
     points = X.unsigned(F.col("p3"), 6, 4)
     return subs.withColumn("values", values_udf(mode, decoders)(points, "p5", "p6", "p7"))
 
@@ -218,9 +229,11 @@ def points(subs: DataFrame, mode: str = "FAILFAST", normalize: bool = True, fall
     Values and coordinates are made in one Python step for each field and taken apart with an outer explode, which keeps
     Catalyst from running the step twice; a filter on the keys goes below it.
     """
-    kind = pa.list_(pa.struct([("lat", pa.float32()), ("lon", pa.float32()), ("value", pa.float32())]))
     from ..errors import GribError, NotSupported
 
+    parts = ("lat", "lon", "value")
+    kind = pa.struct([(c, pa.list_(pa.float32())) for c in parts])
+
     def one(s3, s5, s6, s7):
         if None in (s3, s5, s6, s7):
             return None
@@ -237,18 +250,17 @@ def points(subs: DataFrame, mode: str = "FAILFAST", normalize: bool = True, fall
             if not fallback:
                 raise
             lat = lon = np.full(n, np.nan, np.float32)
-        return pa.StructArray.from_arrays([pa.array(lat), pa.array(lon), pa.array(value)], names=["lat", "lon", "value"])
+        return dict(zip(parts, (lat, lon, value), strict=True))
 
-    @F.arrow_udf("array<struct<lat: float, lon: float, value: float>>")
+    @F.arrow_udf("struct<lat: array<float>, lon: array<float>, value: array<float>>")
     def run(s3: pa.Array, s5: pa.Array, s6: pa.Array, s7: pa.Array) -> pa.Array:
-        made = [one(*x) for x in zip(s3.to_pylist(), s5.to_pylist(), s6.to_pylist(), s7.to_pylist(), strict=True)]
-        sizes = [0 if m is None else len(m) for m in made]
-        some = [m for m in made if m is not None]
-        flat = pa.concat_arrays(some) if some else pa.array([], kind.value_type)
-        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), flat, mask=pa.array([m is None for m in made]))
+        return pa.array([one(*x) for x in zip(s3.to_pylist(), s5.to_pylist(), s6.to_pylist(), s7.to_pylist(), strict=True)], kind)
 
+    small_batches(subs.sparkSession)
     made = subs.select(*KEYS, run("p3", "p5", "p6", "p7").alias("made"))
-    return made.select(*KEYS, F.posexplode_outer("made").alias("pt", "p")).select(*KEYS, F.col("pt").cast("long"), "p.lat", "p.lon", "p.value")
+    # three arrays of four octets a point; coordinates are looked up by the value's place
+    flat = made.select(*KEYS, "made", F.posexplode_outer("made.value").alias("pt", "value"))
+    return flat.select(*KEYS, F.col("pt").cast("long").alias("pt"), F.get(F.col("made.lat"), F.col("pt")).alias("lat"), F.get(F.col("made.lon"), F.col("pt")).alias("lon"), "value")
 
 
 def dumped(subs: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of anything but these bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
+BATCH_ROWS, FEW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "16"
 #: Arrow batches are limited by bytes too; texts are of very different lengths.
 BATCH_BYTES, BATCH_DEFAULT, MOST_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 8 << 20
 
@@ -83,11 +84,18 @@ def tidied(run):
     return whole
 
 
-def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
-    """``df.mapInArrow`` in batches of bounded bytes, tidied up."""
-    conf = df.sparkSession.conf
+def set_batches(spark: SparkSession) -> None:
+    """Arrow batches of many rows and bounded bytes; what the user has set stays."""
+    conf = spark.conf
+    if conf.get(BATCH_ROWS) == FEW_ROWS:  # set by the decoding of fields, whose rows are large
+        conf.unset(BATCH_ROWS)
     if conf.get(BATCH_BYTES) == BATCH_DEFAULT:  # what the user has set stays
         conf.set(BATCH_BYTES, MOST_BATCH_BYTES)
+
+
+def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInArrow`` in batches of bounded bytes, tidied up."""
+    set_batches(df.sparkSession)
     return df.mapInArrow(tidied(run), schema)
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, ship
+from .common import arrow_map, set_batches, ship
 
 KINDS = ("email", "ip", "card", "phone", "account", "login")
 BASE = KINDS[:4]
@@ -224,6 +224,8 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span in ``text`` masked and ``n_chars``, where there is one, brought up to date. A null text stays null."""
     ship(docs.sparkSession)
 
+    set_batches(docs.sparkSession)
+
     @F.pandas_udf("string")
     def mask(texts):
         return texts.map(lambda t: None if t is None else masked(t))

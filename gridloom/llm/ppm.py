@@ -7,7 +7,7 @@ uniform code over 256 bytes. The statistics are frozen after training, so that t
 language is exact and doesn't depend on what is scored before it. The language with the shortest code wins.
 
 Training reads a bounded sample of labelled rows: documents are taken in an order given by a hash of their text until a
-language has ``train_bytes`` bytes (default 1,000,000), which is the documented bound. Everything is scored, whole.
+language has ``train_bytes`` bytes (default 1,000,000; all languages together ``MOST_BYTES``), the documented bounds. Everything is scored, whole.
 
 Scoring is vectorised: the trees of all languages are merged into one table that maps an n-gram (context and byte) to
 the vector of its code lengths in all languages, escapes resolved; a contextual miss falls back one order at a time.
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import arrow_map, ship, slices, text_buffer
 
 UNKNOWN = "und"
+#: Of all languages together; with more than 64 each has a smaller sample.
+MOST_BYTES = 64 << 20
 
 
 @dataclass
@@ -188,6 +190,7 @@ def sample(docs: DataFrame, eligible: Column, train_bytes: int) -> dict[str, lis
     rows = docs.where(eligible & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.octet_length("text").alias("size"))
     sizes = {r["lang"]: r["size"] for r in rows.groupBy("lang").agg(F.sum("size").alias("size")).collect()}
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
+    train_bytes = min(train_bytes, MOST_BYTES // max(1, len(sizes)))
     share = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(1.0, 1.2 * train_bytes / max(v, 1) + 1e-9)))]) if sizes else None
     if share is None:
         return {}

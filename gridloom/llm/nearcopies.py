@@ -152,16 +152,23 @@ def linked(rows: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay when one row of each group does: that of its smallest doc_id.
+    """One row of each group, with all columns: that of the smallest doc_id, then text and the other columns in order.
 
-    Rows that repeat this doc_id are copies too: the first by text and the other columns stays. A row without doc_id
-    can't be named and stays. All columns stay.
+    Nulls come last. Rows are told apart by their texts' nodes, so rows that share a doc_id, or have none, are copies only
+    if their texts are.
     """
-    named = docs.where("doc_id is not null")
-    rows = cut(with_bands(named), "copies")
-    found = rows.select("doc_id", F.col("_node").alias("node")).join(linked(rows), "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    first = found.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    rest = [c for c in docs.columns if c != "doc_id"]
-    kept = rows.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("_row"))
-    kept = kept.select(*["doc_id" if c == "doc_id" else F.col("_row")[c].alias(c) for c in docs.columns])
-    return kept.unionByName(docs.where("doc_id is null"))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = cut(with_bands(docs), "copies")
+    ids = rows.groupBy(F.col("_node").alias("node"), "doc_id").agg(F.count("*").alias("n"))
+    ids = ids.join(linked(rows), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = ids.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id")).alias("first"))
+    ids = ids.join(first, "root").where(F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
+    # nearly all groups have one row with that doc_id; only the others' rows are compared
+    total = ids.groupBy("root").agg(F.sum("n").alias("total"))
+    ids = cut(ids.join(total, "root").select("root", "node", F.col("doc_id").alias("id"), "total"), "copies-first")
+    same = (F.col("_node") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("id"))
+    alone = rows.join(ids.where("total = 1"), same, "left_semi").select(*docs.columns)
+    key = F.struct(*[x for c in ("text", *rest) for x in (F.isnull(c).alias(f"_none_{c}"), F.col(c))])
+    tied = rows.join(ids.where("total > 1"), same).groupBy("root").agg(F.min("id").alias("doc_id"), F.min(key).alias("_row"))
+    tied = tied.select(*["doc_id" if c == "doc_id" else F.col("_row")[c].alias(c) for c in docs.columns])
+    return alone.unionByName(tied)

@@ -86,3 +86,17 @@ def test_stage_on_the_documents_of_the_pipeline_test(spark):
         first[g] = min(first.get(g, i), i)
     got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCS), "unused")
     assert sorted(x.doc_id for x in got.collect()) == sorted(first.values())
+
+
+def test_stage_keeps_one_row_of_each_group(spark):
+    """Rows that share a doc_id, or have none, are told apart by their texts."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [
+        (7, "A", "en", "s", 1), (7, "B", "en", "s", 1),  # unrelated: both stay
+        (3, a, "en", "s", 1), (7, a + " copy", "en", "s", 1), (7, b, "en", "s", 1),  # 3 for its copy; b stays
+        (None, c, "en", "s", 1), (None, c, "en", "s", 1), (None, c + " end", "en", "s", 1),  # one of the three
+        (9, d, None, "s", 1), (9, d, "fr", "z", None), (9, d, "fr", "s", 2), (None, d, "aa", "a", 0),  # nulls last
+    ] + [(11, f"text {i} of its own", "en", "s", i) for i in range(30)]
+    want = [rows[0], rows[1], rows[2], rows[4], rows[5], rows[10], *rows[12:]]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCS).repartition(3), "unused")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))

@@ -10,8 +10,9 @@ a later copy. One suffix array of everything can't be built on a cluster, so it
    can't repeat and leaves the game.
 3. For each such anchor the run of strings that it stands for is sent, as one stretch of bytes, to the slice of its hash.
    A slice joins equal stretches, sorts what strings are left as suffixes (eight bytes a round, dropping at each round
-   what has no neighbour with the same beginning) and looks for the previous and next smaller document among neighbours
-   that agree in ``length`` bytes.
+   what has no neighbour with the same beginning) and takes the least document of those that agree in ``length`` bytes.
+   Common-prefix lengths and a longest-previous-factor array aren't built: whether ``length`` bytes are met earlier is
+   all that is asked.
 4. Documents gather the spans found and take them out.
 
 Texts are shuffled once, compressed, into a table that is bucketed by row, which later steps join without a shuffle. Equal

@@ -39,18 +39,33 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        sc = spark.sparkContext
-        if not getattr(sc, "_gridloom_dir", None):
-            sc._gridloom_dir = "file://" + tempfile.mkdtemp(prefix="gridloom-shared-")
-        found = sc._gridloom_dir
-    return found.rstrip("/")
+    """This application's folder in the one that driver and executors share, spark.checkpoint.dir; it goes with the application.
+
+    Where that is unset, a local folder does in local mode (tests); on a cluster it's an error, as executors would each
+    write to a disk of their own.
+    """
+    sc = spark.sparkContext
+    if not getattr(sc, "_gridloom_dir", None):
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            found = "file://" + tempfile.mkdtemp(prefix="gridloom-shared-")
+        sc._gridloom_dir = f"{found.rstrip('/')}/gridloom-{sc.applicationId}"
+        path = sc._jvm.org.apache.hadoop.fs.Path(sc._gridloom_dir)
+        system = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+    return sc._gridloom_dir
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/gridloom-{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def whole_rows(docs: DataFrame) -> Column:
+    """All columns as one, under which no name can clash with another."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, ship
+from .common import WORD, cut, ship, whole_rows
 
 #: Fixed values.
 WEIGHTS = (3, 1, 2)
@@ -154,14 +154,15 @@ def choose(docs: DataFrame, ratio: float = 1.5, most: float = 2.0, seed: int = S
 def mix(docs: DataFrame, ratio: float = 1.5, most: float = 2.0, seed: int = SEED) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with its columns."""
     chosen = choose(docs, ratio, most, seed).where("size > 0 and copies > 0")
-    per = chosen.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_copies"))
-    keyed = docs.withColumn("_size", words(F.col("text")))
-    number = keyed.groupBy("doc_id", "source", "_size").agg(F.count("*").alias("_rows")).where("_rows > 1")
-    same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
-    taken = per.alias("p").join(number.alias("n"), same("p", "n") & (F.col("p.size") == F.col("n._size")), "left").select("p.doc_id", "p.source", "p.size", "_copies", F.coalesce("_rows", F.lit(1)).alias("_rows"))
-    out = keyed.alias("k").join(taken.alias("t"), same("k", "t") & (F.col("k._size") == F.col("t.size"))).select(*[F.col(f"k.{c}") for c in docs.columns], "_size", "_copies", "_rows")
+    per = chosen.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"))
+    keyed = docs.select(whole_rows(docs).alias("row"), F.col("doc_id").cast("long"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"))
+    number = keyed.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")).where("n > 1")
+    same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source")) & (F.col(f"{a}.size") == F.col(f"{b}.size"))
+    taken = per.alias("p").join(number.alias("n"), same("p", "n"), "left").select("p.*", F.coalesce("n.n", F.lit(1)).alias("n"))
+    out = keyed.alias("k").join(taken.alias("t"), same("k", "t")).select("k.*", "copies", "n")
     # rows that share doc_id, source and size share their copies, the first ones getting what is over
-    one = out.where("_rows = 1")
-    rank = F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "source", "text")]))
-    several = out.where("_rows > 1").withColumn("_copies", F.floor(F.col("_copies") / F.col("_rows")) + F.when(rank <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)).where("_copies > 0")
-    return one.unionByName(several).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    one = out.where("n = 1")
+    rest = [F.col("row")[c] for c in ("text", *[c for c in docs.columns if c not in ("doc_id", "source", "text")])]
+    rank = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(*rest))
+    several = out.where("n > 1").withColumn("copies", F.floor(F.col("copies") / F.col("n")) + F.when(rank <= F.col("copies") % F.col("n"), 1).otherwise(0)).where("copies > 0")
+    return one.unionByName(several).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

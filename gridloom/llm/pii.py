@@ -43,7 +43,8 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"[0-9][ ().0-9-]+")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 AFTER_CUE = re.compile(r"(?: (?:number|no|nr|num|id))?\.?[:#=]? ?#?([A-Z0-9]{0,34}[0-9][A-Z0-9]{0,34}(?:[ -][A-Z0-9]{0,34}[0-9][A-Z0-9]{0,34}){0,8})(?![A-Za-z0-9])")
-LOGIN = re.compile(r"[^\s/?#@:]+:[^\s/?#@]+(?=@)")
+#: Ends at a slash, so before the next scheme: however many there are, each character is read once.
+LOGIN = re.compile(r"[^\s/?#@:]++:[^\s/?#@]++(?=@)")
 DIGITS = frozenset("0123456789")
 
 
@@ -143,7 +144,7 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
                         found["phone"].append((at, end))
                     done["phone"] = end
         elif what == "scheme":
-            if at and text[at - 1].isalpha() and (m := LOGIN.match(text, last + 1, last + 513)):
+            if at and text[at - 1].isalpha() and (m := LOGIN.match(text, last + 1)):
                 found["login"].append((m.start(), m.end()))
         elif not text[at - 1 : at].isalnum():
             m = AFTER_CUE.match(text, last + 1)

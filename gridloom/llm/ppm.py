@@ -7,7 +7,8 @@ uniform code over 256 bytes. The statistics are frozen after training, so that t
 language is exact and doesn't depend on what is scored before it. The language with the shortest code wins.
 
 Training reads a bounded sample of labelled rows: documents are taken in an order given by a hash of their text until a
-language has ``train_bytes`` bytes (default 1,000,000; all languages together ``MOST_BYTES``), the documented bounds. Everything is scored, whole.
+language has ``train_bytes`` bytes (default 1,000,000; all languages together ``MOST_BYTES``, and ``MOST_LANGS`` languages
+at most, those of most bytes), the documented bounds. Everything is scored, whole.
 
 Scoring is vectorised: the trees of all languages are merged into one table that maps an n-gram (context and byte) to
 the vector of its code lengths in all languages, escapes resolved; a contextual miss falls back one order at a time.
@@ -27,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, ship, slices, text_buffer
+from .common import arrow_map, ship, slices, text_buffer, whole_rows
 
 UNKNOWN = "und"
-#: Of all languages together; with more than 64 each has a smaller sample.
-MOST_BYTES = 64 << 20
+#: Of all languages together; with more than 64 each has a smaller sample. Languages beyond the number are those of least bytes.
+MOST_BYTES, MOST_LANGS = 64 << 20, 256
 
 
 @dataclass
@@ -182,28 +183,30 @@ def train(samples: dict[str, list[bytes]], order: int = 4) -> Model:
     return Model(langs, order, levels, cost, contexts, escape, base)
 
 
-def sample(docs: DataFrame, eligible: Column, train_bytes: int) -> dict[str, list[bytes]]:
-    """Whole texts of each language in the order of a hash of the text, up to about ``train_bytes`` bytes.
+def sample(docs: DataFrame, eligible: Column, train_bytes: int, most_langs: int = MOST_LANGS) -> dict[str, list[bytes]]:
+    """Texts of each language in the order of a hash of the text, up to ``train_bytes`` bytes; the last may be cut there.
 
-    The driver reads about ``train_bytes`` for each language: the share to read is set from sizes, and copies count once.
+    Copies count once. What share of the hashes to read is set from the languages' bytes, so that the driver reads about
+    ``train_bytes`` for each and at least the first text.
     """
-    rows = docs.where(eligible & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.octet_length("text").alias("size"))
-    sizes = {r["lang"]: r["size"] for r in rows.groupBy("lang").agg(F.sum("size").alias("size")).collect()}
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    train_bytes = min(train_bytes, MOST_BYTES // max(1, len(sizes)))
-    share = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(1.0, 1.2 * train_bytes / max(v, 1) + 1e-9)))]) if sizes else None
-    if share is None:
+    rows = docs.where(eligible & F.col("lang").isNotNull() & (F.octet_length("text") > 0)).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("place", F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30))
+    size = F.least(F.octet_length("text"), F.lit(train_bytes))
+    distinct = rows.groupBy("lang", "place").agg(F.min(size).alias("size"))
+    sizes = distinct.groupBy("lang").agg(F.sum("size").alias("size"), F.min("place").alias("first")).orderBy(F.desc("size"), "lang").limit(most_langs).collect()
+    if not sizes:
         return {}
-    # rows longer than the whole bound can't be part of it
-    got = rows.where((place < share[F.col("lang")]) & (F.col("size") <= train_bytes)).select("lang", "text", place.alias("place")).distinct()
-    out: dict[str, list[bytes]] = {k: [] for k in sizes}
-    used = dict.fromkeys(sizes, 0)
+    train_bytes = min(train_bytes, MOST_BYTES // len(sizes))
+    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(max(r["first"] + 1e-12, min(1.0, 1.2 * train_bytes / r["size"] + 1e-9))))])
+    got = rows.where(F.col("place") < share[F.col("lang")]).select("lang", F.substring("text", 1, train_bytes).alias("text"), "place").distinct()
+    out: dict[str, list[bytes]] = {r["lang"]: [] for r in sizes}
+    left = dict.fromkeys(out, train_bytes)
     for r in sorted(got.toLocalIterator(), key=lambda r: (r["lang"], r["place"], r["text"])):
-        t = r["text"].encode("utf-8", "surrogatepass")
-        if used[r["lang"]] + len(t) <= train_bytes:
-            used[r["lang"]] += len(t)
+        t = r["text"].encode("utf-8", "surrogatepass")[: left[r["lang"]]]
+        left[r["lang"]] -= len(t)
+        if t:
             out[r["lang"]].append(t)
-    return {k: v for k, v in out.items() if v}
+    return out
 
 
 def held_out() -> Column:
@@ -215,16 +218,17 @@ def has_letter(text: str) -> bool:
 
 
 def predict(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
-    """(doc_id, lang_pred, score, bits_per_byte) of every row; with ``keep``, all columns of ``docs`` and these.
+    """(doc_id, lang_pred, score, bits_per_byte) of every row; with ``keep``, ``row`` (all columns of ``docs``) for doc_id.
 
     The score is the winner's posterior under equal priors, with code lengths per 32 bytes for texts longer than that.
     """
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)  # bounded: n-grams of the bounded sample
-    source = docs if keep else docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    names = source.columns if keep else ["doc_id"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name in names)
+    name = "row" if keep else "doc_id"
+    own = whole_rows(docs).alias("row") if keep else F.col("doc_id").cast("long")
+    source = docs.select(own, F.col("text").cast("string").alias("text"))
+    field = f"{name} {source.schema[name].dataType.simpleString()}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -245,9 +249,9 @@ def predict(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
                     pred[known] = np.array(m.langs, object)[best[known]]
                     score[known] = (1 / np.exp2(-gap).sum(axis=1))[known]
                     rate[known] = (least / size)[known]
-                yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(pred, pa.string()), pa.array(score), pa.array(rate)], names=[*names, "lang_pred", "score", "bits_per_byte"])
+                yield pa.RecordBatch.from_arrays([b.column(name), pa.array(pred, pa.string()), pa.array(score), pa.array(rate)], names=[name, "lang_pred", "score", "bits_per_byte"])
 
-    return arrow_map(source, run, f"{fields}, lang_pred string, score double, bits_per_byte double")
+    return arrow_map(source, run, f"{field}, lang_pred string, score double, bits_per_byte double")
 
 
 def identify(docs: DataFrame, order: int = 4, train_bytes: int = 1_000_000) -> DataFrame:
@@ -261,4 +265,4 @@ def accepted(docs: DataFrame, order: int = 4, train_bytes: int = 1_000_000, most
     """The rows of ``docs`` in a language that the model knows: those with a letter that it codes in under ``most_bits`` bits a byte."""
     model = train(sample(docs, ~held_out() | F.col("doc_id").isNull(), train_bytes), order)
     kept = predict(docs, model, keep=True).where((F.col("lang_pred") != UNKNOWN) & (F.col("bits_per_byte") < most_bits))
-    return kept.select(*docs.columns)
+    return kept.select("row.*")

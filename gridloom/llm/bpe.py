@@ -1,17 +1,19 @@
 """Byte-pair encoding of whole texts with the tokenizers library, and its reverse.
 
 The rank file of a byte-level vocabulary is turned into a ``tokenizers`` model: each byte is a character of the usual
-byte-to-character table, and the merge of a token is the pair that the lower ranks leave of it. Texts are cut where a
-word ends and white space or punctuation begins, which is always a boundary of the splitting pattern, so that a chunk is
-encoded alike alone and in its text; each distinct chunk of an Arrow batch is encoded once by the library and its ids are spread to
-all places by numpy. An exact check follows on each newly seen chunk: a merge list can differ from the rank rule (always
-the lowest-ranked adjacent pair, leftmost first) where a token can be reached by several pairs; there the rule's ids stand.
-
-Decoding looks bytes up in the reversed table, by id, and joins them, so that characters split over tokens come back
-whole; ids outside the vocabulary decode to nothing.
-
-Defined results: a null text is an empty one, with no ids; rows with equal doc_id are rows of their own; an empty table
-gives an empty result; other columns are ignored.
+byte-to-character table, and every pair of tokens that make up a third is a merge, in the order of the third's rank. That is
+the rank rule (always the adjacent pair of lowest rank): a list with one pair a token would differ from it where a token can
+be reached by several. Texts are cut where a word ends and white space or punctuation begins, which is always a boundary of
+the splitting pattern, so that a chunk is encoded alike alone and in its text; each distinct chunk of an Arrow batch is
+encoded once by the library and its ids are spread to all places by numpy. The library's ids are the result; the tests hold
+them against the rank rule.
+
+Decoding takes each id's characters from the library's vocabulary, turns them into bytes by the reversed table and joins the
+bytes, so that characters split over tokens come back whole; ids outside the vocabulary decode to nothing. Offsets are those
+of the characters that a token has bytes of, so that tokens within one character share it.
+
+Defined results: a null text is an empty one, with no ids; rows with equal doc_id are rows of their own; an empty
+table gives an empty result; other columns are ignored, or kept by name (a column that is called like a new one gives way).
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,40 +66,26 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def merge(parts: list[bytes], ranks: dict[bytes, int], below: int | None = None) -> list[bytes]:
-    """The rank rule: join the adjacent pair of lowest rank, leftmost first, while there is one (of rank under ``below``)."""
-    parts = list(parts)
-    while len(parts) > 1:
-        best, at = None, -1
-        for i in range(len(parts) - 1):
-            r = ranks.get(parts[i] + parts[i + 1])
-            if r is not None and (best is None or r < best) and (below is None or r < below):
-                best, at = r, i
-        if best is None:
-            break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-    return parts
-
-
 @lru_cache(maxsize=2)
 def rank_tokenizer(path: str, pattern: str):
-    """A tokenizers model of a rank file, its ranks and the bytes of each id."""
+    """A tokenizers model of a rank file, and the bytes of each id."""
     from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
     ranks, chars = read_ranks(path), byte_characters()
-    text = lambda token: "".join(chars[b] for b in token)
+    name = {token: "".join(chars[b] for b in token) for token in ranks}
     merges = []
-    for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
-        if len(token) > 1:
-            pair = merge([token[i : i + 1] for i in range(len(token))], ranks, rank)
-            if len(pair) == 2:
-                merges.append((text(pair[0]), text(pair[1])))
-    t = Tokenizer(models.BPE(vocab={text(k): v for k, v in ranks.items()}, merges=merges))
+    for token in sorted(ranks, key=ranks.__getitem__):
+        for i in range(1, len(token)):
+            if token[:i] in ranks and token[i:] in ranks:
+                merges.append((name[token[:i]], name[token[i:]]))
+    t = Tokenizer(models.BPE(vocab={name[k]: v for k, v in ranks.items()}, merges=merges))
     t.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-    names = [b""] * (max(ranks.values()) + 1)
-    for k, v in ranks.items():
-        names[v] = k
-    return t, ranks, names
+    byte_of = {c: b for b, c in enumerate(chars)}
+    vocabulary = t.get_vocab(with_added_tokens=False)
+    names = [b""] * (max(vocabulary.values()) + 1)
+    for characters, i in vocabulary.items():
+        names[i] = bytes(map(byte_of.__getitem__, characters))
+    return t, names
 
 
 class Memory:
@@ -124,13 +113,15 @@ def flattened(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 class ChunkEncoder:
     """Encodes Arrow string columns; the library sees a distinct chunk once while it is remembered."""
 
-    def __init__(self, encode, wide_space_splits: bool, folds: bool = False):
+    def __init__(self, encode, wide_space_splits: bool, folds: bool = False, cuts: bool = True, specials: tuple[str, ...] = ()):
         """encode: list of texts -> ids of all, one after the other, and the number of each.
 
         wide_space_splits: chunks may be cut next to wide white space too. folds: the encoder lower-cases, so that A-Z may
         be folded first; not before a byte beyond ASCII, which may be a mark that composes with small letters only.
+        cuts: texts may be cut into chunks at all. specials: a text with one of these strings is encoded whole, as it is.
         """
-        self.encode, self.splits, self.folds = encode, wide_space_splits, folds
+        self.encode, self.splits, self.folds, self.cuts = encode, wide_space_splits, folds, cuts
+        self.specials = "|".join(map(regex.escape, specials))
         self.young, self.old = Memory(), Memory()
 
     def codes(self, chunks: list[str]) -> np.ndarray:
@@ -153,19 +144,24 @@ class ChunkEncoder:
         n = len(offsets) - 1
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(n, np.int64)
-        space = SPACE[data]
-        cut = np.zeros(len(data), bool)
-        cut[1:] = space[1:] & ~space[:-1]
-        cut[1:] |= LETTER[data[:-1]] & PUNCTUATION[data[1:]]
+        cut, upper = np.zeros(len(data), bool), np.zeros(len(data), bool)
+        if self.cuts:
+            space = SPACE[data]
+            cut[1:] = space[1:] & ~space[:-1]
+            cut[1:] |= LETTER[data[:-1]] & PUNCTUATION[data[1:]]
         if self.folds:
             upper = UPPER[data]
             upper[:-1] &= data[1:] < 128
-            data = data + (upper * np.uint8(32))
         if not self.splits:
             maybe = np.unique(np.searchsorted(offsets, np.flatnonzero(WIDE_FIRST[data]), side="right") - 1)
-            whole = [i for i in maybe if WIDE_SPACE.search(texts[i].as_py())]
-            for i in whole:
-                cut[offsets[i] : offsets[i + 1]] = False
+            for i in maybe:
+                if WIDE_SPACE.search(texts[i].as_py()):
+                    cut[offsets[i] : offsets[i + 1]] = False
+        if self.specials:
+            for i in np.flatnonzero(pc.match_substring_regex(texts, self.specials, ignore_case=True).fill_null(False).to_numpy(zero_copy_only=False)):
+                cut[offsets[i] : offsets[i + 1]] = upper[offsets[i] : offsets[i + 1]] = False
+        if self.folds:
+            data = data + (upper * np.uint8(32))
         first = offsets[:-1][np.diff(offsets) > 0]
         cut[first] = True
         at = np.flatnonzero(cut)
@@ -181,39 +177,42 @@ class ChunkEncoder:
 
 @lru_cache(maxsize=1)
 def byte_encoder(path: str, pattern: str) -> ChunkEncoder:
-    from tiktoken import Encoding
-
-    t, ranks, _ = rank_tokenizer(path, pattern)
-    rule = Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    t = rank_tokenizer(path, pattern)[0]
 
     def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        out = []
-        for i in range(0, len(texts), CALL):
-            part = texts[i : i + CALL]
-            for text, e in zip(part, t.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids, exact = e.ids, rule.encode_ordinary(text)
-                out.append(ids if ids == exact else exact)
-        return flattened(out)
+        return flattened([e.ids for i in range(0, len(texts), CALL) for e in t.encode_batch_fast(texts[i : i + CALL], add_special_tokens=False)])
 
     return ChunkEncoder(encode, wide_space_splits=False)
 
 
+def fields_of(df: DataFrame, names: list[str]) -> str:
+    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema if f.name in names)
+
+
+def others(df: DataFrame, *new: str) -> list[str]:
+    """Columns that keep their place beside the new ones."""
+    return [c for c in df.columns if c.lower() not in new]
+
+
 def encode_texts(docs: DataFrame, path: str, pattern: str, keep: bool = False) -> DataFrame:
-    """(doc_id, ids array<int>) of every row; with ``keep``, all columns of ``docs`` and ids."""
+    """(doc_id, ids array<int>, starts, ends) of every row; with ``keep``, all columns of ``docs`` and these.
+
+    starts, ends: code points of the text that each token has bytes of, the end excluded.
+    """
     ship(docs.sparkSession)
     source = docs if keep else docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    names = source.columns if keep else ["doc_id"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name in names)
+    names = others(source, "ids", "starts", "ends") if keep else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = byte_encoder(path, pattern)
+        encoder, decoder = byte_encoder(path, pattern), Decoder(rank_tokenizer(path, pattern)[1])
         for whole in batches:
             for b in slices(whole, "text"):
                 flat, sizes = encoder.column(b.column("text"))
-                ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], ids], names=[*names, "ids"])
+                at = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+                lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (flat, *decoder.offsets(flat.astype(np.int64), sizes))]
+                yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], *lists], names=[*names, "ids", "starts", "ends"])
 
-    return arrow_map(source, run, f"{fields}, ids array<int>")
+    return arrow_map(source, run, f"{fields_of(source, names)}ids array<int>, starts array<int>, ends array<int>")
 
 
 class Decoder:
@@ -232,16 +231,29 @@ class Decoder:
         ends = np.r_[0, np.cumsum(size)]
         return data, ends[np.r_[0, np.cumsum(sizes)]]
 
+    def within(self, ids: np.ndarray) -> np.ndarray:
+        """Whether each token begins within a character."""
+        return (self.data[self.starts[ids]] & 0xC0) == 0x80
+
+    def offsets(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last (excluded) code point, within its row, that each token has bytes of."""
+        data, rows = self(ids, sizes)
+        lead = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]  # characters that begin before each byte
+        ends = np.cumsum(self.sizes[ids])
+        starts = ends - self.sizes[ids]
+        before = np.repeat(lead[rows[:-1]], sizes)
+        first = lead[np.minimum(starts + 1, len(data))] - 1  # the character that the first byte is of
+        return first - before, lead[ends] - before
+
 
 def decode_ids(encoded: DataFrame, path: str, pattern: str, keep: bool = False) -> DataFrame:
     """(doc_id, bytes binary) of every row of (doc_id, ids); with ``keep``, all columns and bytes."""
     ship(encoded.sparkSession)
     source = encoded if keep else encoded.select("doc_id", "ids")
-    names = source.columns if keep else ["doc_id"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name in names)
+    names = others(source, "bytes") if keep else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(rank_tokenizer(path, pattern)[2])
+        decoder = Decoder(rank_tokenizer(path, pattern)[1])
         for whole in batches:
             for i in range(0, whole.num_rows, 512):
                 b = whole.slice(i, 512)
@@ -250,17 +262,16 @@ def decode_ids(encoded: DataFrame, path: str, pattern: str, keep: bool = False)
                 out = pa.Array.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], out], names=[*names, "bytes"])
 
-    return arrow_map(source, run, f"{fields}, bytes binary")
+    return arrow_map(source, run, f"{fields_of(source, names)}bytes binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """All columns of ``docs`` but text, and ids array<int> and text: what the ids decode to. One worker does both steps."""
     ship(docs.sparkSession)
-    names = [c for c in docs.columns if c != "text"]
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")
+    names = others(docs, "ids", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = byte_encoder(path, pattern), Decoder(rank_tokenizer(path, pattern)[2])
+        encoder, decoder = byte_encoder(path, pattern), Decoder(rank_tokenizer(path, pattern)[1])
         for whole in batches:
             for b in slices(whole, "text", 1 << 20):
                 flat, sizes = encoder.column(b.column("text"))
@@ -270,15 +281,18 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 text.validate(full=True)
                 yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], ids, text.cast(pa.string())], names=[*names, "ids", "text"])
 
-    return arrow_map(docs, run, f"{fields}ids array<int>, text string")
+    return arrow_map(docs, run, f"{fields_of(docs, names)}ids array<int>, text string")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encoding and decoding in one pass, only digests leave the worker."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_split): encoding and decoding in one pass, only digests leave the worker.
+
+    n_split: tokens that begin within a character.
+    """
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = byte_encoder(path, pattern), Decoder(rank_tokenizer(path, pattern)[2])
+        encoder, decoder = byte_encoder(path, pattern), Decoder(rank_tokenizer(path, pattern)[1])
         for whole in batches:
             for b in slices(whole, "text"):
                 flat, sizes = encoder.column(b.column("text"))
@@ -287,6 +301,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 raw, data = flat.astype("<u4"), data.tobytes()
                 ids = [hashlib.sha256(raw[i:j]).hexdigest() for i, j in zip(at, at[1:], strict=False)]
                 back = [hashlib.sha256(data[i:j]).hexdigest() for i, j in zip(ends, ends[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes), pa.array(ids), pa.array(back)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                split = np.bincount(np.repeat(np.arange(b.num_rows), sizes)[decoder.within(flat)], minlength=b.num_rows)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes), pa.array(ids), pa.array(back), pa.array(split.astype(np.int64))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_split"])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long")

@@ -17,6 +17,7 @@ each other in order of their ids; an empty table makes no file and gives an empt
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,6 +26,7 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -137,26 +139,40 @@ class Reader:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
 
 
+#: Settings of a file that lower-cases, drops white space and splits at it and between letters and signs.
+FOLDING = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTING = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 @lru_cache(maxsize=1)
 def word_encoder(path: str) -> tuple[ChunkEncoder, int]:
-    """Encoder and vocabulary size of a tokenizers file that drops white space; special tokens in a text are plain text."""
+    """Encoder and vocabulary size of a tokenizers file, which is used as it is.
+
+    Texts are cut into chunks only if the file's own settings say that a chunk is encoded alike alone; else, and where a
+    text holds one of the file's added tokens, it is encoded whole.
+    """
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    mark = t.encode(MARK, add_special_tokens=False).ids
+    own = json.loads(t.to_str())
+    steps = (own["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+    cuts = own["normalizer"] == FOLDING and [x.get("type") for x in steps] == ["Split", "ByteLevel"] and steps[0] == {"type": "Split", "pattern": {"Regex": SPLITTING}, "behavior": "Removed", "invert": True}
+    cuts = cuts and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"] and own["post_processor"] is None and own["truncation"] is None
+    specials = tuple(x["content"] for x in own["added_tokens"])
+    special = regex.compile("|".join(map(regex.escape, specials)), regex.IGNORECASE) if specials else None
+    mark = t.encode(MARK, add_special_tokens=False).ids if cuts else []
 
     def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Many chunks in one call, with a mark between them: a character that is a word and one id of its own."""
-        if len(mark) != 1 or any(MARK in x for x in texts):
-            return flattened([e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)])
+        if len(mark) != 1 or any(MARK in x or special and special.search(x) for x in texts):
+            return flattened([e.ids for i in range(0, len(texts), CALL) for e in t.encode_batch_fast(texts[i : i + CALL], add_special_tokens=False)])
         joined = [f" {MARK} ".join(texts[i : i + JOINED]) for i in range(0, len(texts), JOINED)]
         step = CALL // JOINED
         ids = np.concatenate([np.array([*e.ids, mark[0]], np.uint32) for i in range(0, len(joined), step) for e in t.encode_batch_fast(joined[i : i + step], add_special_tokens=False)])
         between = ids == mark[0]
         return ids[~between], np.diff(np.r_[-1, np.flatnonzero(between)]) - 1
 
-    return ChunkEncoder(encode, wide_space_splits=True, folds=True), t.get_vocab_size()
+    return ChunkEncoder(encode, wide_space_splits=True, folds=cuts, cuts=cuts, specials=specials), t.get_vocab_size()
 
 
 def write_files(docs: DataFrame, path: str, end: int, folder: str, rows: int = 4096) -> DataFrame:

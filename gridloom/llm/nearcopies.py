@@ -2,16 +2,17 @@
 
 Two texts are linked if the Jaccard similarity of their sets of five-word shingles is 0.8 or more; groups are the connected
 components of the links. Texts of equal sets are one node (named by 64 bits of a hash of the set), so copies cost nothing
-further. Candidates are nodes that share a band of minhash values: 32 bands of 5 values miss a pair of similarity 0.8 with a
-probability of 3 in a million, and one of 0.9 practically never. Each bucket's nodes are held against one of them first;
-then, in each bucket whose nodes aren't yet in one component, all pairs of different components are. Every link is checked
-on the whole shingle sets, so that none is made below the bound.
+further. Each node has a SimHash of ``BITS`` bits; ``simhash.compared`` compares them tile by tile, with exclusive-or, bit
+counts and population counts, within ``RADIUS`` bits: similarity 0.8 lies near 78, with a standard deviation of 8. Exact
+search within such a radius would compare all documents with all, so tiles are made of nodes that share a band of minhash
+values: 24 bands of 4 values miss a pair of similarity 0.8 with a probability of 3 in a million, as does the radius.
 
-A SimHash radius isn't used for candidates: similarity 0.8 lies near 10 differing bits of 64, and exact search within such
-a radius would deal fingerprints by blocks of five bits, that is every document to a few hundred hot buckets.
+What the tiles find is checked on the whole shingle sets, so that no link is made below the bound. At first each node of a
+bucket is held against the first one near it; then, in each bucket whose nodes aren't yet in one component, all pairs
+near each other of different components are.
 
 Defined results: a text of fewer than five words is one shingle; texts without a word are copies of each other; letters
-A-Z are folded; a null is an empty text; an empty table gives an empty result.
+A-Z are folded; a null is an empty text; an empty table gives an empty result; columns may have any names.
 """
 
 from __future__ import annotations
@@ -24,14 +25,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import arrow_map, components, cut, ship, slices
-from .simhash import SEED, shingle_hashes
+from .common import arrow_map, components, cut, ship, slices, whole_rows
+from .simhash import SEED, compared, shingle_hashes
 
 WIDTH = 5
 #: Least similarity, as a fraction.
 OVER, UNDER = 4, 5
-BANDS, EACH = 32, 5
+BANDS, EACH = 24, 4
+BITS, RADIUS, TILE = 512, 114, 1024
 MIX = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * EACH, 1), dtype=np.uint32) | np.array([[[0]], [[1]]], np.uint32)
+WIDE = np.random.default_rng(SEED + 1).integers(1 << 62, 1 << 63, (1, BITS // 64), dtype=np.uint64) | np.uint64(1)
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -50,43 +53,51 @@ def band_hashes(shingles: np.ndarray) -> list[int]:
     return [xxh64_intdigest(least[j : j + EACH].tobytes(), j) for j in range(0, len(least), EACH)]
 
 
+def wide_print(shingles: np.ndarray) -> bytes:
+    """SimHash of a set: a bit is 1 if it is in over half of the shingles' hashes; zero of an empty set."""
+    count = np.zeros(BITS, np.int64)
+    for at in range(0, len(shingles), 4096):
+        h = shingles[at : at + 4096, None] * WIDE
+        h ^= h >> np.uint64(32)
+        h *= WIDE
+        count += np.unpackbits(h.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint16)
+    return np.packbits(count * 2 > len(shingles)).tobytes()
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return UNDER * both >= OVER * (len(a) + len(b) - both)
 
 
-def with_bands(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs``, then _node, _size (of the shingle set) and _bands."""
+def with_prints(docs: DataFrame) -> DataFrame:
+    """(row, node, size, bands, fp, ones): all columns of ``docs`` as a struct, and of the shingle set a name, the size, the bands and the SimHash."""
     ship(docs.sparkSession)
-    names = docs.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
+            whole = pa.RecordBatch.from_arrays([whole.column("row"), whole.column("row").field("text")], names=["row", "text"])
             for b in slices(whole, "text", 4 << 20):
-                nodes, sizes, bands = [], [], []
+                nodes, sizes, bands, prints = [], [], [], []
                 for t in b.column("text").to_pylist():
                     s = shingle_set(t)
                     nodes.append(xxh64_intdigest(s.tobytes(), SEED))
                     sizes.append(len(s))
                     bands.append(np.array(band_hashes(s), np.uint64).view(np.int64))
+                    prints.append(wide_print(s))
                 ends = np.cumsum([0, *map(len, bands)], dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(bands)))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists], names=[*names, "_node", "_size", "_bands"])
-
-    return arrow_map(docs, run, f"{fields}, _node long, _size int, _bands array<long>")
+                ones = np.bitwise_count(np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), -1)).sum(axis=1, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists, pa.array(prints, pa.binary()), pa.array(ones)], names=["row", "node", "size", "bands", "fp", "ones"])
 
-
-def may_be(a: Column, b: Column) -> Column:
-    """Sets of such sizes can reach the similarity."""
-    return UNDER * F.least(a, b) >= OVER * F.greatest(a, b)
+    rows = docs.select(whole_rows(docs).alias("row"))
+    return arrow_map(rows, run, f"row {rows.schema['row'].dataType.simpleString()}, node long, size int, bands array<long>, fp binary, ones int")
 
 
 def checked(pairs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
     """The pairs (a, b) of nodes whose texts are similar."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct()
-    texts = cut(rows.join(wanted, "_node", "left_semi").groupBy("_node").agg(F.min("text").alias("text")), f"{name}-texts")
-    joined = pairs.join(texts.select(F.col("_node").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("_node").alias("b"), F.col("text").alias("t")), "b")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = cut(rows.select("node", "row.text").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), f"{name}-texts")
+    joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("t")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,50 +115,48 @@ def checked(pairs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
     return cut(arrow_map(joined.select("a", "b", "s", "t"), run, "a long, b long"), f"{name}-links")
 
 
-def apart(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each bucket's nodes in different components; members: (near), an array of (root, size, node)."""
-    ship(members.sparkSession)
+def alike(size: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Sets of such sizes can reach the similarity."""
+    return UNDER * np.minimum(size[r], size[c]).astype(np.int64) >= OVER * np.maximum(size[r], size[c]).astype(np.int64)
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> pa.RecordBatch:
-            a, b = (np.concatenate(x) for x in (first, second))
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+def first_near(size: np.ndarray, _, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each row with the first one that is near it."""
+    none = len(size)
+    best = np.full(none, none)
+    for r, c in pairs:
+        fits = alike(size, r, c)
+        np.minimum.at(best, c[fits], r[fits])
+    at = np.flatnonzero(best < none)
+    yield best[at], at
 
-        first, second, n = [], [], 0
-        for batch in batches:
-            for i in range(batch.num_rows):
-                items = batch.column("near")[i].values
-                root, size, node = (items.field(c).to_numpy() for c in ("root", "size", "node"))
-                for j in range(len(node)):
-                    other = node[(root > root[j]) & (UNDER * np.minimum(size, size[j]) >= OVER * np.maximum(size, size[j]))]
-                    first.append(np.full(len(other), node[j]))
-                    second.append(other)
-                    n += len(other)
-                    if n >= 100_000:
-                        yield out()
-                        first, second, n = [], [], 0
-        if n:
-            yield out()
-
-    return arrow_map(members, run, "a long, b long")
+
+def near_apart(size: np.ndarray, root: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs near each other with different roots."""
+    for r, c in pairs:
+        fits = (root[r] != root[c]) & alike(size, r, c)
+        yield r[fits], c[fits]
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def linked(rows: DataFrame) -> DataFrame:
-    """(node, root) of the nodes that have a link; rows: as of ``with_bands``, written."""
-    nodes = rows.groupBy("_node").agg(F.first("_size").alias("size"), F.first("_bands").alias("bands"))
-    dealt = nodes.select(F.col("_node").alias("node"), "size", F.explode("bands").alias("band")).repartition("band")
-    near = dealt.groupBy("band").agg(F.sort_array(F.collect_list(F.struct("size", "node"))).alias("near")).where(F.size("near") > 1)
-    # bands often have the same nodes
-    buckets = cut(near.select("near").distinct().withColumn("bucket", F.monotonically_increasing_id()), "copies-buckets")
-    star = buckets.select(F.col("near")[F.floor(F.size("near") / 2).cast("int")].alias("x"), F.explode("near").alias("y"))
-    star = star.where((F.col("x.node") != F.col("y.node")) & may_be(F.col("x.size"), F.col("y.size")))
-    star = cut(star.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "copies-star")
+    """(node, root) of the nodes that have a link; rows: as of ``with_prints``, written."""
+    nodes = cut(rows.groupBy(F.col("node").alias("id")).agg(*[F.first(c).alias(c) for c in ("size", "bands", "fp", "ones")]), "copies-nodes")
+    dealt = nodes.select("id", F.explode("bands").alias("key"))
+    shared = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    near = dealt.join(shared, "key", "left_semi").join(nodes.drop("bands"), "id")
+    near = cut(near, "copies-buckets")
+    star = cut(ordered(compared(near.withColumn("root", F.lit(0).cast("long")), RADIUS, TILE, first_near)), "copies-star")
     links = checked(star, rows, "copies-star")
     found = components(links, "copies-star")
-    many = buckets.where(F.size("near") > 2).select("bucket", F.explode("near").alias("x")).select("bucket", "x.size", "x.node")
-    many = many.join(found, "node", "left").select("bucket", F.struct(F.coalesce("root", "node").alias("root"), "size", "node").alias("x"))
-    many = many.groupBy("bucket").agg(F.collect_list("x").alias("near"), F.min("x.root").alias("least"), F.max("x.root").alias("most")).where("least < most")
-    rest = cut(apart(many.select("near")).distinct().join(star, ["a", "b"], "left_anti"), "copies-rest")
+    near = near.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    near = cut(near, "copies-apart")
+    several = near.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
+    rest = ordered(compared(near.join(several, "key", "left_semi"), RADIUS, TILE, near_apart))
+    rest = cut(rest.join(star, ["a", "b"], "left_anti"), "copies-rest")
     return components(links.unionByName(checked(rest, rows, "copies-rest")), "copies")
 
 
@@ -158,17 +167,18 @@ def keep_first(docs: DataFrame) -> DataFrame:
     if their texts are.
     """
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rows = cut(with_bands(docs), "copies")
-    ids = rows.groupBy(F.col("_node").alias("node"), "doc_id").agg(F.count("*").alias("n"))
+    rows = cut(with_prints(docs), "copies")
+    ids = rows.groupBy("node", F.col("row.doc_id").alias("doc_id")).agg(F.count("*").alias("n"))
     ids = ids.join(linked(rows), "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = ids.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id")).alias("first"))
     ids = ids.join(first, "root").where(F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
     # nearly all groups have one row with that doc_id; only the others' rows are compared
     total = ids.groupBy("root").agg(F.sum("n").alias("total"))
-    ids = cut(ids.join(total, "root").select("root", "node", F.col("doc_id").alias("id"), "total"), "copies-first")
-    same = (F.col("_node") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("id"))
-    alone = rows.join(ids.where("total = 1"), same, "left_semi").select(*docs.columns)
-    key = F.struct(*[x for c in ("text", *rest) for x in (F.isnull(c).alias(f"_none_{c}"), F.col(c))])
-    tied = rows.join(ids.where("total > 1"), same).groupBy("root").agg(F.min("id").alias("doc_id"), F.min(key).alias("_row"))
-    tied = tied.select(*["doc_id" if c == "doc_id" else F.col("_row")[c].alias(c) for c in docs.columns])
-    return alone.unionByName(tied)
+    ids = cut(ids.join(total, "root").select("root", "node", F.col("doc_id").alias("id"), "total"), "copies-first").alias("i")
+    kept = rows.select("row", "node").alias("r")
+    same = (F.col("r.node") == F.col("i.node")) & F.col("r.row.doc_id").eqNullSafe(F.col("i.id"))
+    alone = kept.join(ids.where("total = 1"), same, "left_semi").select("r.row")
+    values = [x for c in ("text", *rest) for x in (F.isnull(F.col("r.row")[c]), F.col("r.row")[c])]
+    key = F.struct(*[x.alias(f"k{i}") for i, x in enumerate(values)], F.col("r.row").alias("row"))
+    tied = kept.join(ids.where("total > 1"), same).groupBy("i.root").agg(F.min(key).alias("least")).select("least.row")
+    return alone.unionByName(tied).select("row.*")

@@ -1,10 +1,11 @@
 """SimHash near-duplicates: exact comparison of 64-bit fingerprints in tiles.
 
 Texts become fingerprints next to the scan. Equal fingerprints become one node, so copies cost nothing further. Nodes
-within the radius share at least one of ``radius + 1`` blocks of their bits, so each node goes to one bucket per block;
-a bucket is cut into tiles by population count (and a hash, where one count has too many rows), tile pairs whose counts
-differ by more than the radius are never built, and a pair of tiles is compared with numpy exclusive-or and bit counts.
-A tile pair yields a spanning forest of its links, never all pairs.
+within the radius share at least one of ``radius + 1`` blocks of their bits, so each node goes to one bucket per block.
+All comparing is done by tiles: the rows of a task, in order of bucket and population count, are cut into tiles of ``TILE``
+rows; tile pairs with no bucket in common, or whose population counts there differ by more than the radius, are skipped,
+and the others are compared with numpy exclusive-or and bit counts. A bucket too large for one task is dealt to several by
+ranges of population count in the same way. What leaves a task is a spanning forest of its links, never all pairs.
 
 Defined results: a null or blank text has fingerprint zero and is linked like any other; rows with equal doc_id are rows
 of their own; a null doc_id never becomes a component's id unless no other is reachable (then the id is null); an empty
@@ -26,6 +27,8 @@ from .common import arrow_map, components, cut, ship, slices
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SEED = 42
+#: Rows of a tile that numpy compares with another at once.
+TILE = 64
 
 
 def shingle_hashes(text: str | None, width: int = 3) -> list[int]:
@@ -67,123 +70,144 @@ def with_fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")), run, "doc_id long, fp long")
 
 
-def forest(adjacent: np.ndarray) -> np.ndarray:
-    """Label of each row of a square boolean matrix: the first row of its component."""
-    n = len(adjacent)
-    label = np.full(n, -1, np.int64)
-    for i in range(n):
-        if label[i] >= 0:
-            continue
-        label[i], front = i, np.array([i])
-        while len(front):
-            near = adjacent[front].any(axis=0) & (label < 0)
-            front = np.flatnonzero(near)
-            label[front] = i
-    return label
-
-
-def tile_links(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (row, first row of its component) among fingerprints, as a forest; all pairs within the tile are compared."""
-    n = len(fp)
-    if n <= 1024:
-        label = forest(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius)
-        at = np.flatnonzero(label != np.arange(n))
-        return at, label[at]
-    out_a, out_b, step = [], [], 1024  # larger tiles in blocks, so that memory stays bounded
-    for i in range(0, n, step):
-        for j in range(i, n, step):
-            rows = np.arange(i, min(i + step, n)) if i == j else np.r_[i : min(i + step, n), j : min(j + step, n)]
-            x = fp[rows]
-            label = forest(np.bitwise_count(x[:, None] ^ x[None, :]) <= radius)
-            at = np.flatnonzero(label != np.arange(len(rows)))
-            out_a.append(rows[at])
-            out_b.append(rows[label[at]])
-    return np.concatenate(out_a), np.concatenate(out_b)
-
-
-def small_links(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same for many short runs of equal key at once: row i against row i + s, for each shift s below the longest run."""
-    label, n = np.arange(len(fp)), len(fp)
-    first, second = [], []
-    s, live = 1, np.arange(n)
-    while len(live):
-        live = live[live + s < n]
-        live = live[key[live] == key[live + s]]
-        near = live[np.bitwise_count(fp[live] ^ fp[live + s]) <= radius]
-        first.append(near)
-        second.append(near + s)
-        s += 1
-    a, b = np.concatenate(first or [label[:0]]), np.concatenate(second or [label[:0]])
-    while True:  # labels spread until nothing changes
+def near_pairs(group: np.ndarray, ones: np.ndarray, fp: np.ndarray, radius: int, counts: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (r, c), r < c, of one group that differ in ``radius`` bits or fewer, by tiles of TILE rows.
+
+    Rows are sorted by group and population count; fp holds one or more 64-bit words a row. Two tiles meet if they have a
+    group in common and its population counts there lie within the radius. counts: tile pairs compared and skipped.
+    """
+    n, words = fp.shape
+    tiles = -(-n // TILE)
+    x, g = np.zeros((tiles * TILE, words), np.uint64), np.full(tiles * TILE, -1, np.int64)
+    x[:n], g[:n] = fp, group
+    x, g = x.reshape(tiles, TILE, words), g.reshape(tiles, TILE)
+    begin, end = np.arange(tiles) * TILE, np.minimum(np.arange(1, tiles + 1) * TILE, n) - 1
+    later = np.triu(np.ones((TILE, TILE), bool), 1)
+    for d in range(tiles):
+        p = np.arange(tiles - d)
+        if d:
+            p = p[group[end[p]] == group[begin[p + d]]]
+            if not len(p):
+                break  # sorted: what isn't shared at this distance isn't at a greater one
+            within = ones[begin[p + d]] - ones[end[p]] <= radius
+            if counts is not None:
+                counts[1] += int((~within).sum())
+            p = p[within]
+        if counts is not None:
+            counts[0] += len(p)
+        for i in range(0, len(p), 64):
+            left, right = p[i : i + 64], p[i : i + 64] + d
+            bits = np.zeros((len(left), TILE, TILE), np.uint16)
+            for w in range(words):
+                bits += np.bitwise_count(x[left, :, None, w] ^ x[right, None, :, w])
+            hit = (bits <= radius) & (g[left][:, :, None] == g[right][:, None, :])
+            if not d:
+                hit &= later
+            k, r, c = np.nonzero(hit)
+            r, c = left[k] * TILE + r, right[k] * TILE + c
+            real = c < n
+            yield r[real], c[real]
+
+
+def spread(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels lowered along the pairs until each component has its least."""
+    while True:
         before = label.copy()
         low = np.minimum(label[a], label[b])
         np.minimum.at(label, a, low)
         np.minimum.at(label, b, low)
         label = label[label]
         if (label == before).all():
-            break
+            return label
+
+
+def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links of each row to the first row of its component, whatever the number of pairs."""
+    label, held, size = np.arange(n), [], 0
+    for pair in pairs:
+        held.append(pair)
+        size += len(pair[0])
+        if size > 1 << 20:
+            label, held, size = spread(label, *map(np.concatenate, zip(*held, strict=True))), [], 0
+    if held:
+        label = spread(label, *map(np.concatenate, zip(*held, strict=True)))
     at = np.flatnonzero(label != np.arange(n))
-    return at, label[at]
+    yield at, label[at]
 
 
-def links(nodes: DataFrame, radius: int = 3, tile: int = 1024) -> DataFrame:
-    """Edges (a, b) of node ids that connect what lies within ``radius`` bits; nodes: (id, fp), one row for each fp."""
-    ship(nodes.sparkSession)
-    blocks = radius + 1
-    size = 64 // blocks
-    at = [(j * size, size if j < blocks - 1 else 64 - j * size) for j in range(blocks)]
-    keys = F.array(*[F.shiftrightunsigned("fp", lo).bitwiseAND((1 << bits) - 1) * blocks + j if bits < 64 else F.col("fp") for j, (lo, bits) in enumerate(at)])
-    dealt = nodes.select("id", "fp", F.bit_count("fp").cast("int").alias("ones"), F.explode(keys).alias("key"))
-    # buckets above one tile: how many tiles each population count needs
-    counts = dealt.groupBy("key", "ones").agg(F.count("*").alias("n"))
+def dealt_in_tiles(rows: DataFrame, radius: int, tile: int) -> DataFrame:
+    """``rows`` (id, fp, ones, key, size, root) with a pair of tiles (s, t), as often as there are pairs that they belong to.
+
+    A bucket of up to ``tile`` rows is one tile. A larger one is cut by population count, and by a hash where one count has
+    too many rows; pairs of tiles whose counts differ by more than the radius aren't made.
+    """
+    columns = ["id", "fp", "ones", "key", "size", "root"]
+    counts = rows.groupBy("key", "ones").agg(F.count("*").alias("n"))
     large = counts.groupBy("key").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("ones", F.ceil(F.col("n") / tile).cast("int").alias("tiles")))).alias("tiles")).where(F.col("total") > tile)
-    dealt = dealt.join(large.select("key", "tiles"), "key", "left")
-    own = F.pmod(F.xxhash64("fp"), F.col("tiles")[F.col("ones")]).cast("int")
-    mine = F.col("ones") * 4096 * 16 + own
-    # every tile within the radius of counts: the pair is named by its two tiles, in order
-    others = F.flatten(F.transform(F.sequence(F.col("ones") - radius, F.col("ones") + radius), lambda o: F.when(F.col("tiles")[o].isNull(), F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), F.col("tiles")[o] - 1), lambda s: (o * 4096 * 16 + s).cast("int")))))
+    rows = rows.join(large.select("key", "tiles"), "key", "left")
+    number = lambda ones, own: ones.cast("long") * (1 << 32) + own
+    mine = number(F.col("ones"), F.pmod(F.xxhash64("fp"), F.col("tiles")[F.col("ones")]))
+    others = F.flatten(F.transform(F.sequence(F.col("ones") - radius, F.col("ones") + radius), lambda o: F.when(F.col("tiles")[o].isNull(), F.array().cast("array<long>")).otherwise(F.transform(F.sequence(F.lit(0), F.col("tiles")[o] - 1), lambda s: number(o, s)))))
     pair = F.transform(others, lambda t: F.struct(F.least(t, mine).alias("s"), F.greatest(t, mine).alias("t")))
-    none = F.array(F.struct(F.lit(-1).alias("s"), F.lit(-1).alias("t")))
-    dealt = dealt.select("id", "fp", "ones", "key", F.explode(F.when(F.col("tiles").isNull(), none).otherwise(pair)).alias("p")).select("id", "fp", "ones", "key", "p.s", "p.t")
-    dealt = dealt.repartition("key", "s", "t").sortWithinPartitions("key", "s", "t", "ones")
+    none = F.array(F.struct(F.lit(-1).cast("long").alias("s"), F.lit(-1).cast("long").alias("t")))
+    rows = rows.select(*columns, F.explode(F.when(F.col("tiles").isNull(), none).otherwise(pair)).alias("p"))
+    return rows.select(*columns, "p.s", "p.t").repartition("key", "s", "t").sortWithinPartitions("key", "s", "t", "ones")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
 
-        def out(t: pa.Table) -> pa.RecordBatch:
+def print_words(column: pa.Array) -> np.ndarray:
+    """Fingerprints, of one word (long) or of several (binary), as rows of words."""
+    if pa.types.is_integer(column.type):
+        return column.to_numpy().view(np.uint64).reshape(-1, 1)
+    raw = column.to_pylist()
+    return np.frombuffer(b"".join(raw), "<u8").reshape(len(raw), -1)
+
+
+def compared(rows: DataFrame, radius: int, tile: int, pick) -> DataFrame:
+    """Edges (a, b) of ids; rows: (id, fp, ones, key, size, root), of which those with a key in common are compared.
+
+    pick: the rows' sizes and roots and the pairs near each other -> the pairs of rows to return.
+    """
+    ship(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
             k = np.stack([t.column(c).to_numpy() for c in ("key", "s", "t")])
-            starts = np.flatnonzero(np.r_[True, (k[:, 1:] != k[:, :-1]).any(axis=0)])
-            sizes = np.diff(np.r_[starts, t.num_rows])
-            ids, fp = t.column("id").to_numpy(), t.column("fp").to_numpy().view(np.uint64)
-            group = np.repeat(np.arange(len(starts)), sizes)
-            few = np.flatnonzero((sizes <= 64)[group])
-            a, b = small_links(group[few], fp[few], radius)
-            ends = [(few[a], few[b])]
-            for at in np.flatnonzero(sizes > 64):
-                rows = slice(starts[at], starts[at] + sizes[at])
-                a, b = tile_links(fp[rows], radius)
-                ends.append((a + starts[at], b + starts[at]))
-            a, b = (ids[np.concatenate(x)] for x in zip(*ends, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        rows = 0
+            group = np.cumsum(np.r_[False, (k[:, 1:] != k[:, :-1]).any(axis=0)])
+            ids, size, root = (t.column(c).to_numpy() for c in ("id", "size", "root"))
+            fp = print_words(t.column("fp").combine_chunks())
+            for a, b in pick(size, root, near_pairs(group, t.column("ones").to_numpy(), fp, radius)):
+                for i in range(0, len(a), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a[i : i + 100_000]]), pa.array(ids[b[i : i + 100_000]])], names=["a", "b"])
+
+        held: list[pa.Table] = []
+        n = 0
         for b in batches:
             held.append(pa.Table.from_batches([b]))
-            rows += b.num_rows
-            if rows < 50_000:
+            n += b.num_rows
+            if n < 50_000:
                 continue
             t = pa.concat_tables(held).combine_chunks()
             last = [t.column(c)[t.num_rows - 1].as_py() for c in ("key", "s", "t")]  # the last run may go on
             same = np.logical_and.reduce([t.column(c).to_numpy() == v for c, v in zip(("key", "s", "t"), last, strict=True)])
             whole = int(np.argmax(same))
             if whole:
-                yield out(t.slice(0, whole).combine_chunks())
+                yield from out(t.slice(0, whole).combine_chunks())
             held = [t.slice(whole)]
-            rows = held[0].num_rows
-        if rows:
-            yield out(pa.concat_tables(held).combine_chunks())
+            n = held[0].num_rows
+        if n:
+            yield from out(pa.concat_tables(held).combine_chunks())
 
-    return arrow_map(dealt.select("id", "fp", "key", "s", "t"), run, "a long, b long")
+    return arrow_map(dealt_in_tiles(rows, radius, tile), run, "a long, b long")
+
+
+def links(nodes: DataFrame, radius: int = 3, tile: int = 1024) -> DataFrame:
+    """Edges (a, b) of node ids that connect what lies within ``radius`` bits; nodes: (id, fp), one row for each fp."""
+    blocks = radius + 1
+    size = 64 // blocks
+    at = [(j * size, size if j < blocks - 1 else 64 - j * size) for j in range(blocks)]
+    keys = F.array(*[F.shiftrightunsigned("fp", lo).bitwiseAND((1 << bits) - 1) * blocks + j if bits < 64 else F.col("fp") for j, (lo, bits) in enumerate(at)])
+    rows = nodes.select("id", "fp", F.bit_count("fp").cast("int").alias("ones"), F.explode(keys).alias("key"), F.lit(0).alias("size"), F.lit(0).cast("long").alias("root"))
+    return compared(rows, radius, tile, lambda size, _, pairs: forest(len(size), pairs))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, tile: int = 1024) -> DataFrame:
@@ -199,17 +223,3 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, tile: int
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return prints.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
-
-def keep_first(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
-    """The rows of ``docs`` that stay when one row of each component does: that of its smallest doc_id.
-
-    Rows that repeat this doc_id are copies too: the first by text and the other columns stays. A row without doc_id
-    can't be named and stays. All columns stay.
-    """
-    named = docs.where("doc_id is not null")
-    found = near_duplicates(named, radius, width)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    rest = [c for c in docs.columns if c != "doc_id"]
-    kept = named.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("_row"))
-    kept = kept.select(*["doc_id" if c == "doc_id" else F.col("_row")[c].alias(c) for c in docs.columns])
-    return kept.unionByName(docs.where("doc_id is null"))

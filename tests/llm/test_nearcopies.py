@@ -68,9 +68,9 @@ def test_pairs_of_open_buckets_are_checked(spark):
         for j in range(k * 3, k * 3 + 10):
             text[j * 6] = f"x{j}"
         rows.append((k, " ".join(text), "en", "a", 0))
-    docs = common.cut(nearcopies.with_bands(spark.createDataFrame(rows, DOCS)), "test")
+    docs = common.cut(nearcopies.with_prints(spark.createDataFrame(rows, DOCS)), "test")
     found = {x.node: x.root for x in nearcopies.linked(docs).collect()}
-    nodes = {x.doc_id: found.get(x._node, x._node) for x in docs.select("doc_id", "_node").collect()}
+    nodes = {x.doc_id: found.get(x.node, x.node) for x in docs.select("row.doc_id", "node").collect()}
     roots = brute_roots([t for _, t, *_ in rows])
     for i in nodes:
         for j in nodes:

@@ -377,23 +377,24 @@ def test_simhash_links_in_hot_buckets(spark, tile):
     assert {f: got.get(f, f) for f in fps} == want
 
 
-def test_large_tiles():
+def test_tiles_compare_all_and_skip_by_population_count():
     rng = np.random.default_rng(0)
     fp = rng.integers(0, 1 << 63, 2500, dtype=np.uint64)
     fp[1500] = fp[3] ^ np.uint64(5)
     fp[2400] = fp[1500] ^ np.uint64(3 << 40)
-    a, b = simhash.tile_links(fp, 3)
-    assert {tuple(sorted(x)) for x in zip(a.tolist(), b.tolist(), strict=True)} == {(3, 1500), (1500, 2400)}
-
-
-def test_keep_first(spark, docs, rows):
-    got = simhash.keep_first(clean(docs))
-    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    named = [r for r in rows if r[0] is not None]
-    groups = brute_groups([(r[0], brute_simhash(r[1])) for r in named])
-    kept = sorted(r.doc_id for r in got.where("doc_id is not null").collect())
-    assert kept == sorted({r[0] for r, g in zip(named, groups, strict=True) if r[0] == g})
-    assert got.where("doc_id is null").count() == 2
+    group = np.r_[np.zeros(2450, np.int64), np.arange(1, 51) // 3 + 1]
+    ones = np.bitwise_count(fp).astype(np.int64)
+    order = np.lexsort((ones, group))
+    counts = [0, 0]
+    pairs = [x for x in simhash.near_pairs(group[order], ones[order], fp[order][:, None], 3, counts)]
+    found = {tuple(sorted((int(order[a]), int(order[b])))) for r, c in pairs for a, b in zip(r, c, strict=True)}
+    assert found == {(3, 1500), (1500, 2400)}
+    tiles = 2450 // simhash.TILE + 1
+    assert counts[1] > 0
+    assert counts[0] < tiles * (tiles + 1) // 2
+    at, label = next(simhash.forest(2500, iter(pairs)))
+    assert len(at) == 2
+    assert len(set(label.tolist())) == 1
 
 
 # ---- 6 ----
@@ -411,7 +412,7 @@ def test_bit_packing(bits):
 def odd_texts():
     r = random.Random(5)
     parts = ["aBc d", "  \n\t", "É’s 12 ", "\u3000\xa0 x", "日本語テ", "😀 '\u0301 é", "\x1c\x1f \x0b\x85<|endoftext|> Σας ΟΔΟΣ", "\x00 a", "The, END. don't! they're; H\u0331 E\u0301, <\u0338 O'S 's.", "(a)b_c-D's'"]
-    return ["".join(r.choice(r.choice(parts)) for _ in range(r.randrange(60))) for _ in range(400)] + ["", None, " " * 1000, "a" * 5000 + "  "]
+    return ["".join(r.choice(r.choice(parts)) for _ in range(r.randrange(60))) for _ in range(400)] + ["", None, " " * 1000, "a" * 5000 + "  ", "The end<|endoftext|>Of it", "<|startoftext|> A<|ENDOFTEXT|> B <|endoftext|\u0338>", "x<|endoftext|>" * 50]
 
 
 @pytest.mark.parametrize("per_file", [50, 100000])
@@ -419,7 +420,6 @@ def test_token_files(spark, per_file):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     rows = [(i * 7 - 30 if i else None, x) for i, x in enumerate(odd_texts())]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     files = tokenfile.write_files(df, WORDS, 2, common.new_path(spark, "t"), per_file)
@@ -444,6 +444,16 @@ def test_token_files_of_nothing_and_repeats(spark, docs, rows):
 # ---- 7 ----
 
 
+def merge(parts, ranks):
+    """The rank rule: join the adjacent pair of lowest rank, leftmost first, while there is one."""
+    while True:
+        found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in ranks]
+        if not found:
+            return parts
+        i = min(found)[1]
+        parts = [*parts[:i], parts[i] + parts[i + 1], *parts[i + 2 :]]
+
+
 def rule():
     import tiktoken
 
@@ -460,12 +470,34 @@ def test_byte_bpe(spark):
         assert got[i].n_tokens == len(ids)
         assert got[i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert got[i].decoded_sha256 == hashlib.sha256((x or "").encode()).hexdigest()
+        assert got[i].n_split == sum(0x80 <= exact.decode_single_token_bytes(k)[0] < 0xC0 for k in ids)
     assert bpe.digests(df.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_library_follows_the_rank_rule():
+    """What the library makes of words and of random pieces of the vocabulary is what the rank rule makes of them."""
+    r, exact = random.Random(3), rule()
+    tokens = list(bpe.read_ranks(RANKS))
+    texts = [b"".join(r.choice(tokens) for _ in range(r.randrange(1, 6))).decode("utf-8", "ignore") for _ in range(20000)]
+    texts += ["".join(r.choice("abcdeéßñ日 .") for _ in range(r.randrange(1, 30))) for _ in range(5000)]
+    flat, sizes = bpe.byte_encoder(RANKS, public_tokenizers.PATTERN).column(pa.array(texts))
+    at = np.r_[0, np.cumsum(sizes)]
+    assert [x for x, i, j in zip(texts, at, at[1:], strict=False) if flat[i:j].tolist() != exact.encode_ordinary(x)] == []
+
+
+def test_offsets_are_the_library_s():
+    t, names = bpe.rank_tokenizer(RANKS, public_tokenizers.PATTERN)
+    texts = [x for x in odd_texts() if x]
+    flat, sizes = bpe.byte_encoder(RANKS, public_tokenizers.PATTERN).column(pa.array(texts))
+    starts, ends = bpe.Decoder(names).offsets(flat.astype(np.int64), sizes)
+    assert list(zip(starts.tolist(), ends.tolist(), strict=True)) == [o for x in texts for o in t.encode(x, add_special_tokens=False).offsets]
+
+
 def test_encode_and_decode_tables(spark):
-    df = spark.createDataFrame([(1, "日本 text 😀", "k"), (2, None, "k"), (3, "", None)], "doc_id long, text string, other string")
+    df = spark.createDataFrame([(1, "日本 text 😀", "k", 1, 2), (2, None, "k", 1, 2), (3, "", None, 1, 2)], "doc_id long, text string, other string, ids int, bytes int")
     encoded = bpe.encode_texts(df, RANKS, public_tokenizers.PATTERN, keep=True)
+    assert encoded.columns == ["doc_id", "text", "other", "bytes", "ids", "starts", "ends"]
+    assert bpe.round_trip(df, RANKS, public_tokenizers.PATTERN).columns == ["doc_id", "other", "bytes", "ids", "text"]
     back = bpe.decode_ids(encoded, RANKS, public_tokenizers.PATTERN, keep=True).orderBy("doc_id").collect()
     assert [bytes(r.bytes).decode() for r in back] == ["日本 text 😀", "", ""]
     assert [r.other for r in back] == ["k", "k", None]
@@ -476,7 +508,7 @@ def test_encode_and_decode_tables(spark):
 def test_merge_rule_and_memory():
     ranks = bpe.read_ranks(RANKS)
     for piece in (b" international", b"aaaaaaa", "日本語".encode()):
-        assert [ranks[p] for p in bpe.merge([piece[i : i + 1] for i in range(len(piece))], ranks)] == rule().encode_ordinary(piece.decode())
+        assert [ranks[p] for p in merge([piece[i : i + 1] for i in range(len(piece))], ranks)] == rule().encode_ordinary(piece.decode())
     encoder = bpe.byte_encoder(RANKS, public_tokenizers.PATTERN)
     before, bpe.MEMORY = bpe.MEMORY, 20
     try:
@@ -514,6 +546,9 @@ def test_pii_added_spans():
     t = "IBAN GB82 WEST 1234 5698 7654 32 ok, account no: 1234-5678 and DE89370400440532013000. ssn 123-45-6789, http://bob:pw@h.org/ GB82 WEST 1234 5698 7654 33"
     assert [t[a:b] for k, a, b in pii.find_spans(t) if k == "account"] == ["GB82 WEST 1234 5698 7654 32", "1234-5678", "DE89370400440532013000", "123-45-6789"]
     assert [t[a:b] for k, a, b in pii.find_spans(t) if k == "login"] == ["bob:pw"]
+    long = "p" * 5000
+    assert [b - a for k, a, b in pii.find_spans(f"see ftp://user:{long}@host/ and http://{long}:{long}@host") if k == "login"] == [5005, 10001]
+    assert pii.find_spans("http://a:b" * 20000) == []
     assert pii.find_spans("the account was closed in 2019, see page 12 of the passport office's list") == []
 
 

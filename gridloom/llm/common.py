@@ -76,15 +76,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def trim() -> None:
+    """Give memory back to the system, so that idle and reused workers hold little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps what it keeps
+        pass
+
+
 def tidied(run):
-    """``run`` with memory given back to the system after each batch: idle and reused workers then hold little."""
-
-    def trim() -> None:
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library: it keeps what it keeps
-            pass
+    """``run`` with memory given back after each batch."""
 
     def whole(batches):
         def each():

@@ -1,21 +1,24 @@
 """Repeated byte strings: every byte covered by a string of ``length`` bytes that also starts in an earlier document.
 
-The longest-previous-factor view: in the order of all suffixes, the previous and the next suffix with a smaller document
-bound what a suffix shares with earlier text; where the shared length reaches ``length``, the string that begins there is
-a later copy. One suffix array of everything can't be built on a cluster, so it is built in slices that lose no match:
+Longest-previous-factor arrays: in the order of all suffixes, the previous and the next suffix with a smaller document bound
+what a suffix shares with earlier text; where the greater of the two reaches ``length``, the string that begins there is a
+later copy, and the first one stays. One suffix array of everything can't be built on a cluster, so it is built in slices
+that lose no match:
 
 1. Each string of ``length`` bytes has an anchor, its least k-gram by hash (the leftmost of equals). Equal strings have
    equal anchors at equal places, so strings with different anchors need not meet.
-2. Anchors' hashes are dealt by value; those met in more than one document go back to the documents. The rest of the text
-   can't repeat and leaves the game.
-3. For each such anchor the run of strings that it stands for is sent, as one stretch of bytes, to the slice of its hash.
-   A slice joins equal stretches, sorts what strings are left as suffixes (eight bytes a round, dropping at each round
-   what has no neighbour with the same beginning) and takes the least document of those that agree in ``length`` bytes.
-   Common-prefix lengths and a longest-previous-factor array aren't built: whether ``length`` bytes are met earlier is
-   all that is asked.
-4. Documents gather the spans found and take them out.
-
-Texts are shuffled once, compressed, into a table that is bucketed by row, which later steps join without a shuffle. Equal
+2. Documents are dealt into groups of about ``GROUP`` bytes. A group sends each different anchor hash once, to the slice of
+   the hash, and is told which of them other documents have too. The rest of the text can't repeat and leaves the game.
+3. For each such anchor the run of strings that it stands for goes to its slice, as one stretch of bytes: once for a group,
+   with the earliest document there. A slice joins equal stretches, builds the suffix array of its strings with the lengths
+   that neighbours share (eight bytes a round, up to ``length``), and from it the longest previous factor of each.
+4. The group is told, for each of its stretches, the earliest document that has it and which of its strings are met earlier;
+   it finds the stretches' places again and takes the spans out.
+
+So a slice holds a row for each group that has an anchor, however many documents do; groups and slices are numbered from the
+bytes there are. The strings of an anchor that more than ``HOT`` groups have are dealt one by one, by hashes of their own.
+
+Texts are shuffled once, compressed, into a table that is bucketed by group, which later steps read without a shuffle. Equal
 texts are compared by digest first, so that only the earliest of them takes part.
 
 Defined results: documents are ordered by doc_id, one without doc_id before all others; rows of equal doc_id don't make
@@ -28,16 +31,21 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import partial
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from .common import arrow_map, cut, ranges, ship, text_buffer
+from .common import arrow_map, cut, ranges, ship, text_buffer, trim
 
 LENGTH, GRAM = 50, 16
+#: Bytes of text in a group and, about, behind a slice and a bucket of the table; groups that make an anchor a hot one.
+GROUP, SLICE, BUCKET, HOT = 16 << 20, 16 << 20, 64 << 20, 4096
 EMPTY = hashlib.sha256(b"").hexdigest()
 FIRST = -(1 << 63)  # stands for a null doc_id
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -108,52 +116,7 @@ def undelta(data: bytes) -> np.ndarray:
     return np.cumsum(d, dtype=np.uint64) + np.frombuffer(data, "<u8", 1, 1)
 
 
-def row_numbers(data: bytes) -> np.ndarray:
-    return undelta(data).astype(np.int64) if data[0] else np.frombuffer(data, np.int64, -1, 1)
-
-
-def anchor_rows(texts: DataFrame, slices: int, length: int, gram: int) -> DataFrame:
-    """(slice, u, docs, hashes): the anchors of some documents that fall in one slice; texts: (u, z)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(hashes: list[np.ndarray], docs: list[np.ndarray], u: list[int]) -> pa.RecordBatch:
-            h, d = np.concatenate(hashes), np.concatenate(docs)
-            key = h % np.uint64(slices)
-            order = np.lexsort((h, key))
-            h, d, key = h[order], d[order], key[order]
-            at = np.searchsorted(key, np.arange(slices + 1, dtype=np.uint64))
-            rows = {"slice": [], "u": [], "docs": [], "hashes": []}
-            us = np.array(u, np.int64)  # ascending: the table is sorted by it
-            for s in range(slices):
-                a, b = at[s], at[s + 1]
-                if a < b:
-                    own, place = np.unique(d[a:b], return_inverse=True)
-                    rows["slice"].append(s)
-                    rows["u"].append(deltas(us[own].astype(np.uint64)) if (np.diff(us[own]) > 0).all() else b"\0" + us[own].tobytes())
-                    rows["docs"].append(place.astype("<u2").tobytes())
-                    rows["hashes"].append(deltas(h[a:b]))
-            return pa.RecordBatch.from_pydict({"slice": pa.array(rows["slice"], pa.int32()), **{k: pa.array(rows[k], pa.binary()) for k in ("u", "docs", "hashes")}})
-
-        hashes, docs, u, size = [], [], [], 0
-        for b in batches:
-            us = b.column("u").to_pylist()
-            for first, last, data, offsets in inflated(b):
-                _, at, h = owners(data, np.repeat(offsets[1:], np.diff(offsets)), length, gram)
-                at = at[np.r_[True, at[1:] != at[:-1]]] if len(at) else at
-                hashes.append(short(h[at]))
-                docs.append((np.searchsorted(offsets, at, side="right") - 1 + len(u)).astype(np.int64))
-                u += us[first:last]
-                size += len(data)
-                if size >= 24 << 20 or len(u) > 60_000 - 8192:
-                    yield out(hashes, docs, u)
-                    hashes, docs, u, size = [], [], [], 0
-        if u:
-            yield out(hashes, docs, u)
-
-    return arrow_map(texts.select("u", "z"), run, "slice int, u binary, docs binary, hashes binary")
-
-
-def per_slice(df: DataFrame, work, schema: str) -> DataFrame:
+def per_slice(df: DataFrame, work, schema: str, slices: int) -> DataFrame:
     """Deal packed rows by slice and give the rows of each slice to ``work`` at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,191 +124,308 @@ def per_slice(df: DataFrame, work, schema: str) -> DataFrame:
         for b in batches:
             for row in b.to_pylist():
                 if row["slice"] != now and held:
-                    yield from work(held)
+                    yield work(held)
                     held = []
                 now = row["slice"]
                 held.append(row)
         if held:
-            yield from work(held)
+            yield work(held)
 
-    return arrow_map(df.repartition("slice").sortWithinPartitions("slice"), run, schema)
+    return arrow_map(df.repartition(slices, "slice").sortWithinPartitions("slice"), run, schema)
 
 
-def in_batches(columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    whole = pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
-    for i in range(0, whole.num_rows, 50_000):
-        yield whole.slice(i, 50_000)
+#: What a group is told: its first rows of a text (u), its shared anchors (data: hashes, more: hot ones), verdicts on its stretches.
+SIDE = "g int, kind int, u long, data binary, more binary"
+FIRST_ROW, SHARED, VERDICT = range(3)
 
 
-def shared_anchors(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-    """(u, h): each hash of a document that others have too."""
-    h = np.concatenate([undelta(r["hashes"]) for r in rows])
-    place = [np.frombuffer(r["docs"], "<u2") for r in rows]
-    u = np.concatenate([row_numbers(r["u"])[p] for r, p in zip(rows, place, strict=True)])
-    order = np.argsort(h, kind="stable")
-    h, u = h[order], u[order]
-    starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    many = np.minimum.reduceat(u, starts) != np.maximum.reduceat(u, starts)
-    own = np.repeat(many, np.diff(np.r_[starts, len(h)]))
-    yield from in_batches({"u": u[own], "h": h[own].astype(np.int64)})
+def per_group(texts: DataFrame, told: DataFrame, work, schema: str) -> DataFrame:
+    """``work`` on each group: a table of its first rows (u, o, z) and what it is told, by kind."""
 
+    def run(rows: pa.Table, side: pa.Table) -> pa.Table:
+        kinds = {k: side.filter(pc.equal(side.column("kind"), k)) for k in (FIRST_ROW, SHARED, VERDICT)}
+        own = rows.filter(pc.is_in(rows.column("u"), kinds[FIRST_ROW].column("u").combine_chunks())).sort_by("u").combine_chunks()
+        out = work(rows.column("g")[0].as_py() if rows.num_rows else -1, own, kinds)
+        trim()
+        return out
 
-def stretches(joined: DataFrame, slices: int, length: int, gram: int) -> DataFrame:
-    """Packed rows (slice, u, o, docs, at, which, strings, bytes): stretches of strings that share an anchor others have too.
+    return texts.select("g", "u", "o", "z").groupBy("g").cogroup(told.groupBy("g")).applyInArrow(run, schema)
 
-    joined: (u, o, z, h), h the list of hashes.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(parts: list[tuple], u: list[int], o: list[int]) -> pa.RecordBatch:
-            key, doc, at = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            pieces = [x for p in parts for x in p[3]]
-            order = np.argsort(key, kind="stable")
-            bounds = np.searchsorted(key[order], np.arange(slices + 1))
-            us, os_ = np.array(u, np.int64), np.array(o, np.int64)
-            rows = {"slice": [], "u": [], "o": [], "docs": [], "at": [], "which": [], "strings": [], "bytes": []}
-            for s in range(slices):
-                mine = order[bounds[s] : bounds[s + 1]]
-                if len(mine):
-                    own, place = np.unique(doc[mine], return_inverse=True)
-                    rows["slice"].append(s)
-                    rows["u"].append(us[own].tobytes())
-                    rows["o"].append(os_[own].tobytes())
-                    rows["docs"].append(place.astype("<u2").tobytes())
-                    rows["at"].append(at[mine].astype("<u4").tobytes())
-                    # equal stretches go once, however many documents here have them
-                    place_of: dict[bytes, int] = {}
-                    which = np.array([place_of.setdefault(pieces[i], len(place_of)) for i in mine], "<u4")
-                    rows["which"].append(which.tobytes())
-                    rows["strings"].append((np.fromiter(map(len, place_of), np.int64, len(place_of)) - length + 1).astype("<u1").tobytes())
-                    rows["bytes"].append(zlib.compress(b"".join(place_of), 1))
-            return pa.RecordBatch.from_pydict({"slice": pa.array(rows["slice"], pa.int32()), **{k: pa.array(rows[k], pa.binary()) for k in ("u", "o", "docs", "at", "which", "strings", "bytes")}})
-
-        parts, u, o, size = [], [], [], 0
-        for b in batches:
-            us, os_ = b.column("u").to_pylist(), b.column("o").to_pylist()
-            flags, edges = b.column("h").flatten().to_numpy().astype(np.uint64), np.r_[0, np.cumsum(b.column("h").value_lengths().to_numpy())]
-            for first, last, data, offsets in inflated(b):
-                starts, at, h = owners(data, np.repeat(offsets[1:], np.diff(offsets)), length, gram)
-                if not len(starts):
-                    continue
-                begin = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-                end = np.r_[begin[1:], len(at)]
-                own = short(h[at[begin]])
-                doc = np.searchsorted(offsets, starts[begin], side="right") - 1
-                # the hashes others have too, of each document: one look-up of (document, hash) pairs
-                whose = np.repeat(np.arange(last - first), np.diff(edges[first : last + 1])).astype(np.uint64)
-                pair = (flags[edges[first] : edges[last]] << np.uint64(16)) | whose
-                hit = np.isin((own << np.uint64(16)) | doc.astype(np.uint64), pair)
-                begin, end, own, doc = begin[hit], end[hit], own[hit], doc[hit]
-                raw = data.tobytes()
-                first_at, last_at = starts[begin], starts[end - 1] + length
-                pieces = [raw[i:j] for i, j in zip(first_at, last_at, strict=True)]
-                parts.append(((own % np.uint64(slices)).astype(np.int64), doc + len(u), first_at - offsets[doc], pieces))
-                u += us[first:last]
-                o += os_[first:last]
-                size += sum(map(len, pieces))
-                if size >= 24 << 20 or len(u) > 60_000 - 8192:
-                    yield out(parts, u, o)
-                    parts, u, o, size = [], [], [], 0
-        if parts:
-            yield out(parts, u, o)
-
-    return arrow_map(joined.select("u", "o", "z", "h"), run, "slice int, u binary, o binary, docs binary, at binary, which binary, strings binary, bytes binary")
-
-
-def suffix_order(text: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places in the order of the ``length`` bytes that begin there, and the number of each one's class of equals.
-
-    Only places that share all bytes with another are returned: a round sorts by the next eight bytes within classes that
-    agree so far, and places alone in their class drop out.
+def table_of(columns: dict[str, list], kinds: dict[str, pa.DataType]) -> pa.Table:
+    return pa.table({k: pa.array(columns[k], t) for k, t in kinds.items()})
+
+
+def texts_of(own: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    for b in own.to_batches():
+        yield from inflated(b)
+
+
+def anchors(g: int, own: pa.Table, _, slices: int, length: int, gram: int) -> pa.Table:
+    """(slice, g, hashes, many): the different anchors of a group by slice, and whether several of its documents have them."""
+    hashes, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for first, _, data, offsets in texts_of(own):
+        _, at, h = owners(data, np.repeat(offsets[1:], np.diff(offsets)), length, gram)
+        at = at[np.r_[True, at[1:] != at[:-1]]] if len(at) else at
+        hashes.append(short(h[at]))
+        docs.append(np.searchsorted(offsets, at, side="right") - 1 + first)
+    h, d = np.concatenate(hashes), np.concatenate(docs)
+    order = np.lexsort((d, h))
+    h, d = h[order], d[order]
+    begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+    end = np.r_[begin[1:], len(h)] - 1
+    many = d[begin] != d[end] if len(begin) else np.zeros(0, bool)
+    h = h[begin]
+    key = h % np.uint64(slices)
+    order = np.argsort(key, kind="stable")
+    h, many, key = h[order], many[order], key[order]
+    mine, begin = np.unique(key, return_index=True)
+    parts = [slice(i, j) for i, j in zip(begin, [*begin[1:], len(key)], strict=True)] if len(key) else []
+    return pa.table({"slice": pa.array(mine.astype(np.int32)), "g": pa.array([g] * len(mine), pa.int32()), "hashes": pa.array([deltas(h[p]) for p in parts], pa.binary()), "many": pa.array([np.packbits(many[p]).tobytes() for p in parts], pa.binary())})
+
+
+def shared_anchors(rows: list[dict], hot: int) -> pa.RecordBatch:
+    """For each group in a slice the anchors that several documents have, and which of those very many groups have."""
+    each = [undelta(r["hashes"]) for r in rows]
+    h = np.concatenate(each)
+    many = np.concatenate([np.unpackbits(np.frombuffer(r["many"], np.uint8), count=len(x)) for r, x in zip(rows, each, strict=True)])
+    order = np.argsort(h, kind="stable")
+    starts = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
+    number = np.diff(np.r_[starts, len(h)])
+    common, often = np.zeros(len(h), bool), np.zeros(len(h), bool)
+    common[order] = np.repeat((number > 1) | (np.maximum.reduceat(many[order], starts) > 0), number)
+    often[order] = np.repeat(number > hot, number)
+    g, data, more, at = [], [], [], 0
+    for r, x in zip(rows, each, strict=True):
+        own = slice(at, at + len(x))
+        at += len(x)
+        if common[own].any():
+            g.append(r["g"])
+            data.append(deltas(x[common[own]]))
+            more.append(np.packbits(often[own][common[own]]).tobytes())
+    n = len(g)
+    return pa.RecordBatch.from_pydict({"g": pa.array(g, pa.int32()), "kind": pa.array([SHARED] * n, pa.int32()), "u": pa.nulls(n, pa.int64()), "data": pa.array(data, pa.binary()), "more": pa.array(more, pa.binary())})
+
+
+class Stretches:
+    """The stretches of a group that may repeat: where they are, and which are equal, by slice."""
+
+    def __init__(self, own: pa.Table, told: pa.Table, slices: int, length: int, gram: int):
+        each = [undelta(x) for x in told.column("data").to_pylist()]
+        shared = np.concatenate([np.zeros(0, np.uint64), *each])
+        often = np.concatenate([np.zeros(0, np.uint8), *[np.unpackbits(np.frombuffer(m, np.uint8), count=len(x)) for m, x in zip(told.column("more").to_pylist(), each, strict=True)]])
+        hot = shared[often > 0]
+        key, doc, at, pieces = [], [], [], []
+        for first, _, data, offsets in texts_of(own):
+            starts, anchor, h = owners(data, np.repeat(offsets[1:], np.diff(offsets)), length, gram)
+            if not len(starts):
+                continue
+            begin = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+            end = np.r_[begin[1:], len(anchor)]
+            hashes = short(h[anchor[begin]])
+            hit = np.isin(hashes, shared)
+            begin, end, hashes = begin[hit], end[hit], hashes[hit]
+            raw = data.tobytes()
+            single = np.isin(hashes, hot) if len(hot) else np.zeros(len(hashes), bool)
+            if single.any():  # one string a stretch, dealt by a hash of its own
+                count = np.where(single, end - begin, 1)
+                begin = np.repeat(begin, count) + np.where(np.repeat(single, count), ranges(count), 0)
+                end, single, hashes = np.where(np.repeat(single, count), begin + 1, np.repeat(end, count)), np.repeat(single, count), np.repeat(hashes, count)
+            low, high = starts[begin], starts[end - 1] + length
+            these = [raw[i:j] for i, j in zip(low, high, strict=True)]
+            if single.any():
+                hashes = hashes.copy()
+                hashes[single] = [xxh64_intdigest(these[i]) for i in np.flatnonzero(single)]
+            d = np.searchsorted(offsets, low, side="right") - 1
+            key.append((hashes % np.uint64(slices)).astype(np.int64))
+            doc.append(d + first)
+            at.append(low - offsets[d])
+            pieces += these
+        none = np.zeros(0, np.int64)
+        self.key, self.doc, self.at = (np.concatenate([none, *x]) for x in (key, doc, at))
+        self.strings = np.fromiter(map(len, pieces), np.int64, len(pieces)) - length + 1
+        self.pieces = pieces
+        self.o = own.column("o").to_numpy()
+        self.order = np.argsort(self.key, kind="stable")
+        self.slices, self.begin = np.unique(self.key[self.order], return_index=True)
+
+    def by_slice(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[bytes], np.ndarray]]:
+        """(slice, occurrences, the number of each one's piece, pieces, earliest document of each piece)."""
+        for s, i, j in zip(self.slices, self.begin, np.r_[self.begin[1:], len(self.order)][: len(self.slices)], strict=True):
+            mine = self.order[i:j]
+            place_of: dict[bytes, int] = {}
+            which = np.array([place_of.setdefault(self.pieces[k], len(place_of)) for k in mine], np.int64)
+            first = np.full(len(place_of), np.iinfo(np.int64).max)
+            np.minimum.at(first, which, self.o[self.doc[mine]])
+            yield int(s), mine, which, list(place_of), first
+
+
+def sent_stretches(g: int, own: pa.Table, told: dict[int, pa.Table], slices: int, length: int, gram: int) -> pa.Table:
+    """(slice, g, o, strings, bytes): the different stretches of a group, each with its earliest document there."""
+    columns = {"slice": [], "g": [], "o": [], "strings": [], "bytes": []}
+    for s, _, _, pieces, first in Stretches(own, told[SHARED], slices, length, gram).by_slice():
+        columns["slice"].append(s)
+        columns["g"].append(g)
+        columns["o"].append(first.tobytes())
+        columns["strings"].append((np.fromiter(map(len, pieces), np.int64, len(pieces)) - length + 1).astype("<u2").tobytes())
+        columns["bytes"].append(zlib.compress(b"".join(pieces), 1))
+    return table_of(columns, {"slice": pa.int32(), "g": pa.int32(), "o": pa.binary(), "strings": pa.binary(), "bytes": pa.binary()})
+
+
+def suffix_array(text: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the order of the ``length`` bytes that begin there, and how many of them each shares with the one before.
+
+    A round sorts by the next eight bytes what agrees so far; a place alone in its class has found its rank.
     """
-    group = np.zeros(len(places), np.int64)
+    order, shared = places.copy(), np.zeros(len(places), np.int64)
+    live, group = np.arange(len(places)), np.zeros(len(places), np.int64)
+    width = min(8, length)
+    begins = np.zeros(0, bool)
     for at in range(0, length, 8):
-        at = min(at, length - 8) if length >= 8 else 0
-        word = np.zeros(len(places), np.uint64)
-        for k in range(min(8, length)):
-            word = (word << np.uint64(8)) | text[places + at + k].astype(np.uint64)
-        order = np.lexsort((word, group)) if at else np.argsort(word, kind="stable")
-        places, group, word = places[order], group[order], word[order]
-        new = np.r_[True, (group[1:] != group[:-1]) | (word[1:] != word[:-1])] if len(places) else np.zeros(0, bool)
-        group = np.cumsum(new) - 1
-        alone = new & np.r_[new[1:], True] if len(new) else new
-        places, group = places[~alone], group[~alone]
-    return places, group
-
-
-def has_smaller(group: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """Least value among the neighbours, before or after, of the same group: what previous and next smaller value lead to."""
-    _, rank = np.unique(value, return_inverse=True)
-    many = int(rank.max(initial=0)) + 1
-    before = np.minimum.accumulate(rank - group * many) + group * many
-    after = np.minimum.accumulate((rank + group * many)[::-1])[::-1] - group * many
-    return np.minimum(before, after)
-
-
-def later_copies(rows: list[dict], length: int) -> Iterator[pa.RecordBatch]:
-    """(u, span): bytes of a document that strings of earlier documents cover, from the upper half to the lower half."""
-    u, o, at, local, strings, pieces, before = [], [], [], [], [], [], 0
-    for r in rows:
-        place = np.frombuffer(r["docs"], "<u2")
-        u.append(np.frombuffer(r["u"], np.int64)[place])
-        o.append(np.frombuffer(r["o"], np.int64)[place])
-        at.append(np.frombuffer(r["at"], "<u4").astype(np.int64))
-        local.append(np.frombuffer(r["which"], "<u4").astype(np.int64) + before)
-        strings.append(np.frombuffer(r["strings"], "<u1").astype(np.int64))
-        pieces.append(zlib.decompress(r["bytes"]))
-        before += len(strings[-1])
-    u, o, at, local, strings = map(np.concatenate, (u, o, at, local, strings))
-    joined = pa.Array.from_buffers(pa.large_binary(), before, [None, pa.py_buffer(np.r_[0, np.cumsum(strings + length - 1)].astype(np.int64)), pa.py_buffer(b"".join(pieces))])
+        at = min(at, length - width)
+        now = order[live]
+        word = np.zeros(len(now), np.uint64)
+        for k in range(width):
+            word |= text[now + at + k].astype(np.uint64) << np.uint64(56 - 8 * k)
+        by = np.lexsort((word, group))
+        now, word = now[by], word[by]
+        order[live] = now
+        begins = np.r_[True, group[1:] != group[:-1]] if len(group) else np.zeros(0, bool)
+        differ = np.flatnonzero(~begins & np.r_[False, word[1:] != word[:-1]]) if len(group) else np.zeros(0, np.int64)
+        off = word[differ] ^ word[differ - 1]
+        shared[live[differ]] = at + sum((off >> np.uint64(8 * k) == 0).astype(np.int64) for k in range(1, 8))
+        begins[differ] = True
+        group = np.cumsum(begins) - 1
+        many = ~(begins & np.r_[begins[1:], True]) if len(begins) else begins
+        live, group, begins = live[many], group[many], begins[many]
+    shared[live[~begins]] = length
+    return order, shared
+
+
+def nearest_smaller(value: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the nearest before it with a smaller value (-1: none), and what all in between share.
+
+    shared: what each shares with the one before. All places hop at once, each to where its last hop's target has hopped.
+    """
+    at, least = np.arange(-1, len(value) - 1), shared.copy()
+    live = np.arange(len(value))
+    while True:
+        live = live[at[live] >= 0]
+        live = live[value[at[live]] >= value[live]]
+        if not len(live):
+            return at, least
+        to = at[live]
+        least[live], at[live] = np.minimum(least[live], least[to]), at[to]
+
+
+def longest_previous(value: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Longest-previous-factor array, in suffix order: the longest beginning shared with a suffix of a smaller value."""
+    if not len(value):
+        return np.zeros(0, np.int64)
+    before, left = nearest_smaller(value, shared)
+    after, right = nearest_smaller(value[::-1], np.r_[0, shared[:0:-1]])
+    return np.maximum(np.where(before >= 0, left, 0), np.where(after >= 0, right, 0)[::-1])
+
+
+def verdicts(rows: list[dict], length: int) -> pa.RecordBatch:
+    """For each group in a slice: its stretches (which) that repeat, their earliest documents and the strings met earlier."""
+    o = [np.frombuffer(r["o"], np.int64) for r in rows]
+    strings = np.concatenate([np.frombuffer(r["strings"], "<u2") for r in rows]).astype(np.int64)
+    joined = pa.Array.from_buffers(pa.large_binary(), len(strings), [None, pa.py_buffer(np.r_[0, np.cumsum(strings + length - 1)].astype(np.int64)), pa.py_buffer(b"".join(zlib.decompress(r["bytes"]) for r in rows))])
     named = joined.dictionary_encode()
-    which = named.indices.to_numpy().astype(np.int64)[local]
+    which = named.indices.to_numpy().astype(np.int64)
     text = np.frombuffer(named.dictionary.buffers()[2], np.uint8)
     bounds = np.frombuffer(named.dictionary.buffers()[1], np.int64, len(named.dictionary) + 1)
     # of equal stretches the earliest document stands for all
-    _, rank = np.unique(o, return_inverse=True)
-    first = np.full(len(bounds) - 1, len(u), np.int64)
-    np.minimum.at(first, which, rank)
+    local = np.concatenate(o)
+    first = np.full(len(bounds) - 1, np.iinfo(np.int64).max)
+    np.minimum.at(first, which, local)
     number = np.diff(bounds) - length + 1
     place = np.repeat(bounds[:-1], number) + ranges(number)
-    stretch = np.repeat(np.arange(len(number)), number)
-    least = first[stretch]  # by string: the earliest document that has it
+    order, shared = suffix_array(text, place, length)
+    owner = np.empty(len(text), np.int32)
+    owner[place] = np.repeat(np.arange(len(number), dtype=np.int32), number)
+    met = np.zeros(len(text), bool)
+    met[order] = longest_previous(first[owner[order]], shared) >= length
+    met = met[place]
     slot = np.cumsum(number) - number
-    if len(number) > 1:
-        owner = np.full(len(text) + 1, -1, np.int32)
-        owner[place] = np.arange(len(place))
-        order, group = suffix_order(text, place, length)
-        mine = owner[order]
-        value = least[mine]
-        low = np.unique(value)[has_smaller(group, value)] if len(value) else value
-        least = least.copy()
-        least[mine] = low
-    # every document of a stretch: strings whose earliest document is before it
-    count = number[which]
-    at_string = np.repeat(slot[which], count) + ranges(count)
-    late = least[at_string] < np.repeat(rank, count)
-    start = np.repeat(at, count) + ranges(count)
-    doc = np.repeat(np.arange(len(u)), count)
-    start, doc = start[late], doc[late]
-    if not len(start):
-        return
-    begin = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)])
-    end = np.r_[begin[1:], len(doc)] - 1
-    yield from in_batches({"u": u[doc[begin]], "span": start[begin] << 32 | start[end] + length})
-
-
-def merged(spans: list[int]) -> np.ndarray:
+    anything = np.add.reduceat(met, slot) > 0
+    out = {"g": [], "data": [], "more": []}
+    at = 0
+    for r, mine in zip(rows, o, strict=True):
+        w = which[at : at + len(mine)]
+        at += len(mine)
+        tell = np.flatnonzero((first[w] < mine) | anything[w])
+        if len(tell):
+            w = w[tell]
+            bits = met[np.repeat(slot[w], number[w]) + ranges(number[w])]
+            out["g"].append(r["g"])
+            out["data"].append(np.r_[np.int64(r["slice"]), np.int64(len(tell)), tell, first[w]].astype("<i8").tobytes())
+            out["more"].append(np.packbits(bits).tobytes())
+    n = len(out["g"])
+    return pa.RecordBatch.from_pydict({"g": pa.array(out["g"], pa.int32()), "kind": pa.array([VERDICT] * n, pa.int32()), "u": pa.nulls(n, pa.int64()), "data": pa.array(out["data"], pa.binary()), "more": pa.array(out["more"], pa.binary())})
+
+
+def spans_found(own: pa.Table, told: dict[int, pa.Table], slices: int, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, end) of what is met earlier."""
+    said = {}
+    for data, more in zip(told[VERDICT].column("data").to_pylist(), told[VERDICT].column("more").to_pylist(), strict=True):
+        x = np.frombuffer(data, "<i8")
+        said[int(x[0])] = x[2 : 2 + x[1]], x[2 + x[1] :], np.unpackbits(np.frombuffer(more, np.uint8)).astype(bool)
+    found = Stretches(own, told[SHARED], slices, length, gram)
+    doc, start, end = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for s, mine, which, pieces, first in found.by_slice():
+        count = np.fromiter(map(len, pieces), np.int64, len(pieces)) - length + 1
+        slot = np.cumsum(count) - count
+        met = np.zeros(int(count.sum()), bool)
+        if s in said:
+            tell, earliest, bits = said[s]
+            first[tell] = earliest
+            met[np.repeat(slot[tell], count[tell]) + ranges(count[tell])] = bits[: int(count[tell].sum())]
+        d, at = found.doc[mine], found.at[mine]
+        late = found.o[d] > first[which]
+        doc.append(d[late])
+        start.append(at[late])
+        end.append(at[late] + count[which[late]] + length - 1)
+        d, at, w = d[~late], at[~late], which[~late]
+        n = count[w]
+        hit = met[np.repeat(slot[w], n) + ranges(n)]
+        begin = (np.repeat(at, n) + ranges(n))[hit]
+        doc.append(np.repeat(d, n)[hit])
+        start.append(begin)
+        end.append(begin + length)
+    return tuple(map(np.concatenate, (doc, start, end)))
+
+
+def merged(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Maximal runs (start, end) of what some spans cover."""
-    x = np.array(spans, np.int64)
-    x = np.stack([x >> 32, x & 0xFFFFFFFF], axis=1)
-    x = x[np.argsort(x[:, 0], kind="stable")]
-    top = np.maximum.accumulate(x[:, 1])
-    new = np.flatnonzero(np.r_[True, x[1:, 0] > top[:-1]])
-    return np.stack([x[new, 0], np.r_[top[new[1:] - 1], top[-1]]], axis=1)
-
-
-def stored(docs: DataFrame, slices: int) -> tuple[DataFrame, str]:
-    """(u, o, sha, n, z) of every row of ``docs``, in a table bucketed by u; u numbers the rows, z is the text compressed."""
+    order = np.argsort(start, kind="stable")
+    start, top = start[order], np.maximum.accumulate(end[order])
+    new = np.flatnonzero(np.r_[True, start[1:] > top[:-1]])
+    return np.stack([start[new], np.r_[top[new[1:] - 1], top[-1]]], axis=1)
+
+
+def taken_out(_, own: pa.Table, told: dict[int, pa.Table], slices: int, length: int, gram: int) -> pa.Table:
+    """(u, spans, n_removed, n_spans, kept_sha256) of the documents that lose something; spans: starts and ends, in bytes."""
+    doc, start, end = spans_found(own, told, slices, length, gram)
+    order = np.argsort(doc, kind="stable")
+    doc, start, end = doc[order], start[order], end[order]
+    begin = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else doc
+    columns = {"u": [], "spans": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
+    for i, j in zip(begin, [*begin[1:], len(doc)], strict=True) if len(doc) else ():
+        spans = merged(start[i:j], end[i:j])
+        text = zlib.decompress(own.column("z")[doc[i]].as_py())
+        edges = [0, *spans.ravel().tolist(), len(text)]
+        columns["u"].append(own.column("u")[doc[i]].as_py())
+        columns["spans"].append(spans.ravel().tolist())
+        columns["n_removed"].append(int((spans[:, 1] - spans[:, 0]).sum()))
+        columns["n_spans"].append(len(spans))
+        columns["kept_sha256"].append(hashlib.sha256(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))).hexdigest())
+    return table_of(columns, {"u": pa.int64(), "spans": pa.list_(pa.int64()), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()})
+
+
+def stored(docs: DataFrame, buckets: int, groups: int) -> tuple[DataFrame, str]:
+    """(g, u, o, sha, n, z) of every row of ``docs``, in a table bucketed by g; u numbers the rows, z is the text compressed."""
     spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,57 +435,44 @@ def stored(docs: DataFrame, slices: int) -> tuple[DataFrame, str]:
                 data, offsets = text_buffer(part.column("text"))
                 data = data.tobytes()
                 texts = [data[i:j] for i, j in zip(offsets, offsets[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([part.column("u"), part.column("o"), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array(np.diff(offsets)), pa.array([zlib.compress(t, 1) for t in texts], pa.binary())], names=["u", "o", "sha", "n", "z"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("g", "u", "o")], pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array(np.diff(offsets)), pa.array([zlib.compress(t, 1) for t in texts], pa.binary())], names=["g", "u", "o", "sha", "n", "z"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("u"), F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("o"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("g", F.pmod(F.xxhash64("u"), F.lit(groups)).cast("int"))
     name = f"gridloom_texts_{uuid4().hex}"
-    arrow_map(rows, run, "u long, o long, sha binary, n long, z binary").repartition(slices, "u").write.bucketBy(slices, "u").sortBy("u").saveAsTable(name)
+    arrow_map(rows, run, "g int, u long, o long, sha binary, n long, z binary").repartition(buckets, "g").write.bucketBy(buckets, "g").sortBy("g").saveAsTable(name)
     return spark.table(name), name
 
 
-def spans_of(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, finish=None) -> DataFrame:
-    """What ``finish`` makes of (texts, firsts, found): the stored texts, the earliest row of each text and their spans.
+def spans_of(docs: DataFrame, finish, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, hot: int = HOT) -> DataFrame:
+    """What ``finish`` makes of (texts, firsts, found): the stored texts, the earliest row of each text and what those lose.
 
-    firsts: (sha, first: struct(o, u)); found: (u, spans: list of longs) for rows that lose something.
+    firsts: (sha, first: struct(o, u, g, n)); found: as of ``taken_out``.
     """
     spark = docs.sparkSession
     ship(spark)
-    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts, name = stored(docs, slices)
-    slices *= 2  # a task works on one after the other
-    # written, so that the later join with all rows is one that Spark can split where many rows have one text
-    firsts = cut(texts.groupBy("sha").agg(F.min(F.struct("o", "u")).alias("first")), "firsts")
-    sole = texts.where(F.col("n") >= length).join(firsts.select(F.col("first.u").alias("u")), "u", "left_semi")
-    flags = per_slice(anchor_rows(sole, slices, length, gram), shared_anchors, "u long, h long")
-    flags = flags.groupBy("u").agg(F.collect_list("h").alias("h"))
-    sent = stretches(texts.join(flags, "u"), slices, length, gram)
-    found = per_slice(sent, lambda rows: later_copies(rows, length), "u long, span long")
-    found = found.groupBy("u").agg(F.collect_list("span").alias("spans"))
-    out = cut(finish(texts, firsts, found), "repeats")
-    spark.sql(f"drop table if exists {name}")
-    return out
-
-
-def kept_bytes(joined: DataFrame) -> DataFrame:
-    """(u, n_removed, n_spans, kept_sha256, kept) of (u, z, spans)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = {"u": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
-            for r in b.to_pylist():
-                text, spans = zlib.decompress(r["z"]), merged(r["spans"])
-                edges = [0, *spans.ravel().tolist(), len(text)]
-                kept = b"".join(text[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True))
-                rows["u"].append(r["u"])
-                rows["n_removed"].append(int((spans[:, 1] - spans[:, 0]).sum()))
-                rows["n_spans"].append(len(spans))
-                rows["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-            yield pa.RecordBatch.from_pydict({"u": pa.array(rows["u"], pa.int64()), "n_removed": pa.array(rows["n_removed"], pa.int64()), "n_spans": pa.array(rows["n_spans"], pa.int64()), "kept_sha256": pa.array(rows["kept_sha256"], pa.string())})
-
-    return arrow_map(joined.select("u", "z", "spans"), run, "u long, n_removed long, n_spans long, kept_sha256 string")
-
-
-def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups, slices, buckets = max(least, -(-total // group)), max(2 * least, -(-total // SLICE)), min(100_000, max(least, -(-total // BUCKET)))
+    tasks = max(least, slices // 4)  # a task works on one slice after the other
+    texts, name = stored(docs, buckets, groups)
+    try:
+        # written, so that the later join with all rows is one that Spark can split where many rows have one text
+        firsts = cut(texts.groupBy("sha").agg(F.min(F.struct("o", "u", "g", "n")).alias("first")), "firsts")
+        nothing = F.lit(None).cast("binary")
+        told = firsts.where(F.col("first.n") >= length).select("first.g", F.lit(FIRST_ROW).alias("kind"), "first.u", nothing.alias("data"), nothing.alias("more"))
+        step = {"slices": slices, "length": length, "gram": gram}
+        sent = per_group(texts, told, partial(anchors, **step), "slice int, g int, hashes binary, many binary")
+        told = told.unionByName(cut(per_slice(sent, partial(shared_anchors, hot=hot), SIDE, tasks), "shared"))
+        sent = per_group(texts, told, partial(sent_stretches, **step), "slice int, g int, o binary, strings binary, bytes binary")
+        told = told.unionByName(per_slice(sent, partial(verdicts, length=length), SIDE, tasks))
+        found = per_group(texts, told, partial(taken_out, **step), "u long, spans array<long>, n_removed long, n_spans long, kept_sha256 string")
+        return cut(finish(texts, firsts, found), "repeats")
+    finally:
+        spark.sql(f"drop table if exists {name}")
+
+
+def cleaned(docs: DataFrame, length: int = LENGTH, **sizes: int) -> DataFrame:
     """(doc_id, text, spans) of every row: the text without what is removed, and (start, end) of that in bytes.
 
     Of a character that is cut in two the remaining bytes go as well.
@@ -416,27 +483,27 @@ def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             texts, spans = [], []
             for r in b.to_pylist():
                 text = zlib.decompress(r["z"])
-                gone = [[0, len(text)]] if r["copy"] else merged(r["spans"]).tolist() if r["spans"] else []
-                edges = [0, *[e for g in gone for e in g], len(text)]
+                ends = [0, len(text)] if r["copy"] else r["spans"] or []
+                edges = [0, *ends, len(text)]
                 texts.append(b"".join(text[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True)).decode("utf-8", "ignore"))
-                spans.append([{"start": i, "end": j} for i, j in gone])
+                spans.append([{"start": i, "end": j} for i, j in zip(ends[::2], ends[1::2], strict=True)])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string()), pa.array(spans, kind)], names=["doc_id", "text", "spans"])
 
     def finish(texts: DataFrame, firsts: DataFrame, found: DataFrame) -> DataFrame:
-        rows = texts.join(firsts, "sha").join(found.withColumnRenamed("u", "_u"), F.col("first.u") == F.col("_u"), "left")
+        rows = texts.join(firsts, "sha").join(found.select(F.col("u").alias("_u"), "spans"), F.col("first.u") == F.col("_u"), "left")
         copy = (F.col("o") > F.col("first.o")) & (F.col("n") >= length)
         rows = rows.select(F.when(F.col("o") != FIRST, F.col("o")).alias("doc_id"), "z", copy.alias("copy"), F.when(F.col("o") == F.col("first.o"), F.col("spans")).alias("spans"))
         return arrow_map(rows, run, "doc_id long, text string, spans array<struct<start: long, end: long>>")
 
-    return spans_of(docs, length, finish=finish)
+    return spans_of(docs, finish, length, **sizes)
 
 
-def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, **sizes: int) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of ``docs`` (doc_id, text)."""
 
     def finish(texts: DataFrame, firsts: DataFrame, found: DataFrame) -> DataFrame:
-        lost = kept_bytes(texts.join(found, "u")).withColumnRenamed("u", "_u")
+        lost = found.drop("spans").withColumnRenamed("u", "_u")
         rows = texts.select("o", "sha", "n").join(firsts, "sha").join(lost, F.col("first.u") == F.col("_u"), "left")
         copy = (F.col("o") > F.col("first.o")) & (F.col("n") >= length)
         same = F.col("o") == F.col("first.o")
@@ -449,4 +516,4 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             pick(F.lit(EMPTY), F.col("kept_sha256"), F.lower(F.hex("sha"))).alias("kept_sha256"),
         )
 
-    return spans_of(docs, length, finish=finish)
+    return spans_of(docs, finish, length, **sizes)

@@ -182,20 +182,33 @@ def test_cleaned_texts(spark):
     assert (got[4].text, got[4].spans) == ("", [])
 
 
-def test_suffix_order_and_smaller_neighbours():
-    rng = np.random.default_rng(2)
-    text = rng.integers(97, 99, 400).astype(np.uint8)
-    places, group = repeats.suffix_order(text, np.arange(380), 11)
-    strings = [text[p : p + 11].tobytes() for p in places]
-    assert strings == sorted(strings)
-    assert ((np.diff(group) > 0) == [a != b for a, b in zip(strings, strings[1:], strict=False)]).all()
-    every = [text[p : p + 11].tobytes() for p in range(380)]
-    assert sorted(places) == [p for p in range(380) if every.count(every[p]) > 1]
-    value = rng.integers(0, 50, len(group))
-    low = np.unique(value)[repeats.has_smaller(group, value)]
-    for g in np.unique(group):
-        assert low[group == g].min() == value[group == g].min()
-        assert (low[group == g] == value[group == g].min()).all()
+@pytest.mark.parametrize("length", [5, 11, 50])
+def test_longest_previous_factors(length):
+    """Suffix order, shared lengths and the longest previous factor of each place, against the definition."""
+    rng = np.random.default_rng(length)
+    for letters in (1, 2, 4):
+        text = rng.integers(97, 97 + letters, 400).astype(np.uint8)
+        text[250:330] = text[20:100]
+        places = np.flatnonzero(rng.random(400 - length) < 0.8)
+        value = rng.integers(0, 6, 400)
+        raw = text.tobytes()
+        order, shared = repeats.suffix_array(text, places, length)
+        assert sorted(order.tolist()) == places.tolist()
+        strings = [raw[i : i + length] for i in order]
+        assert strings == sorted(strings)
+        common_bytes = lambda x, y: next((k for k, (a, b) in enumerate(zip(x, y, strict=True)) if a != b), length)
+        assert shared.tolist() == [0, *[common_bytes(x, y) for x, y in zip(strings, strings[1:], strict=False)]]
+        want = [max([common_bytes(x, y) for j, y in zip(order, strings, strict=True) if value[j] < value[i]], default=0) for i, x in zip(order, strings, strict=True)]
+        assert repeats.longest_previous(value[order], shared).tolist() == want
+    assert repeats.longest_previous(np.zeros(0), np.zeros(0, np.int64)).tolist() == []
+
+
+@pytest.mark.parametrize("sizes", [{"group": 3000}, {"group": 1000, "hot": 0}, {"group": 20000, "hot": 2}])
+def test_repeats_of_many_groups_and_hot_anchors(spark, rows, sizes):
+    passage = "what very many of the documents say in the very same words, over and over again. "
+    more = [(2000 + i, f"{i} " + passage * (1 + i % 3) + str(i) * 60, "en", "a", 1) for i in range(120)]
+    got = repeats.repeats(spark.createDataFrame([*rows, *more], DOCS).repartition(3), **sizes)
+    assert sorted(map(tuple, got.collect()), key=str) == brute_repeats([*rows, *more])
 
 
 # ---- 3 ----

@@ -207,6 +207,11 @@ def shared_anchors(rows: list[dict], hot: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"g": pa.array(g, pa.int32()), "kind": pa.array([SHARED] * n, pa.int32()), "u": pa.nulls(n, pa.int64()), "data": pa.array(data, pa.binary()), "more": pa.array(more, pa.binary())})
 
 
+def binaries(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Binary values of these sizes that lie one after the other in ``data``."""
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.r_[0, np.cumsum(sizes)].astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 class Stretches:
     """The stretches of a group that may repeat: where they are, and which are equal, by slice."""
 
@@ -214,61 +219,59 @@ class Stretches:
         each = [undelta(x) for x in told.column("data").to_pylist()]
         shared = np.concatenate([np.zeros(0, np.uint64), *each])
         often = np.concatenate([np.zeros(0, np.uint8), *[np.unpackbits(np.frombuffer(m, np.uint8), count=len(x)) for m, x in zip(told.column("more").to_pylist(), each, strict=True)]])
-        hot = shared[often > 0]
-        key, doc, at, pieces = [], [], [], []
-        for first, _, data, offsets in texts_of(own):
+        order = np.argsort(shared)
+        shared, often = shared[order], often[order] > 0
+        none = np.zeros(0, np.int64)
+        key, doc, at, size, pieces = [none], [none], [none], [none], [np.zeros(0, np.uint8)]
+        for first, _, data, offsets in texts_of(own) if len(shared) else ():
             starts, anchor, h = owners(data, np.repeat(offsets[1:], np.diff(offsets)), length, gram)
             if not len(starts):
                 continue
             begin = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
             end = np.r_[begin[1:], len(anchor)]
             hashes = short(h[anchor[begin]])
-            hit = np.isin(hashes, shared)
-            begin, end, hashes = begin[hit], end[hit], hashes[hit]
-            raw = data.tobytes()
-            single = np.isin(hashes, hot) if len(hot) else np.zeros(len(hashes), bool)
+            place = np.minimum(np.searchsorted(shared, hashes), len(shared) - 1)
+            hit = shared[place] == hashes
+            begin, end, hashes, single = begin[hit], end[hit], hashes[hit], often[place[hit]]
             if single.any():  # one string a stretch, dealt by a hash of its own
                 count = np.where(single, end - begin, 1)
                 begin = np.repeat(begin, count) + np.where(np.repeat(single, count), ranges(count), 0)
                 end, single, hashes = np.where(np.repeat(single, count), begin + 1, np.repeat(end, count)), np.repeat(single, count), np.repeat(hashes, count)
-            low, high = starts[begin], starts[end - 1] + length
-            these = [raw[i:j] for i, j in zip(low, high, strict=True)]
-            if single.any():
-                hashes = hashes.copy()
-                hashes[single] = [xxh64_intdigest(these[i]) for i in np.flatnonzero(single)]
+                hashes[single] = [xxh64_intdigest(data[i : i + length].tobytes()) for i in starts[begin[single]]]
+            low = starts[begin]
+            long = starts[end - 1] + length - low
             d = np.searchsorted(offsets, low, side="right") - 1
             key.append((hashes % np.uint64(slices)).astype(np.int64))
             doc.append(d + first)
             at.append(low - offsets[d])
-            pieces += these
-        none = np.zeros(0, np.int64)
-        self.key, self.doc, self.at = (np.concatenate([none, *x]) for x in (key, doc, at))
-        self.strings = np.fromiter(map(len, pieces), np.int64, len(pieces)) - length + 1
-        self.pieces = pieces
+            size.append(long)
+            pieces.append(data[np.repeat(low, long) + ranges(long)])
+        self.key, self.doc, self.at, self.size = map(np.concatenate, (key, doc, at, size))
+        named = binaries(np.concatenate(pieces), self.size).dictionary_encode()
+        self.which, self.pieces = named.indices.to_numpy().astype(np.int64), named.dictionary
         self.o = own.column("o").to_numpy()
-        self.order = np.argsort(self.key, kind="stable")
-        self.slices, self.begin = np.unique(self.key[self.order], return_index=True)
-
-    def by_slice(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[bytes], np.ndarray]]:
-        """(slice, occurrences, the number of each one's piece, pieces, earliest document of each piece)."""
-        for s, i, j in zip(self.slices, self.begin, np.r_[self.begin[1:], len(self.order)][: len(self.slices)], strict=True):
-            mine = self.order[i:j]
-            place_of: dict[bytes, int] = {}
-            which = np.array([place_of.setdefault(self.pieces[k], len(place_of)) for k in mine], np.int64)
-            first = np.full(len(place_of), np.iinfo(np.int64).max)
-            np.minimum.at(first, which, self.o[self.doc[mine]])
-            yield int(s), mine, which, list(place_of), first
+        self.number = pc.binary_length(self.pieces).to_numpy() - length + 1  # strings of each piece
+        self.slice_of = np.zeros(len(self.pieces), np.int64)
+        self.slice_of[self.which] = self.key  # equal pieces have equal anchors
+        self.first = np.full(len(self.pieces), np.iinfo(np.int64).max)
+        np.minimum.at(self.first, self.which, self.o[self.doc])
+        # pieces by slice: in a slice a piece is known by its place among them
+        self.order = np.argsort(self.slice_of, kind="stable")
+        self.slices, self.begin = np.unique(self.slice_of[self.order], return_index=True)
+        self.end = np.r_[self.begin[1:], len(self.order)][: len(self.slices)]
 
 
 def sent_stretches(g: int, own: pa.Table, told: dict[int, pa.Table], slices: int, length: int, gram: int) -> pa.Table:
     """(slice, g, o, strings, bytes): the different stretches of a group, each with its earliest document there."""
+    found = Stretches(own, told[SHARED], slices, length, gram)
     columns = {"slice": [], "g": [], "o": [], "strings": [], "bytes": []}
-    for s, _, _, pieces, first in Stretches(own, told[SHARED], slices, length, gram).by_slice():
-        columns["slice"].append(s)
+    for s, i, j in zip(found.slices, found.begin, found.end, strict=True):
+        mine = found.order[i:j]
+        columns["slice"].append(int(s))
         columns["g"].append(g)
-        columns["o"].append(first.tobytes())
-        columns["strings"].append((np.fromiter(map(len, pieces), np.int64, len(pieces)) - length + 1).astype("<u2").tobytes())
-        columns["bytes"].append(zlib.compress(b"".join(pieces), 1))
+        columns["o"].append(found.first[mine].tobytes())
+        columns["strings"].append(found.number[mine].astype("<u2").tobytes())
+        columns["bytes"].append(zlib.compress(b"".join(found.pieces.take(pa.array(mine)).to_pylist()), 1))
     return table_of(columns, {"slice": pa.int32(), "g": pa.int32(), "o": pa.binary(), "strings": pa.binary(), "bytes": pa.binary()})
 
 
@@ -279,24 +282,23 @@ def suffix_array(text: np.ndarray, places: np.ndarray, length: int) -> tuple[np.
     """
     order, shared = places.copy(), np.zeros(len(places), np.int64)
     live, group = np.arange(len(places)), np.zeros(len(places), np.int64)
-    width = min(8, length)
-    begins = np.zeros(0, bool)
+    width, begins = min(8, length), np.ones(len(places), bool)
+    padded = np.r_[text, np.zeros(8, np.uint8)]
+    words = np.ndarray(len(text) + 1, ">u8", padded, 0, (1,))  # the eight bytes from each place on
     for at in range(0, length, 8):
+        if not len(live):
+            break
         at = min(at, length - width)
-        now = order[live]
-        word = np.zeros(len(now), np.uint64)
-        for k in range(width):
-            word |= text[now + at + k].astype(np.uint64) << np.uint64(56 - 8 * k)
-        by = np.lexsort((word, group))
-        now, word = now[by], word[by]
-        order[live] = now
-        begins = np.r_[True, group[1:] != group[:-1]] if len(group) else np.zeros(0, bool)
-        differ = np.flatnonzero(~begins & np.r_[False, word[1:] != word[:-1]]) if len(group) else np.zeros(0, np.int64)
+        word = words[order[live] + at].astype(np.uint64) >> np.uint64(64 - 8 * width)
+        by = np.lexsort((word, group)) if at else np.argsort(word)
+        order[live], word = order[live][by], word[by]
+        begins = np.r_[True, group[1:] != group[:-1]]
+        differ = np.flatnonzero(~begins & np.r_[False, word[1:] != word[:-1]])
         off = word[differ] ^ word[differ - 1]
-        shared[live[differ]] = at + sum((off >> np.uint64(8 * k) == 0).astype(np.int64) for k in range(1, 8))
+        shared[live[differ]] = at + sum((off >> np.uint64(8 * k) == 0).astype(np.int64) for k in range(1, width))
         begins[differ] = True
         group = np.cumsum(begins) - 1
-        many = ~(begins & np.r_[begins[1:], True]) if len(begins) else begins
+        many = ~(begins & np.r_[begins[1:], True])
         live, group, begins = live[many], group[many], begins[many]
     shared[live[~begins]] = length
     return order, shared
@@ -331,8 +333,7 @@ def verdicts(rows: list[dict], length: int) -> pa.RecordBatch:
     """For each group in a slice: its stretches (which) that repeat, their earliest documents and the strings met earlier."""
     o = [np.frombuffer(r["o"], np.int64) for r in rows]
     strings = np.concatenate([np.frombuffer(r["strings"], "<u2") for r in rows]).astype(np.int64)
-    joined = pa.Array.from_buffers(pa.large_binary(), len(strings), [None, pa.py_buffer(np.r_[0, np.cumsum(strings + length - 1)].astype(np.int64)), pa.py_buffer(b"".join(zlib.decompress(r["bytes"]) for r in rows))])
-    named = joined.dictionary_encode()
+    named = binaries(np.frombuffer(b"".join(zlib.decompress(r["bytes"]) for r in rows), np.uint8), strings + length - 1).dictionary_encode()
     which = named.indices.to_numpy().astype(np.int64)
     text = np.frombuffer(named.dictionary.buffers()[2], np.uint8)
     bounds = np.frombuffer(named.dictionary.buffers()[1], np.int64, len(named.dictionary) + 1)
@@ -373,28 +374,22 @@ def spans_found(own: pa.Table, told: dict[int, pa.Table], slices: int, length: i
         x = np.frombuffer(data, "<i8")
         said[int(x[0])] = x[2 : 2 + x[1]], x[2 + x[1] :], np.unpackbits(np.frombuffer(more, np.uint8)).astype(bool)
     found = Stretches(own, told[SHARED], slices, length, gram)
-    doc, start, end = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for s, mine, which, pieces, first in found.by_slice():
-        count = np.fromiter(map(len, pieces), np.int64, len(pieces)) - length + 1
-        slot = np.cumsum(count) - count
-        met = np.zeros(int(count.sum()), bool)
+    first, number = found.first.copy(), found.number
+    slot = np.cumsum(number) - number
+    met = np.zeros(int(number.sum()), bool)
+    for s, i, j in zip(found.slices, found.begin, found.end, strict=True):
         if s in said:
             tell, earliest, bits = said[s]
+            tell = found.order[i:j][tell]
             first[tell] = earliest
-            met[np.repeat(slot[tell], count[tell]) + ranges(count[tell])] = bits[: int(count[tell].sum())]
-        d, at = found.doc[mine], found.at[mine]
-        late = found.o[d] > first[which]
-        doc.append(d[late])
-        start.append(at[late])
-        end.append(at[late] + count[which[late]] + length - 1)
-        d, at, w = d[~late], at[~late], which[~late]
-        n = count[w]
-        hit = met[np.repeat(slot[w], n) + ranges(n)]
-        begin = (np.repeat(at, n) + ranges(n))[hit]
-        doc.append(np.repeat(d, n)[hit])
-        start.append(begin)
-        end.append(begin + length)
-    return tuple(map(np.concatenate, (doc, start, end)))
+            met[np.repeat(slot[tell], number[tell]) + ranges(number[tell])] = bits[: int(number[tell].sum())]
+    late = found.o[found.doc] > first[found.which]
+    any_met = np.add.reduceat(met, slot) > 0 if len(slot) else np.zeros(0, bool)
+    some = ~late & any_met[found.which]
+    w, n = found.which[some], number[found.which[some]]
+    hit = met[np.repeat(slot[w], n) + ranges(n)]
+    begin = (np.repeat(found.at[some], n) + ranges(n))[hit]
+    return np.r_[found.doc[late], np.repeat(found.doc[some], n)[hit]], np.r_[found.at[late], begin], np.r_[found.at[late] + found.size[late], begin + length]
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -3,13 +3,15 @@
 Vectors are packed into blocks. In each block every dimension has a list of rows sorted by component; a query walks down
 all lists at once (from the top where its component is positive, from the bottom where negative), scores rows as they
 first turn up, and stops when even a row with the best components not yet reached can't beat the kth score. Depth grows
-by doubling, so that each step is one numpy call. A query block meets each candidate block once (both sides carry the
-pair's name, an equi-join of packed blocks), and at most k rows of a query leave a pair.
-
-Defined results: a vector that is null or holds a null or non-finite component takes no part, nor does a row without
-vec_id; vectors of different length are padded with zeros; rows that repeat a vec_id are candidates of their own, and
-the query of that id is the smallest of them; rows with the query's vec_id aren't its candidates; ties go to the smaller
-vec_id; an empty table gives an empty result; other columns are ignored. Scores are exact integers while they fit a long.
+by doubling, so that each step is a few numpy calls. A block's lists are sorted once and serve all query blocks, which meet
+each candidate block once (they carry the block's number, an equi-join of packed blocks); a kth score reached in one block is
+a bound for the next, which may so be left before its first row. At most k + 1 rows of a query leave a block.
+
+Defined results: a vector that is null or holds a null or non-finite component (also once scaled) takes no part, nor does a
+row without vec_id; vectors of different length are padded with zeros; queries are rows of the vectors, each a query of its
+own, whose candidates are all rows but itself, so also others with its vec_id; ties go to the smaller vec_id; scores are
+exact integers, those beyond a long are given, and ranked, as the largest or smallest long; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, ship
 
-PACKED = "block int, n int, dims int, ids binary, data binary"
+LOW, HIGH = -(1 << 63), (1 << 63) - 1
+#: Query blocks whose bounds a worker keeps.
+BOUNDS = 256
 
 
 def exact(a: np.ndarray, b: np.ndarray) -> type:
@@ -32,7 +36,19 @@ def exact(a: np.ndarray, b: np.ndarray) -> type:
     return np.float64 if top < 2.0**53 else np.int64 if top < 2.0**62 else object
 
 
-def threshold_top(data: np.ndarray, order: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int, bound: float | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+def typed(data: np.ndarray, kind: type) -> np.ndarray:
+    """Whole numbers, given as doubles, in another type."""
+    if kind is not object:
+        return data.astype(kind)
+    return np.array([[int(x) for x in row] for row in data], object).reshape(data.shape)
+
+
+def as_long(scores) -> np.ndarray:
+    scores = np.asarray(scores)
+    return np.array([min(max(int(x), LOW), HIGH) for x in scores.ravel()], np.int64).reshape(scores.shape) if scores.dtype == object else scores.astype(np.int64)
+
+
+def threshold_top(data: np.ndarray, order: np.ndarray, ids: np.ndarray, query: np.ndarray, k: int, bound: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
     """Rows and scores of the k best, ties to the smaller id, and the number of rows scored.
 
     order: argsort of each column. bound: a kth score already reached elsewhere; what is below it may be left out.
@@ -40,45 +56,46 @@ def threshold_top(data: np.ndarray, order: np.ndarray, ids: np.ndarray, query: n
     n = len(data)
     live = np.flatnonzero(query)
     down = query[live] > 0
-    seen = ids == own
-    rows, scores = np.zeros(0, np.int64), np.zeros(0, data.dtype)
-    scored, depth = 0, 0
-    step = 2 * k
+    seen = np.zeros(n, bool)
+    rows, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    scored, depth, step = 0, 0, 2 * k
+
+    def limit(at: int) -> int:
+        """The most that a row can score whose components are all at or beyond this depth of the lists."""
+        last = np.where(down, order[n - 1 - at, live], order[at, live])
+        return int(as_long((data[last, live] * query[live]).sum())) if len(live) else 0
+
     while depth < n:
+        if len(rows) == k and limit(depth) < scores[-1] or bound is not None and limit(depth) < bound:
+            break
         end = min(n, depth + step)
         at = np.arange(depth, end)
-        reached = np.where(down, order[n - 1 - at][:, live], order[at][:, live]) if len(live) else np.arange(depth, end)
-        new = np.unique(reached)
-        new = new[~seen[new]]
-        seen[new] = True
+        reached = np.zeros(n, bool)
+        if len(live):
+            reached[order[n - 1 - at][:, live[down]].ravel()] = True
+            reached[order[at][:, live[~down]].ravel()] = True
+        else:
+            reached[at] = True
+        new = np.flatnonzero(reached & ~seen)
+        seen |= reached
         scored += len(new)
-        rows, scores = np.r_[rows, new], np.r_[scores, data[new] @ query]
+        rows, scores = np.r_[rows, new], np.r_[scores, as_long(data[new] @ query)]
         if len(rows) > k:
-            best = np.lexsort((ids[rows], -scores))[:k]
+            best = np.lexsort((ids[rows], ~scores))[:k]
             rows, scores = rows[best], scores[best]
         depth, step = end, step * 2
-        last = np.where(down, order[n - end, live], order[end - 1, live]) if len(live) else live
-        limit = (data[last, live] * query[live]).sum() if len(live) else 0
-        kth = scores[-1] if len(rows) == k else None
-        if kth is not None and limit < kth or bound is not None and limit < bound:
-            break
-    best = np.lexsort((ids[rows], -scores))[:k]
+    best = np.lexsort((ids[rows], ~scores))[:k]
     return rows[best], scores[best], scored
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: float = 1024.0, block: int = 8192) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row of ``queries`` the k best of ``vectors``, both (vec_id, embedding)."""
-    ship(vectors.sparkSession)
+def matrix(data: bytes, n: int, have: int, dims: int) -> np.ndarray:
+    out = np.zeros((n, dims))
+    out[:, :have] = np.frombuffer(data, "<f8").reshape(n, have)
+    return out
 
-    def usable(df: DataFrame) -> DataFrame:
-        e = F.col("embedding").cast("array<double>")
-        bad = F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-        return df.select(F.col("vec_id").cast("long"), e.alias("embedding")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~bad)
 
-    vectors = usable(vectors)
-    queries = usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    blocks = max(1, -(-vectors.count() // block))
-    groups = max(1, -(-queries.count() // block))
+def packed(df: DataFrame, names: list[str], scale: float, block: int) -> DataFrame:
+    """(block, n, dims, names..., data): the rows of each block, cut where there are more than ``block``; names are longs."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -86,13 +103,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: float = 10
 
         def out() -> pa.RecordBatch:
             t = pa.Table.from_batches(held).combine_chunks()
-            lists = t.column("embedding").combine_chunks()
+            lists = t.column("e").combine_chunks()
             sizes = lists.value_lengths().to_numpy()
             dims = int(sizes.max(initial=0))
             data = np.zeros((len(sizes), dims))
             data[np.arange(dims)[None, :] < sizes[:, None]] = lists.flatten().to_numpy()
-            data = np.clip(np.floor(scale * data), -(2.0**62), 2.0**62).astype("<i8")
-            return pa.RecordBatch.from_pydict({"block": pa.array([now], pa.int32()), "n": pa.array([len(sizes)], pa.int32()), "dims": pa.array([dims], pa.int32()), "ids": [t.column("vec_id").to_numpy().astype("<i8").tobytes()], "data": [data.tobytes()]})
+            columns = {"block": pa.array([now], pa.int32()), "n": pa.array([len(sizes)], pa.int32()), "dims": pa.array([dims], pa.int32())}
+            columns |= {c: [t.column(c).to_numpy().astype("<i8").tobytes()] for c in names}
+            return pa.RecordBatch.from_pydict(columns | {"data": [np.floor(scale * data).astype("<f8").tobytes()]})
 
         for b in batches:
             key = b.column("block").to_numpy()
@@ -109,33 +127,61 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: float = 10
         if held:
             yield out()
 
-    def packed(df: DataFrame, parts: int) -> DataFrame:
-        df = df.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
-        return arrow_map(df.repartition("block").sortWithinPartitions("block"), pack, PACKED)
+    dealt = df.select("block", *names, "e").repartition("block").sortWithinPartitions("block")
+    return arrow_map(dealt, pack, f"block int, n int, dims int, {', '.join(f'{c} binary' for c in names)}, data binary")
 
-    left = packed(vectors, blocks).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    right = packed(queries, groups).select(F.col("block").alias("group"), *[F.col(c).alias(f"q_{c}") for c in ("n", "dims", "ids", "data")], F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: float = 1024.0, block: int = 8192) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row of ``queries`` the k best others of ``vectors``, both (vec_id, embedding).
+
+    ``queries`` is a part of ``vectors``. Components are scaled and rounded down.
+    """
+    ship(vectors.sparkSession)
+
+    def usable(df: DataFrame) -> DataFrame:
+        e = F.col("embedding").cast("array<double>")
+        bad = F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x * scale) == float("inf")))
+        return df.select(F.col("vec_id").cast("long"), e.alias("e")).where(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & ~bad)
+
+    vectors, queries = usable(vectors), usable(queries)
+    blocks = max(1, -(-vectors.count() // block))
+    groups = max(1, -(-queries.count() // block))
+    # rows are dealt whatever they hold, so that no vec_id or vector is too frequent for a block
+    left = packed(vectors.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")), ["vec_id"], scale, block)
+    # equal queries have equal answers, which are looked for once
+    queries = queries.groupBy("vec_id", "e").agg(F.count("*").alias("copies")).withColumn("key", F.xxhash64("vec_id", "e"))
+    right = packed(queries.withColumn("block", F.pmod("key", F.lit(groups)).cast("int")), ["vec_id", "key", "copies"], scale, block)
+    right = right.select(F.struct("block", F.xxhash64("key").alias("hash")).alias("q_name"), *[F.col(c).alias(f"q_{c}") for c in ("n", "dims", "vec_id", "key", "copies", "data")], F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds: dict[int, float] = {}
+        bounds: dict[tuple, list] = {}
+        held, order = None, np.zeros((0, 0), np.int64)
         for b in batches:
             for r in b.to_pylist():
-                ids, own = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["q_ids"], "<i8")
+                ids, who, key, copies = (np.frombuffer(r[c], "<i8") for c in ("vec_id", "q_vec_id", "q_key", "q_copies"))
                 dims = max(r["dims"], r["q_dims"])
-                data, query = np.zeros((r["n"], dims), np.int64), np.zeros((r["q_n"], dims), np.int64)
-                data[:, : r["dims"]] = np.frombuffer(r["data"], "<i8").reshape(r["n"], r["dims"])
-                query[:, : r["q_dims"]] = np.frombuffer(r["q_data"], "<i8").reshape(r["q_n"], r["q_dims"])
-                kind = exact(data, query)
-                order = np.argsort(data, axis=0, kind="stable")
-                data, query = data.astype(kind), query.astype(kind)
+                data, query = matrix(r["data"], r["n"], r["dims"], dims), matrix(r["q_data"], r["q_n"], r["q_dims"], dims)
+                if held != (dims, r["vec_id"], r["data"]):
+                    held, order = (dims, r["vec_id"], r["data"]), np.argsort(data, axis=0, kind="stable")
+                kind = exact(np.concatenate([data, query]), query)
+                data, query = typed(data, kind), typed(query, kind)
+                if len(bounds) >= BOUNDS:
+                    bounds.clear()
+                known = bounds.setdefault((r["q_name"]["block"], r["q_name"]["hash"]), [None] * len(query))
                 found = []
-                for q, who in zip(query, own, strict=True):
-                    rows, scores, _ = threshold_top(data, order, ids, q, who, k, bounds.get(who))
-                    if len(scores) == k:
-                        bounds[who] = max(bounds.get(who, scores[-1]), scores[-1])
-                    found.append((np.full(len(rows), who), ids[rows], scores.astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
-
-    pairs = arrow_map(left.join(right, ["block", "group"]), search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                for i, q in enumerate(query):
+                    rows, scores, _ = threshold_top(data, order, ids, q, k + 1, known[i])
+                    if len(scores) == k + 1:
+                        known[i] = int(scores[-1]) if known[i] is None else max(known[i], int(scores[-1]))
+                    own = (ids[rows] == who[i]) & (scores == as_long(q @ q))
+                    found.append((np.full(len(rows), who[i]), np.full(len(rows), key[i]), np.full(len(rows), copies[i]), ids[rows], scores, own))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["query_id", "key", "copies", "vec_id", "score", "own"])
+
+    pairs = arrow_map(left.hint("merge").join(right, "block"), search, "query_id long, key long, copies long, vec_id long, score long, own boolean")
+    best = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
+    pairs = pairs.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
+    # the row itself, one of those with its vec_id and score, goes
+    itself = F.col("own") & (F.lag("own", 1, False).over(best) == F.lit(False))
+    pairs = pairs.withColumn("itself", itself).withColumn("rank", (F.col("place") - F.sum(F.col("itself").cast("int")).over(best)).cast("int"))
+    pairs = pairs.where(~F.col("itself") & (F.col("rank") <= k))
+    return pairs.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("query_id", "rank", "vec_id", "score")

@@ -591,37 +591,66 @@ def test_pii_query_and_mask(spark):
 # ---- 9 ----
 
 
-@pytest.mark.parametrize("block", [7, 8192])
+def brute_top(rows, is_query, k=10):
+    """(query_id, rank, vec_id, score) by comparing every query row with every other row."""
+    usable = [(i, [math.floor(1024 * x) for x in e]) for i, e in rows if i is not None and e is not None and all(x is not None and math.isfinite(x) and math.isfinite(1024 * x) for x in e)]
+    out = []
+    for a, (i, q) in enumerate(usable):
+        if is_query(i):
+            scores = [(-min(max(sum(x * y for x, y in zip(q, e, strict=False)), -(2**63)), 2**63 - 1), j) for b, (j, e) in enumerate(usable) if a != b]
+            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(sorted(scores)[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [16, 50, 8192])
 def test_top_k(spark, block):
-    rng = np.random.default_rng(3)
-    x = rng.normal(size=(150, 6)).astype(np.float32)
-    x[40:90] = x[40]  # a common vector: ties
-    rows = [(i, [float(v) for v in e]) for i, e in enumerate(x)] + [(200, None), (201, [1.0, None]), (202, [float("nan")] * 6), (203, [float("inf")] * 6), (204, [0.0] * 6), (300, [1.0, 2.0]), (None, [1.0] * 6), (50, [3.0] * 6)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"label": F.lit(1), "block": F.lit(2), "n": F.lit(3)})
-    got = topk.top_k(df, df.where("vec_id % 25 = 0"), 10, block=block).collect()
-    usable = [(i, np.floor(1024 * np.array(e + [0.0] * (6 - len(e)))).astype(np.int64)) for i, e in rows if i is not None and e is not None and all(v is not None and math.isfinite(v) for v in e)]
-    queries = {}
-    for i, e in usable:
-        if i % 25 == 0:
-            queries[i] = min(queries.get(i, tuple(e)), tuple(e))
-    for q, e in queries.items():
-        best = sorted((-int(v @ np.array(e)), i) for i, v in usable if i != q)[:10]
-        assert [(r.score, r.vec_id) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == [(-s, i) for s, i in best]
-    assert {r.query_id for r in got} == set(queries)
+    r = random.Random(block)
+    rows = [(i, [r.gauss(0, 1) for _ in range(12)]) for i in range(300)]
+    rows += [(25, [0.5] * 12), (25, [0.5] * 12), (25, rows[25][1]), (50, None), (75, [1.0, None]), (None, [1.0] * 12), (100, [math.nan] * 12), (125, [math.inf]), (301, [2.0]), (325, []), (350, [3.0] * 20), (302, rows[0][1]), (303, rows[0][1])]
+    rows += [(400, [r.choice([-1.0, 0.0, 1.0])] * 3) for _ in range(20)]  # one id, many rows, ties
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("block", "e", "n", "key", "rank", "score")}).repartition(3)
+    got = topk.top_k(df, df.where("vec_id % 25 = 0"), 10, block=block)
+    assert sorted(map(tuple, got.collect())) == brute_top(rows, lambda i: i % 25 == 0)
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    """Scores beyond doubles, and beyond longs, where they stay at the bound."""
+    rows = [(0, [1e17, 3.0]), (1, [1e17, -2.0]), (2, [-1e17, 1.0]), (3, [1e-3, 7e4]), (4, [3e5, 3e5]), (5, [1e9, 1.0]), (6, [1e308, 1.0]), (100, [3e6, 2.0]), (7, [3e6, 2.0009])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.top_k(df, df.where("vec_id % 100 = 0"), 3).collect())) == brute_top(rows, lambda i: i % 100 == 0, 3)
+
+
 def test_threshold_stops_early():
     rng = np.random.default_rng(0)
     data = (rng.normal(size=(4000, 2)) * 1000).round()
     order_ = np.argsort(data, axis=0, kind="stable")
-    rows, scores, scored = topk.threshold_top(data, order_, np.arange(4000), np.array([1000.0, -500.0]), -1, 10)
-    assert scores.tolist() == sorted((data @ [1000.0, -500.0]).tolist(), reverse=True)[:10]
+    query = np.array([1000.0, -500.0])
+    rows, scores, scored = topk.threshold_top(data, order_, np.arange(4000), query, 10)
+    assert scores.tolist() == sorted((data @ query).tolist(), reverse=True)[:10]
     assert scored < 2000
+    assert topk.threshold_top(data, order_, np.arange(4000), query, 10, 10**9)[2] == 0  # left before the first row
     huge = np.array([[2**40, 1], [2**40, 2], [-(2**41), 5]], dtype=object)
     assert topk.exact(huge.astype(float), huge.astype(float)) is object
 
 
+def test_threshold_in_many_dimensions():
+    """With 64 dimensions the walk ends early where a few of them carry the scores, and nowhere where all do alike."""
+    rng = np.random.default_rng(1)
+    shares = []
+    for falling in (True, False):
+        data = np.floor(1024 * rng.normal(size=(4000, 64)) * (0.4 ** np.arange(64) if falling else 0.125))
+        order_ = np.argsort(data, axis=0, kind="stable")
+        total = 0
+        for q in data[:20]:
+            rows, scores, scored = topk.threshold_top(data, order_, np.arange(4000), q, 10)
+            assert scores.tolist() == np.sort(data @ q)[::-1][:10].tolist()
+            total += scored
+        shares.append(total / 20 / 4000)
+    assert shares[0] < 0.5
+    assert shares[1] > 0.9
+
+
 # ---- 10 ----
 
 

@@ -73,7 +73,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path, schema = new_path(spark, name), df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._gridloom_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``cut`` has written; nothing that is still to be computed may read it."""
+    for t in tables:
+        sc = t.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(t._gridloom_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def trim() -> None:
@@ -208,7 +218,8 @@ def components(edges: DataFrame, name: str = "components", most: int = 60) -> Da
         # small star: smaller neighbours and the node itself go to the smallest
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
-        e = cut(small, name)
+        e, old = cut(small, name), e
+        discard(old)
         now = tuple(e.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first())
         if now == before:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))

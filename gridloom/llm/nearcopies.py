@@ -8,8 +8,9 @@ search within such a radius would compare all documents with all, so tiles are m
 values: 24 bands of 4 values miss a pair of similarity 0.8 with a probability of 3 in a million, as does the radius.
 
 What the tiles find is checked on the whole shingle sets, so that no link is made below the bound. At first each node of a
-bucket is held against the first one near it; then, in each bucket whose nodes aren't yet in one component, all pairs
-near each other of different components are.
+bucket is held against the first one near it and the nearest one; then, in each bucket whose nodes aren't yet in one component, all pairs
+near each other of different components are. For a check the pairs are dealt by blocks of their first and second nodes, so
+that a text is sent once for a block, not for a pair.
 
 Defined results: a text of fewer than five words is one shingle; texts without a word are copies of each other; letters
 A-Z are folded; a null is an empty text; an empty table gives an empty result; columns may have any names.
@@ -21,18 +22,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 from xxhash import xxh64_intdigest
 
-from .common import arrow_map, components, cut, ship, slices, whole_rows
+from .common import arrow_map, components, cut, discard, ship, slices, whole_rows
 from .simhash import SEED, compared, shingle_hashes
 
 WIDTH = 5
 #: Least similarity, as a fraction.
 OVER, UNDER = 4, 5
 BANDS, EACH = 24, 4
-BITS, RADIUS, TILE = 512, 114, 1024
+BITS, RADIUS, TILE = 512, 114, 16384
+#: Bytes of shingle sets that a task holds while others pass by; most parts of a node's pairs.
+HELD, PARTS = 8 << 20, 4
 MIX = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * EACH, 1), dtype=np.uint32) | np.array([[[0]], [[1]]], np.uint32)
 WIDE = np.random.default_rng(SEED + 1).integers(1 << 62, 1 << 63, (1, BITS // 64), dtype=np.uint64) | np.uint64(1)
 
@@ -70,12 +74,12 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def with_prints(docs: DataFrame) -> DataFrame:
-    """(row, node, size, bands, fp, ones): all columns of ``docs`` as a struct, and of the shingle set a name, the size, the bands and the SimHash."""
+    """(u, row, node, size, bands, fp, ones): a number, all columns of ``docs``, and of the shingle set a name, the size, the bands and the SimHash."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            whole = pa.RecordBatch.from_arrays([whole.column("row"), whole.column("row").field("text")], names=["row", "text"])
+            whole = pa.RecordBatch.from_arrays([whole.column("u"), whole.column("row"), whole.column("row").field("text")], names=["u", "row", "text"])
             for b in slices(whole, "text", 4 << 20):
                 nodes, sizes, bands, prints = [], [], [], []
                 for t in b.column("text").to_pylist():
@@ -87,32 +91,49 @@ def with_prints(docs: DataFrame) -> DataFrame:
                 ends = np.cumsum([0, *map(len, bands)], dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(bands)))
                 ones = np.bitwise_count(np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), -1)).sum(axis=1, dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists, pa.array(prints, pa.binary()), pa.array(ones)], names=["row", "node", "size", "bands", "fp", "ones"])
+                yield pa.RecordBatch.from_arrays([b.column("u"), b.column("row"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists, pa.array(prints, pa.binary()), pa.array(ones)], names=["u", "row", "node", "size", "bands", "fp", "ones"])
 
-    rows = docs.select(whole_rows(docs).alias("row"))
-    return arrow_map(rows, run, f"row {rows.schema['row'].dataType.simpleString()}, node long, size int, bands array<long>, fp binary, ones int")
+    rows = docs.select(F.monotonically_increasing_id().alias("u"), whole_rows(docs).alias("row"))
+    return arrow_map(rows, run, f"u long, row {rows.schema['row'].dataType.simpleString()}, node long, size int, bands array<long>, fp binary, ones int")
 
 
-def checked(pairs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts are similar."""
+def checked(pairs: DataFrame, rows: DataFrame, name: str, one_sided: bool = False) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts are similar; pairs: written.
+
+    A task holds the sets of a block of first nodes while the second ones pass by, each with its partners there. one_sided:
+    second nodes have few partners, so that they needn't be cut into blocks too.
+    """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = cut(rows.select("node", "row.text").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), f"{name}-texts")
-    joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("t")), "b")
+    texts = cut(rows.select("node", "size", "row.text").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"), F.min("size").alias("size")), f"{name}-texts")
+    parts = max(PARTS, -(-8 * (texts.agg(F.sum("size").cast("long")).first()[0] or 0) // HELD))
+    if one_sided:
+        parts = max(parts, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(parts)).cast("int").alias("i"), (F.lit(0) if one_sided else F.pmod(F.xxhash64("b"), F.lit(parts)).cast("int")).alias("j"))
+    held = dealt.select("i", "j", F.col("a").alias("node"), F.array().cast("array<long>").alias("partners")).distinct()
+    passing = dealt.groupBy("i", "j", F.col("b").alias("node")).agg(F.collect_list("a").alias("partners"))  # as many as a block holds
+    sent = held.unionByName(passing).join(texts.select("node", "text"), "node")
+    sent = sent.select("i", "j", "node", "partners", "text").repartition("i", "j").sortWithinPartitions("i", "j", F.size("partners") > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, sets = None, {}
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            s, t = batch.column("s"), batch.column("t")
-            sets: dict[int, np.ndarray] = {}
-            near = np.zeros(len(a), bool)
-            for i, (x, y) in enumerate(zip(a, b, strict=True)):
-                for node, column in ((x, s), (y, t)):
-                    if node not in sets:
-                        sets[node] = shingle_set(column[i].as_py())
-                near[i] = similar(sets[x], sets[y])
-            yield batch.select(["a", "b"]).filter(pa.array(near))
-
-    return cut(arrow_map(joined.select("a", "b", "s", "t"), run, "a long, b long"), f"{name}-links")
+            a, b = [], []
+            i, j, node, partners = (batch.column(c).to_pylist() for c in ("i", "j", "node", "partners"))
+            for k, t in enumerate(batch.column("text")):
+                if (i[k], j[k]) != block:
+                    block, sets = (i[k], j[k]), {}
+                own = shingle_set(t.as_py())
+                if partners[k]:
+                    near = [x for x in partners[k] if similar(sets[x], own)]
+                    a += near
+                    b += [node[k]] * len(near)
+                else:
+                    sets[node[k]] = own
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    out = cut(arrow_map(sent, run, "a long, b long"), f"{name}-links")
+    discard(texts)
+    return out
 
 
 def alike(size: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -120,20 +141,25 @@ def alike(size: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
     return UNDER * np.minimum(size[r], size[c]).astype(np.int64) >= OVER * np.maximum(size[r], size[c]).astype(np.int64)
 
 
-def first_near(size: np.ndarray, _, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Each row with the first one that is near it."""
-    none = len(size)
-    best = np.full(none, none)
-    for r, c in pairs:
+def first_near(size: np.ndarray, _, pairs: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each row with the first one near it and with the nearest one."""
+    n = len(size)
+    first, nearest = np.full(n, n), np.full(n, np.iinfo(np.int64).max)
+    for r, c, off in pairs:
         fits = alike(size, r, c)
-        np.minimum.at(best, c[fits], r[fits])
-    at = np.flatnonzero(best < none)
-    yield best[at], at
+        r, c, off = r[fits], c[fits], off[fits].astype(np.int64) << 32
+        np.minimum.at(first, c, r)
+        np.minimum.at(nearest, c, off | r)
+        np.minimum.at(nearest, r, off | c)
+    at = np.flatnonzero(first < n)
+    yield first[at], at
+    at = np.flatnonzero(nearest < np.iinfo(np.int64).max)
+    yield nearest[at] & 0xFFFFFFFF, at
 
 
-def near_apart(size: np.ndarray, root: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def near_apart(size: np.ndarray, root: np.ndarray, pairs: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs near each other with different roots."""
-    for r, c in pairs:
+    for r, c, _ in pairs:
         fits = (root[r] != root[c]) & alike(size, r, c)
         yield r[fits], c[fits]
 
@@ -150,35 +176,30 @@ def linked(rows: DataFrame) -> DataFrame:
     near = dealt.join(shared, "key", "left_semi").join(nodes.drop("bands"), "id")
     near = cut(near, "copies-buckets")
     star = cut(ordered(compared(near.withColumn("root", F.lit(0).cast("long")), RADIUS, TILE, first_near)), "copies-star")
-    links = checked(star, rows, "copies-star")
+    links = checked(star, rows, "copies-star", one_sided=True)
     found = components(links, "copies-star")
-    near = near.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    near = cut(near, "copies-apart")
-    several = near.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
-    rest = ordered(compared(near.join(several, "key", "left_semi"), RADIUS, TILE, near_apart))
+    rooted = near.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rooted = cut(rooted, "copies-apart")
+    several = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
+    rest = ordered(compared(rooted.join(several, "key", "left_semi"), RADIUS, TILE, near_apart))
     rest = cut(rest.join(star, ["a", "b"], "left_anti"), "copies-rest")
-    return components(links.unionByName(checked(rest, rows, "copies-rest")), "copies")
+    more = checked(rest, rows, "copies-rest")
+    out = components(links.unionByName(more), "copies")
+    discard(nodes, near, star, links, rooted, rest, more)
+    return out
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each group, with all columns: that of the smallest doc_id, then text and the other columns in order.
 
-    Nulls come last. Rows are told apart by their texts' nodes, so rows that share a doc_id, or have none, are copies only
-    if their texts are.
+    Nulls come last. Of the text the first 256 characters count and then a hash, of the others those of simple types. Rows
+    are told apart by their texts' nodes, so rows that share a doc_id, or have none, are copies only if their texts are.
     """
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     rows = cut(with_prints(docs), "copies")
-    ids = rows.groupBy("node", F.col("row.doc_id").alias("doc_id")).agg(F.count("*").alias("n"))
-    ids = ids.join(linked(rows), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = ids.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id")).alias("first"))
-    ids = ids.join(first, "root").where(F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
-    # nearly all groups have one row with that doc_id; only the others' rows are compared
-    total = ids.groupBy("root").agg(F.sum("n").alias("total"))
-    ids = cut(ids.join(total, "root").select("root", "node", F.col("doc_id").alias("id"), "total"), "copies-first").alias("i")
-    kept = rows.select("row", "node").alias("r")
-    same = (F.col("r.node") == F.col("i.node")) & F.col("r.row.doc_id").eqNullSafe(F.col("i.id"))
-    alone = kept.join(ids.where("total = 1"), same, "left_semi").select("r.row")
-    values = [x for c in ("text", *rest) for x in (F.isnull(F.col("r.row")[c]), F.col("r.row")[c])]
-    key = F.struct(*[x.alias(f"k{i}") for i, x in enumerate(values)], F.col("r.row").alias("row"))
-    tied = kept.join(ids.where("total > 1"), same).groupBy("i.root").agg(F.min(key).alias("least")).select("least.row")
-    return alone.unionByName(tied).select("row.*")
+    text = F.col("row.text")
+    simple = [f.name for f in docs.schema if isinstance(f.dataType, AtomicType) and f.name not in ("doc_id", "text")]
+    values = [F.col("row.doc_id"), F.substring(text, 1, 256), F.xxhash64(text), *[F.col("row")[c] for c in simple]]
+    key = F.struct(*[x.alias(f"k{i}") for i, x in enumerate(x for v in values for x in (F.isnull(v), v))], "u")
+    named = rows.select("node", key.alias("key")).join(linked(rows), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = cut(named.groupBy("root").agg(F.min("key").alias("key")).select("key.u"), "copies-first")
+    return rows.join(first, "u", "left_semi").select("row.*")

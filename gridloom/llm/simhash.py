@@ -70,8 +70,8 @@ def with_fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")), run, "doc_id long, fp long")
 
 
-def near_pairs(group: np.ndarray, ones: np.ndarray, fp: np.ndarray, radius: int, counts: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows (r, c), r < c, of one group that differ in ``radius`` bits or fewer, by tiles of TILE rows.
+def near_pairs(group: np.ndarray, ones: np.ndarray, fp: np.ndarray, radius: int, counts: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows (r, c), r < c, of one group that differ in ``radius`` bits or fewer, and in how many, by tiles of TILE rows.
 
     Rows are sorted by group and population count; fp holds one or more 64-bit words a row. Two tiles meet if they have a
     group in common and its population counts there lie within the radius. counts: tile pairs compared and skipped.
@@ -104,9 +104,10 @@ def near_pairs(group: np.ndarray, ones: np.ndarray, fp: np.ndarray, radius: int,
             if not d:
                 hit &= later
             k, r, c = np.nonzero(hit)
+            off = bits[k, r, c]
             r, c = left[k] * TILE + r, right[k] * TILE + c
             real = c < n
-            yield r[real], c[real]
+            yield r[real], c[real], off[real]
 
 
 def spread(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -121,12 +122,12 @@ def spread(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return label
 
 
-def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def forest(n: int, pairs: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links of each row to the first row of its component, whatever the number of pairs."""
     label, held, size = np.arange(n), [], 0
-    for pair in pairs:
-        held.append(pair)
-        size += len(pair[0])
+    for a, b, _ in pairs:
+        held.append((a, b))
+        size += len(a)
         if size > 1 << 20:
             label, held, size = spread(label, *map(np.concatenate, zip(*held, strict=True))), [], 0
     if held:

@@ -400,8 +400,9 @@ def test_tiles_compare_all_and_skip_by_population_count():
     order = np.lexsort((ones, group))
     counts = [0, 0]
     pairs = [x for x in simhash.near_pairs(group[order], ones[order], fp[order][:, None], 3, counts)]
-    found = {tuple(sorted((int(order[a]), int(order[b])))) for r, c in pairs for a, b in zip(r, c, strict=True)}
+    found = {tuple(sorted((int(order[a]), int(order[b])))) for r, c, _ in pairs for a, b in zip(r, c, strict=True)}
     assert found == {(3, 1500), (1500, 2400)}
+    assert sorted(x for _, _, off in pairs for x in off) == [2, 2]
     tiles = 2450 // simhash.TILE + 1
     assert counts[1] > 0
     assert counts[0] < tiles * (tiles + 1) // 2

@@ -7,10 +7,10 @@ counts and population counts, within ``RADIUS`` bits: similarity 0.8 lies near 7
 search within such a radius would compare all documents with all, so tiles are made of nodes that share a band of minhash
 values: 24 bands of 4 values miss a pair of similarity 0.8 with a probability of 3 in a million, as does the radius.
 
-What the tiles find is checked on the whole shingle sets, so that no link is made below the bound. At first each node of a
-bucket is held against the first one near it and the nearest one; then, in each bucket whose nodes aren't yet in one component, all pairs
-near each other of different components are. For a check the pairs are dealt by blocks of their first and second nodes, so
-that a text is sent once for a block, not for a pair.
+What the tiles connect is a cluster, and each node is of one cluster only, so that its text is sent once for checking. There
+the members are compared again by tiles, and pairs within the radius that aren't connected yet, nearest first, are checked on
+their whole shingle sets, so that no link is made below the bound. A cluster whose sets are too large for one task is cut into
+blocks, and each pair of blocks is one. No list of pairs is made at any place: what leaves a task is a forest of links.
 
 Defined results: a text of fewer than five words is one shingle; texts without a word are copies of each other; letters
 A-Z are folded; a null is an empty text; an empty table gives an empty result; columns may have any names.
@@ -28,15 +28,15 @@ from pyspark.sql.types import AtomicType
 from xxhash import xxh64_intdigest
 
 from .common import arrow_map, components, cut, discard, ship, slices, whole_rows
-from .simhash import SEED, compared, shingle_hashes
+from .simhash import SEED, compared, near_pairs, shingle_hashes
 
 WIDTH = 5
 #: Least similarity, as a fraction.
 OVER, UNDER = 4, 5
 BANDS, EACH = 24, 4
 BITS, RADIUS, TILE = 512, 114, 16384
-#: Bytes of shingle sets that a task holds while others pass by; most parts of a node's pairs.
-HELD, PARTS = 8 << 20, 4
+#: Bytes of shingle sets in a block of a cluster.
+HELD = 16 << 20
 MIX = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * EACH, 1), dtype=np.uint32) | np.array([[[0]], [[1]]], np.uint32)
 WIDE = np.random.default_rng(SEED + 1).integers(1 << 62, 1 << 63, (1, BITS // 64), dtype=np.uint64) | np.uint64(1)
 
@@ -97,75 +97,56 @@ def with_prints(docs: DataFrame) -> DataFrame:
     return arrow_map(rows, run, f"u long, row {rows.schema['row'].dataType.simpleString()}, node long, size int, bands array<long>, fp binary, ones int")
 
 
-def checked(pairs: DataFrame, rows: DataFrame, name: str, one_sided: bool = False) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts are similar; pairs: written.
-
-    A task holds the sets of a block of first nodes while the second ones pass by, each with its partners there. one_sided:
-    second nodes have few partners, so that they needn't be cut into blocks too.
-    """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = cut(rows.select("node", "size", "row.text").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"), F.min("size").alias("size")), f"{name}-texts")
-    parts = max(PARTS, -(-8 * (texts.agg(F.sum("size").cast("long")).first()[0] or 0) // HELD))
-    if one_sided:
-        parts = max(parts, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(parts)).cast("int").alias("i"), (F.lit(0) if one_sided else F.pmod(F.xxhash64("b"), F.lit(parts)).cast("int")).alias("j"))
-    held = dealt.select("i", "j", F.col("a").alias("node"), F.array().cast("array<long>").alias("partners")).distinct()
-    passing = dealt.groupBy("i", "j", F.col("b").alias("node")).agg(F.collect_list("a").alias("partners"))  # as many as a block holds
-    sent = held.unionByName(passing).join(texts.select("node", "text"), "node")
-    sent = sent.select("i", "j", "node", "partners", "text").repartition("i", "j").sortWithinPartitions("i", "j", F.size("partners") > 0)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, sets = None, {}
-        for batch in batches:
-            a, b = [], []
-            i, j, node, partners = (batch.column(c).to_pylist() for c in ("i", "j", "node", "partners"))
-            for k, t in enumerate(batch.column("text")):
-                if (i[k], j[k]) != block:
-                    block, sets = (i[k], j[k]), {}
-                own = shingle_set(t.as_py())
-                if partners[k]:
-                    near = [x for x in partners[k] if similar(sets[x], own)]
-                    a += near
-                    b += [node[k]] * len(near)
-                else:
-                    sets[node[k]] = own
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    out = cut(arrow_map(sent, run, "a long, b long"), f"{name}-links")
-    discard(texts)
+def find(root: list[int], x: int) -> int:
+    while root[x] != x:
+        root[x] = root[root[x]]
+        x = root[x]
+    return x
+
+
+def true_links(sets: list[np.ndarray], ones: np.ndarray, fp: np.ndarray, block: np.ndarray) -> list[tuple[int, int]]:
+    """A forest of pairs whose sets are similar; of two blocks, only pairs across are looked at."""
+    order = np.argsort(ones, kind="stable")
+    size, across = np.array([*map(len, sets)]), bool((block != block[0]).any())
+    root, out = list(range(len(sets))), []
+    for r, c, off in near_pairs(np.zeros(len(sets), np.int64), ones[order], fp[order], RADIUS):
+        r, c = order[r], order[c]
+        fits = UNDER * np.minimum(size[r], size[c]) >= OVER * np.maximum(size[r], size[c])
+        if across:
+            fits &= block[r] != block[c]
+        r, c, off = r[fits], c[fits], off[fits]
+        for i in np.argsort(off, kind="stable"):
+            x, y = find(root, r[i]), find(root, c[i])
+            if x != y and similar(sets[r[i]], sets[c[i]]):
+                root[max(x, y)] = min(x, y)
+                out.append((int(r[i]), int(c[i])))
     return out
 
 
-def alike(size: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Sets of such sizes can reach the similarity."""
-    return UNDER * np.minimum(size[r], size[c]).astype(np.int64) >= OVER * np.maximum(size[r], size[c]).astype(np.int64)
+def checked(members: DataFrame) -> DataFrame:
+    """Links (a, b) of similar texts; members: (cluster, s, t, own, node, ones, fp, text), compared where cluster, s and t agree."""
+    dealt = members.repartition("cluster", "s", "t").sortWithinPartitions("cluster", "s", "t")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            node, own, ones, prints, sets = zip(*held, strict=True)
+            fp = np.frombuffer(b"".join(prints), "<u8").reshape(len(prints), -1)
+            found = true_links(list(sets), np.array(ones), fp, np.array(own))
+            return pa.RecordBatch.from_arrays([pa.array([node[i] for i, _ in found], pa.int64()), pa.array([node[j] for _, j in found], pa.int64())], names=["a", "b"])
 
-def first_near(size: np.ndarray, _, pairs: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Each row with the first one near it and with the nearest one."""
-    n = len(size)
-    first, nearest = np.full(n, n), np.full(n, np.iinfo(np.int64).max)
-    for r, c, off in pairs:
-        fits = alike(size, r, c)
-        r, c, off = r[fits], c[fits], off[fits].astype(np.int64) << 32
-        np.minimum.at(first, c, r)
-        np.minimum.at(nearest, c, off | r)
-        np.minimum.at(nearest, r, off | c)
-    at = np.flatnonzero(first < n)
-    yield first[at], at
-    at = np.flatnonzero(nearest < np.iinfo(np.int64).max)
-    yield nearest[at] & 0xFFFFFFFF, at
-
-
-def near_apart(size: np.ndarray, root: np.ndarray, pairs: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs near each other with different roots."""
-    for r, c, _ in pairs:
-        fits = (root[r] != root[c]) & alike(size, r, c)
-        yield r[fits], c[fits]
-
+        now, held = None, []
+        for batch in batches:
+            cluster, s, t, own, node, ones, fp = (batch.column(c).to_pylist() for c in ("cluster", "s", "t", "own", "node", "ones", "fp"))
+            for i, text in enumerate(batch.column("text")):
+                if (cluster[i], s[i], t[i]) != now:
+                    if len(held) > 1:
+                        yield out()
+                    now, held = (cluster[i], s[i], t[i]), []
+                held.append((node[i], own[i], ones[i], fp[i], shingle_set(text.as_py())))
+        if len(held) > 1:
+            yield out()
 
-def ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return arrow_map(dealt.select("cluster", "s", "t", "own", "node", "ones", "fp", "text"), run, "a long, b long")
 
 
 def linked(rows: DataFrame) -> DataFrame:
@@ -174,18 +155,18 @@ def linked(rows: DataFrame) -> DataFrame:
     dealt = nodes.select("id", F.explode("bands").alias("key"))
     shared = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     near = dealt.join(shared, "key", "left_semi").join(nodes.drop("bands"), "id")
-    near = cut(near, "copies-buckets")
-    star = cut(ordered(compared(near.withColumn("root", F.lit(0).cast("long")), RADIUS, TILE, first_near)), "copies-star")
-    links = checked(star, rows, "copies-star", one_sided=True)
-    found = components(links, "copies-star")
-    rooted = near.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    rooted = cut(rooted, "copies-apart")
-    several = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
-    rest = ordered(compared(rooted.join(several, "key", "left_semi"), RADIUS, TILE, near_apart))
-    rest = cut(rest.join(star, ["a", "b"], "left_anti"), "copies-rest")
-    more = checked(rest, rows, "copies-rest")
-    out = components(links.unionByName(more), "copies")
-    discard(nodes, near, star, links, rooted, rest, more)
+    clusters = components(compared(near, RADIUS, TILE), "copies-clusters")
+    clusters = clusters.unionByName(clusters.select("root").distinct().select(F.col("root").alias("node"), "root"))
+    sized = clusters.join(nodes.select(F.col("id").alias("node"), "size"), "node")
+    blocks = sized.groupBy("root").agg(F.ceil(F.sum(F.col("size").cast("long")) * 8 / HELD).cast("int").alias("blocks"))
+    members = sized.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    members = members.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", F.col("root").alias("cluster"), "own", F.least("own", "o").alias("s"), F.greatest("own", "o").alias("t"))
+    members = cut(members, "copies-members")
+    # merge: the same plan at every size
+    texts = rows.select("node", "ones", "fp", "row.text").join(members.select("node").distinct().hint("merge"), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"), F.first("ones").alias("ones"), F.first("fp").alias("fp"))
+    links = checked(members.join(texts, "node"))
+    out = components(links, "copies")
+    discard(nodes, members)
     return out
 
 
@@ -202,4 +183,4 @@ def keep_first(docs: DataFrame) -> DataFrame:
     key = F.struct(*[x.alias(f"k{i}") for i, x in enumerate(x for v in values for x in (F.isnull(v), v))], "u")
     named = rows.select("node", key.alias("key")).join(linked(rows), "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = cut(named.groupBy("root").agg(F.min("key").alias("key")).select("key.u"), "copies-first")
-    return rows.join(first, "u", "left_semi").select("row.*")
+    return rows.join(first.hint("merge"), "u", "left_semi").select("row.*")

@@ -122,7 +122,7 @@ def spread(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return label
 
 
-def forest(n: int, pairs: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def forest(n: int, pairs: Iterator[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
     """Links of each row to the first row of its component, whatever the number of pairs."""
     label, held, size = np.arange(n), [], 0
     for a, b, _ in pairs:
@@ -133,16 +133,16 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np
     if held:
         label = spread(label, *map(np.concatenate, zip(*held, strict=True)))
     at = np.flatnonzero(label != np.arange(n))
-    yield at, label[at]
+    return at, label[at]
 
 
 def dealt_in_tiles(rows: DataFrame, radius: int, tile: int) -> DataFrame:
-    """``rows`` (id, fp, ones, key, size, root) with a pair of tiles (s, t), as often as there are pairs that they belong to.
+    """``rows`` (id, fp, ones, key) with a pair of tiles (s, t), as often as there are pairs that they belong to.
 
     A bucket of up to ``tile`` rows is one tile. A larger one is cut by population count, and by a hash where one count has
     too many rows; pairs of tiles whose counts differ by more than the radius aren't made.
     """
-    columns = ["id", "fp", "ones", "key", "size", "root"]
+    columns = ["id", "fp", "ones", "key"]
     counts = rows.groupBy("key", "ones").agg(F.count("*").alias("n"))
     large = counts.groupBy("key").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("ones", F.ceil(F.col("n") / tile).cast("int").alias("tiles")))).alias("tiles")).where(F.col("total") > tile)
     rows = rows.join(large.select("key", "tiles"), "key", "left")
@@ -163,22 +163,18 @@ def print_words(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(raw), "<u8").reshape(len(raw), -1)
 
 
-def compared(rows: DataFrame, radius: int, tile: int, pick) -> DataFrame:
-    """Edges (a, b) of ids; rows: (id, fp, ones, key, size, root), of which those with a key in common are compared.
-
-    pick: the rows' sizes and roots and the pairs near each other -> the pairs of rows to return.
-    """
+def compared(rows: DataFrame, radius: int, tile: int) -> DataFrame:
+    """Edges (a, b) of ids that connect what lies within ``radius`` bits, as forests; rows: (id, fp, ones, key), of which those with a key in common are compared."""
     ship(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
             k = np.stack([t.column(c).to_numpy() for c in ("key", "s", "t")])
             group = np.cumsum(np.r_[False, (k[:, 1:] != k[:, :-1]).any(axis=0)])
-            ids, size, root = (t.column(c).to_numpy() for c in ("id", "size", "root"))
-            fp = print_words(t.column("fp").combine_chunks())
-            for a, b in pick(size, root, near_pairs(group, t.column("ones").to_numpy(), fp, radius)):
-                for i in range(0, len(a), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[a[i : i + 100_000]]), pa.array(ids[b[i : i + 100_000]])], names=["a", "b"])
+            ids, fp = t.column("id").to_numpy(), print_words(t.column("fp").combine_chunks())
+            a, b = forest(len(ids), near_pairs(group, t.column("ones").to_numpy(), fp, radius))
+            for i in range(0, len(a), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a[i : i + 100_000]]), pa.array(ids[b[i : i + 100_000]])], names=["a", "b"])
 
         held: list[pa.Table] = []
         n = 0
@@ -207,8 +203,8 @@ def links(nodes: DataFrame, radius: int = 3, tile: int = 1024) -> DataFrame:
     size = 64 // blocks
     at = [(j * size, size if j < blocks - 1 else 64 - j * size) for j in range(blocks)]
     keys = F.array(*[F.shiftrightunsigned("fp", lo).bitwiseAND((1 << bits) - 1) * blocks + j if bits < 64 else F.col("fp") for j, (lo, bits) in enumerate(at)])
-    rows = nodes.select("id", "fp", F.bit_count("fp").cast("int").alias("ones"), F.explode(keys).alias("key"), F.lit(0).alias("size"), F.lit(0).cast("long").alias("root"))
-    return compared(rows, radius, tile, lambda size, _, pairs: forest(len(size), pairs))
+    rows = nodes.select("id", "fp", F.bit_count("fp").cast("int").alias("ones"), F.explode(keys).alias("key"))
+    return compared(rows, radius, tile)
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, tile: int = 1024) -> DataFrame:

@@ -406,7 +406,7 @@ def test_tiles_compare_all_and_skip_by_population_count():
     tiles = 2450 // simhash.TILE + 1
     assert counts[1] > 0
     assert counts[0] < tiles * (tiles + 1) // 2
-    at, label = next(simhash.forest(2500, iter(pairs)))
+    at, label = simhash.forest(2500, iter(pairs))
     assert len(at) == 2
     assert len(set(label.tolist())) == 1
 

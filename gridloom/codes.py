@@ -72,7 +72,7 @@ def described(rows: DataFrame, table: DataFrame, tbl: str, code: str, name: str,
     keys = {"code": code} | ({"discipline": discipline} if discipline else {}) | ({"category": category} if category else {})
     part = table.where(F.col("tbl") == tbl).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("description").alias("_text"))
     on = reduce(lambda a, b: a & b, [F.col(v).cast("int") == F.col(f"_{k}") for k, v in keys.items()])
-    found = rows.join(F.broadcast(part), on, "left")
+    found = rows.join(part, on, "left")
     return found.withColumn(name, F.when(F.col(code).isNotNull(), F.coalesce("_text", missing_text(F.col(code))))).drop("_text", *[f"_{k}" for k in keys])
 
 

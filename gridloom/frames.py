@@ -20,7 +20,11 @@ from .sources import grib
 
 
 class Grib:
-    """Relations over files or over a DataFrame (path, content). Nothing is read until an action."""
+    """Relations over a DataFrame (path, content), or (path) of files that tasks open. Nothing is read until an action.
+
+    Files that are opened are read by seeking: what isn't asked for stays where it is, and the data of fields are read once
+    the fields have been chosen.
+    """
 
     def __init__(self, files: DataFrame, mode: str = "FAILFAST", code_table: DataFrame | None = None, decoders: dict | None = None, grids: dict | None = None):
         """decoders, grids: functions by template number, for representations and grids beyond the built-in ones."""
@@ -33,13 +37,14 @@ class Grib:
         return self._codes if self._codes is not None else codes.code_table(self.spark)
 
     def sections(self, payload: str = "none") -> DataFrame:
-        return grib.scan_binary(self.files, payload, self.mode)
+        return grib.scan_files(self.files, payload, self.mode)
 
     def order_errors(self) -> DataFrame:
         return R.order_errors(self.sections())
 
     def submessages(self, payload: str = "meta") -> DataFrame:
-        return R.submessages(self.sections(payload), payloads=payload != "none")
+        subs = grib.scan_submessages(self.files, payload, self.mode)
+        return subs if payload != "none" else subs.select(*R.KEYS, *[f"s{k}" for k in range(9)])
 
     def layers(self) -> DataFrame:
         """One row for each layer with its fields; the octets of sections stay behind."""
@@ -50,10 +55,12 @@ class Grib:
         return R.templates(self.sections())
 
     def _with_data(self, index: str | None, where: str | None) -> DataFrame:
-        subs = self.submessages("all")
+        opened = "content" not in self.files.columns
+        subs = self.submessages("meta" if opened else "all")
         if index is not None:
             subs = R.at_index(subs, index)
-        return R.layers(subs).where(where).select(*subs.columns) if where else subs
+        subs = R.layers(subs).where(where).select(*subs.columns) if where else subs
+        return grib.with_data(subs) if opened else subs
 
     def values(self, index: str | None = None, where: str | None = None) -> DataFrame:
         """(path, msg, sub, values): one array for each field; ``where`` is a predicate on ``layers``."""
@@ -85,6 +92,12 @@ class Grib:
 
 
 def read(spark: SparkSession, paths: str | list[str], mode: str = "FAILFAST", code_table: DataFrame | None = None) -> Grib:
+    """Files by path, folder or glob. Spark lists them; tasks open them and seek."""
+    return Grib(spark.read.format("binaryFile").load(paths).select("path"), mode, code_table)
+
+
+def read_whole(spark: SparkSession, paths: str | list[str], mode: str = "FAILFAST", code_table: DataFrame | None = None) -> Grib:
+    """The same of stores that only Spark can open: files are read whole, up to 2 GB each."""
     return Grib(spark.read.format("binaryFile").load(paths).select("path", "content"), mode, code_table)
 
 

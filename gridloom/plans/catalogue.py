@@ -10,12 +10,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import codes, frames
+from ..bits import pack
+from ..errors import DecodeError, NotSupported
 from ..functions import octets as X
-from ..operators import encode, grids
+from ..operators import decode, encode, grids
 from ..operators import relations as R
 from ..ship import ship
 from ..sources import grib, sinks
@@ -47,6 +50,77 @@ def real(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("double")
 
 
+def applied(work, kind: str, arrow: pa.DataType, **columns: Column) -> Column:
+    """``work`` of the library's functions, by row: keyword arguments of these names -> a value of this type."""
+
+    @F.arrow_udf(kind)
+    def run(rows: pa.Array) -> pa.Array:
+        return pa.array([work(**r) for r in rows.to_pylist()], arrow)
+
+    return run(F.struct(*[c.alias(n) for n, c in columns.items()]))
+
+
+FIELD_KIND, FIELD_ARROW = "struct<n: int, s5: binary, s6: binary, s7: binary>", pa.struct([("n", pa.int32()), ("s5", pa.binary()), ("s6", pa.binary()), ("s7", pa.binary())])
+FIRST_ARROW = pa.list_(pa.int64())
+
+
+def decoded(fields: DataFrame, key: str) -> DataFrame:
+    """(key, pt, value): fields (key, f) of sections, through the library's decoder; NaN is null."""
+    back = fields.select(key, R.values_udf()("f.n", "f.s5", "f.s6", "f.s7").alias("values"))
+    x = real("value")
+    return back.select(key, F.posexplode_outer("values").alias("pt", "value")).select(key, big("pt"), F.when(~F.isnan("value"), x + 0.0).alias("value"))
+
+
+def grouped_codes(codes: np.ndarray, each: int) -> tuple[dict, int, bytes]:
+    """Fields of complex packing, bits of the references, and octets: groups of ``each`` codes (0: one group)."""
+    n = len(codes)
+    starts = np.arange(0, n, each or n)
+    lengths = np.diff(np.r_[starts, n])
+    refs = np.minimum.reduceat(codes, starts)
+    widths = [int(x).bit_length() for x in np.maximum.reduceat(codes, starts) - refs]
+    bits, narrow = max(1, int(refs.max()).bit_length()), min(widths)
+    more = (max(widths) - narrow).bit_length()
+    values = encode.pack_each(codes - np.repeat(refs, lengths), np.repeat(widths, lengths))
+    shape = {"group_splitting_method": 1, "missing_value_management": 0, "primary_missing_value": 0xFFFFFFFF, "secondary_missing_value": 0xFFFFFFFF, "num_groups": len(starts), "group_width_ref": narrow, "num_group_width_bits": more}
+    shape |= {"group_len_ref": int(lengths[0]), "group_len_inc": 1, "group_len_last": int(lengths[-1]), "num_group_len_bits": 0}
+    return shape, bits, pack(refs, bits) + (pack(np.array(widths) - narrow, more) if more else b"") + values
+
+
+def complex_field(values: list[float], each: int) -> dict:
+    """A field of whole numbers in complex packing."""
+    v = np.array(values, np.int64)
+    shape, bits, data = grouped_codes(v - v.min(), each)
+    simple = {"ref_val": float(v.min()), "exp": 0, "dec": 0, "num_bits": bits}
+    return {"n": len(v), "s5": encode.section5(len(v), 2, {"simple": simple, "orig_field_type": 0, "complex": shape}), "s6": encode.section(6, b"\xff"), "s7": encode.section(7, data)}
+
+
+def difference_field(values: list[float], order: int) -> dict:
+    """A field of whole numbers in complex packing with spatial differencing."""
+    v = np.array(values, np.int64)
+    steps = np.diff(v, order) if len(v) > order else np.zeros(0, np.int64)
+    least = int(steps.min()) if len(steps) else 0
+    shape, bits, data = grouped_codes(np.r_[np.zeros(min(order, len(v)), np.int64), steps - least], 4)
+    signed = lambda x: (abs(int(x)) | (0x80000000 if x < 0 else 0)).to_bytes(4, "big")
+    first = b"".join(signed(x) for x in np.r_[v, np.zeros(order, np.int64)][:order]) + signed(least)
+    template = {"simple": {"ref_val": 0.0, "exp": 0, "dec": 0, "num_bits": bits}, "orig_field_type": 0, "complex": shape, "spatial_diff_order": order, "num_extra_desc_octets": 4}
+    return {"n": len(v), "s5": encode.section5(len(v), 3, template), "s6": encode.section(6, b"\xff"), "s7": encode.section(7, first + data)}
+
+
+def run_length_field(levels: list[int], values: list[int]) -> dict:
+    """A field of levels in run-length packing of an octet, where lengths have digits of base 5."""
+    base, codes = 251, []
+    x = np.array(levels)
+    starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+    for a, b in zip(starts, [*starts[1:], len(x)], strict=True):
+        codes.append(int(x[a]))
+        more = int(b - a) - 1
+        while more:
+            codes.append(base + more % 5)
+            more //= 5
+    template = {"num_bits": 8, "max_val": 250, "max_level": len(values), "dec": 1, "level_vals": values}
+    return {"n": len(x), "s5": encode.section5(len(x), 200, template), "s6": encode.section(6, b"\xff"), "s7": encode.section(7, bytes(codes))}
+
+
 # ---- Packing (F2, F3, L2, K1, K2) ----
 
 
@@ -59,15 +133,6 @@ def pack_params_simple(spark, sf_dir):
     return g.withColumn("num_bits", big(X.bits_required(F.round(F.col("high") - F.col("low")))))
 
 
-@query("""with p as (select cast(min(l_quantity) as float) as r from lineitem)
-select l_orderkey, l_linenumber, l_partkey, cast(r + cast(round(l_quantity - r) as float) as double) as value from lineitem, p""")
-def pack_roundtrip_quantity(spark, sf_dir):
-    rows = read(spark, sf_dir, "lineitem")
-    low = rows.agg(F.min("l_quantity").cast("float")).first()[0]
-    r = F.lit(low).cast("float")
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", real(r + F.round(F.col("l_quantity") - r).cast("float")).alias("value"))
-
-
 @query("""select p_size, cast(case when p_size = 0 then 0 else length(bin(p_size)) end as bigint) as bits, count(*) as n from part group by 1, 2
 union all select 0, 0, 0""")
 def bits_required(spark, sf_dir):
@@ -80,110 +145,127 @@ def packed_octets(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").select("vec_id", big(X.octets(F.lit(64) * X.bits_required(F.greatest("label", F.lit(1))))).alias("n_octets"))
 
 
-@query("""select cast(orders.o_orderkey as bigint) as o_orderkey, round(l_discount * 100) + 0.0 as code from orders join lineitem on l_orderkey = o_orderkey""")
-def scaled_decimal_round(spark, sf_dir):
-    o, li = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
-    return o.join(li, o.o_orderkey == li.l_orderkey).select("o_orderkey", (F.round(F.col("l_discount") * 100) + 0.0).alias("code"))
+PRICES = """with p as (select cast(floor(o_orderkey / 64) as bigint) as grp, o_orderkey, o_totalprice as v from orders),
+r as (select grp, cast(min(v) as float) as r from p group by 1)"""
 
 
-@query("""select cast(floor(o_orderkey / 32) as bigint) as grp, min(cast(round(o_totalprice) as bigint)) as ref,
- cast(case when max(round(o_totalprice)) = min(round(o_totalprice)) then 0 else length(bin(max(cast(round(o_totalprice) as bigint)) - min(cast(round(o_totalprice) as bigint)))) end as bigint) as width,
- count(*) as len from orders group by 1""")
-def group_min_width(spark, sf_dir):
-    v = F.round("o_totalprice").cast("bigint")
-    g = read(spark, sf_dir, "orders").groupBy(F.floor(F.col("o_orderkey") / 32).cast("bigint").alias("grp")).agg(F.min(v).alias("ref"), F.max(v).alias("top"), F.count("*").alias("len"))
-    return g.select("grp", "ref", big(X.bits_required(F.col("top") - F.col("ref"))).alias("width"), "len")
+@query(PRICES + """ select grp, row_number() over (partition by grp order by o_orderkey) - 1 as pt, cast(r + cast(greatest(round(v - cast(r as double)), 0) as float) as double) as value from p join r using (grp)""")
+def pack_roundtrip_price(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").withColumn("grp", F.floor(F.col("o_orderkey") / 64).cast("bigint"))
+    f = sinks.gathered(rows, ["grp"], "o_orderkey", "o_totalprice").select("grp", F.size("values").alias("n"), sinks.encode_field(F.col("values"), 0).alias("f"))
+    return decoded(f.select("grp", F.struct("n", "f.s5", "f.s6", "f.s7").alias("f")), "grp")
 
 
-@query("""with g as (select c_nationkey, c_custkey, cast(c_custkey % 7 as bigint) as width, cast(1 + c_custkey % 5 as bigint) as len from customer)
-select c_nationkey, c_custkey, cast(sum(width * len) over (partition by c_nationkey order by c_custkey) - width * len as bigint) as bit_offset from g""")
-def group_offset_prefix(spark, sf_dir):
-    c = F.col("c_custkey")
-    g = read(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", ((c % 7) * (1 + c % 5)).alias("bits"))
-    w = Window.partitionBy("c_nationkey").orderBy("c_custkey")
-    return g.select("c_nationkey", "c_custkey", (F.sum("bits").over(w) - F.col("bits")).alias("bit_offset"))
+@query("""with r as (select c_nationkey, cast(cast(min(c_acctbal * 10) as float) as double) as r from customer group by 1)
+select c_nationkey, row_number() over (partition by c_nationkey order by c_custkey) - 1 as pt, cast(greatest(round(c_acctbal * 10 - r), 0) as bigint) as code from customer join r using (c_nationkey)""")
+def quantised_codes(spark, sf_dir):
+    f = sinks.gathered(read(spark, sf_dir, "customer"), ["c_nationkey"], "c_custkey", "c_acctbal")
+    codes = applied(lambda values: encode.quantise(np.array(values), 1).codes.tolist(), "array<long>", FIRST_ARROW, values=F.col("values"))
+    return f.select("c_nationkey", F.posexplode(codes).alias("pt", "code")).select("c_nationkey", big("pt"), "code")
 
 
-@query("""with l as (select c_nationkey, list(distinct cast(10 + 6 * (c_custkey % 4) as bigint)) as lens from customer group by 1)
-select c_nationkey, cast(list_reduce(list_prepend(0::bigint, list_transform(lens, lambda x: x - list_min(lens))), lambda a, b: gcd(a, b)) as bigint) as step from l""")
-def group_length_gcd(spark, sf_dir):
-    lens = F.collect_set(10 + 6 * (F.col("c_custkey") % 4))
-    low = F.array_min("lens")
-    # Euclid's steps, enough for any two 64-bit numbers that meet here
-    euclid = lambda a, b: F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.named_struct(F.lit("a"), a, F.lit("b"), b), lambda s, _: F.when(s["b"] == 0, s).otherwise(F.named_struct(F.lit("a"), s["b"], F.lit("b"), F.try_mod(s["a"], s["b"]))))["a"]
-    return read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(lens.alias("lens")).select("c_nationkey", F.aggregate(F.transform("lens", lambda x: x - low), F.lit(0).cast("bigint"), euclid).alias("step"))
+@query("""select c_nationkey, row_number() over (partition by c_nationkey order by c_custkey) - 1 as pt, round(c_acctbal) + 0.0 as value from customer""")
+def complex_groups(spark, sf_dir):
+    """Groups of seven, each with a reference and a width of its own."""
+    f = sinks.gathered(read(spark, sf_dir, "customer").withColumn("v", F.round("c_acctbal")), ["c_nationkey"], "c_custkey", "v")
+    return decoded(f.select("c_nationkey", applied(lambda values: complex_field(values, 7), FIELD_KIND, FIELD_ARROW, values=F.col("values")).alias("f")), "c_nationkey")
+
+
+@query("""with l as (select c_nationkey, list(cast(10 + 6 * (c_custkey % 4) as bigint)) as lens from customer group by 1),
+g as (select c_nationkey, list_min(lens) as least, list_max(lens) as most, cast(list_reduce(list_prepend(0::bigint, list_transform(lens, lambda x: x - list_min(lens))), lambda a, b: gcd(a, b)) as bigint) as step from l)
+select c_nationkey, least, step, cast(case when step = 0 then 0 else length(bin((most - least) // step)) end as bigint) as bits from g""")
+def group_length_code(spark, sf_dir):
+    lens = F.collect_list(10 + 6 * (F.col("c_custkey") % 4))
+    code = applied(lambda lens: encode.length_code(lens), "array<long>", FIRST_ARROW, lens=F.col("lens"))
+    found = read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(lens.alias("lens")).select("c_nationkey", code.alias("c"))
+    return found.select("c_nationkey", *[F.col("c")[i].alias(n) for i, n in enumerate(("least", "step", "bits"))])
 
 
 # ---- Sequences (G) ----
 
 
-@query("""with d as (select user_id, event_id, round(value) - coalesce(lag(round(value)) over (partition by user_id order by event_id), 0) as d from events)
-select user_id, event_id, sum(d) over (partition by user_id order by event_id) as value from d""")
+ROUNDED = """select user_id, row_number() over (partition by user_id order by event_id) - 1 as pt, round(value) + 0.0 as value from events"""
+
+
+def differences(spark: SparkSession, sf_dir: str, order: int) -> DataFrame:
+    f = sinks.gathered(read(spark, sf_dir, "events").withColumn("v", F.round("value")), ["user_id"], "event_id", "v")
+    return decoded(f.select("user_id", applied(lambda values: difference_field(values, order), FIELD_KIND, FIELD_ARROW, values=F.col("values")).alias("f")), "user_id")
+
+
+@query(ROUNDED)
 def undiff_first_order(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    d = read(spark, sf_dir, "events").select("user_id", "event_id", (F.round("value") - F.coalesce(F.lag(F.round("value")).over(w), F.lit(0.0))).alias("d"))
-    return d.select("user_id", "event_id", F.sum("d").over(w).alias("value"))
+    return differences(spark, sf_dir, 1)
 
 
-@query("""select user_id, event_id, round(value) + 0.0 as value from events""")
+@query(ROUNDED)
 def undiff_second_order(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    v, zero = F.round("value"), F.lit(0.0)
-    d = read(spark, sf_dir, "events").select("user_id", "event_id", (v - 2 * F.coalesce(F.lag(v).over(w), zero) + F.coalesce(F.lag(v, 2).over(w), zero)).alias("d"))
-    first = d.select("user_id", "event_id", F.sum("d").over(w).alias("d"))
-    return first.select("user_id", "event_id", (F.sum("d").over(w) + 0.0).alias("value"))
+    return differences(spark, sf_dir, 2)
+
 
+#: Points of small grids in all scanning modes, from the suppliers' keys.
+SHAPE = "(s_suppkey % 16) * 16 as mode, 3 + s_suppkey % 5 as ni, 2 + s_suppkey % 4 as nj"
 
-@query("""with g(ni, nj) as (values (7, 5), (4, 6)), p as (select ni, nj, unnest(range(ni * nj)) as pt from g)
-select cast(ni as bigint) as ni, cast(nj as bigint) as nj, cast(pt as bigint) as pt,
- cast(case when (pt // ni) % 2 = 1 then ni - 1 - pt % ni else pt % ni end as bigint) as i, cast(pt // ni as bigint) as j from p""")
+
+@query(f"""with g as (select s_suppkey, {SHAPE} from supplier), p as (select *, unnest(range(ni * nj)) as pt from g),
+q as (select *, case when mode & 32 = 0 then ni else nj end as fast from p),
+m as (select *, pt // fast as slow, case when mode & 16 <> 0 and (pt // fast) % 2 = 1 then fast - 1 - pt % fast else pt % fast end as quick from q)
+select s_suppkey, cast(pt as bigint) as pt, cast(case when mode & 32 = 0 then quick else slow end as bigint) as i, cast(case when mode & 32 = 0 then slow else quick end as bigint) as j from m""")
 def grid_index_scan(spark, sf_dir):
-    g = spark.sql("select * from values (7, 5), (4, 6) as t(ni, nj)").withColumn("pt", F.explode(F.sequence(F.lit(0), F.col("ni") * F.col("nj") - 1)))
-    j, k = F.floor(F.col("pt") / F.col("ni")), F.col("pt") % F.col("ni")
-    return g.select(big("ni"), big("nj"), big("pt"), big(F.when(j % 2 == 1, F.col("ni") - 1 - k).otherwise(k)).alias("i"), big(j).alias("j"))
+    def index(mode, ni, nj):
+        i, j = grids.grid_index(ni, nj, mode)
+        return [{"i": int(a), "j": int(b)} for a, b in zip(i, j, strict=True)]
 
+    k = F.col("s_suppkey")
+    made = applied(index, "array<struct<i: long, j: long>>", pa.list_(pa.struct([("i", pa.int64()), ("j", pa.int64())])), mode=(k % 16) * 16, ni=3 + k % 5, nj=2 + k % 4)
+    return read(spark, sf_dir, "supplier").select("s_suppkey", F.posexplode(made).alias("pt", "x")).select("s_suppkey", big("pt"), "x.i", "x.j")
 
-@query("""with r as (select event_type, count(*) as n from events group by 1)
-select event_type, unnest(range(n)) + 1 as k from r""")
-def rle_expand(spark, sf_dir):
-    r = read(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
-    return r.select("event_type", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("k"))
 
+@query("""select user_id, row_number() over (partition by user_id order by event_id) - 1 as pt, case event_type when 'view' then 1.5 when 'click' then 2.5 when 'purchase' then 4.0 when 'signup' then 6.5 end as value from events""")
+def run_length_fields(spark, sf_dir):
+    """Levels of events as fields; an error has none and is a missing point."""
+    kind = F.array_position(F.array(*map(F.lit, ("view", "click", "purchase", "signup"))), F.col("event_type"))
+    f = sinks.gathered(read(spark, sf_dir, "events").withColumn("v", F.coalesce(kind, F.lit(0))), ["user_id"], "event_id", "v")
+    return decoded(f.select("user_id", applied(lambda values: run_length_field(values, [15, 25, 40, 65]), FIELD_KIND, FIELD_ARROW, values=F.col("values")).alias("f")), "user_id")
 
-@query("""with lv(lv, value) as (values (1, 1.0), (2, 2.5), (3, 4.0))
-select event_id, cast(value as double) as value from (select event_id, cast(event_id % 4 as integer) as k from events) left join lv on k = lv""")
-def rle_level_map(spark, sf_dir):
-    levels = F.create_map(F.lit(1), F.lit(1.0), F.lit(2), F.lit(2.5), F.lit(3), F.lit(4.0))
-    return read(spark, sf_dir, "events").select("event_id", F.element_at(levels, (F.col("event_id") % 4).cast("int")).alias("value"))
 
 
 # ---- Bitmaps (E2, K10, K11, G8, F4) ----
 
 
-@query("""with b as (select event_id, event_type <> 'error' as bit, value from events),
-d as (select row_number() over (order by event_id) as k, value from b where bit),
-r as (select event_id, bit, sum(case when bit then 1 else 0 end) over (order by event_id) as k from b)
-select event_id, d.value as value from r left join d on r.bit and r.k = d.k""")
+def bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, present, dense): which of a user's events aren't errors, in order, and these events' values."""
+    e = F.array_sort(F.collect_list(F.struct("event_id", (F.col("event_type") != "error").alias("bit"), "value")))
+    rows = read(spark, sf_dir, "events").groupBy("user_id").agg(e.alias("e"))
+    return rows.select("user_id", F.transform("e", lambda x: x["bit"]).alias("present"), F.transform(F.filter("e", lambda x: x["bit"]), lambda x: x["value"]).alias("dense"))
+
+
+@query("""select user_id, row_number() over (partition by user_id order by event_id) - 1 as pt, case when event_type <> 'error' then cast(cast(value as float) as double) end as value from events""")
 def bitmap_scatter(spark, sf_dir):
-    """Dense values go to the places of set bits: by rank within each user's field and the bits before the field."""
-    e = read(spark, sf_dir, "events").withColumn("bit", F.col("event_type") != "error")
-    # ranks by ranges of the key, with what is before each range: no window runs over all rows
-    part = F.floor(F.col("event_id") / 4096)
-    w = Window.partitionBy("part").orderBy("event_id")
-    ranked = e.select("event_id", "bit", "value", part.alias("part")).withColumn("k", F.sum(F.when(F.col("bit"), 1).otherwise(0)).over(w))
-    before = ranked.groupBy("part").agg(F.sum(F.when(F.col("bit"), 1).otherwise(0)).alias("n"))
-    before = before.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    ranked = ranked.join(before, "part").withColumn("k", F.col("k") + F.col("base"))
-    dense = ranked.where("bit").select(F.col("k").alias("dk"), F.col("value").alias("dv"))
-    return ranked.join(dense, (F.col("k") == F.col("dk")) & F.col("bit"), "left").select("event_id", F.col("dv").alias("value"))
-
-
-@query("""select user_id, sum(case when event_type <> 'error' then 1 else 0 end) = count(case when event_type <> 'error' then value end) as consistent,
- cast(sum(case when event_type <> 'error' then 1 else 0 end) as bigint) as encoded from events group by 1""")
+    """Dense values go to the places of set bits, by the octets of a bitmap."""
+
+    def scattered(present, dense):
+        octets = encode.section6(np.array(present))
+        bits = decode.bitmap_bits(len(present), len(dense), octets[6:] if octets[5] == 0 else None)
+        return decode.scatter(bits, np.array(dense, np.float32)).tolist()
+
+    made = applied(scattered, "array<float>", pa.list_(pa.float32()), present=F.col("present"), dense=F.col("dense"))
+    out = bitmaps(spark, sf_dir).select("user_id", F.posexplode(made).alias("pt", "value"))
+    return out.select("user_id", big("pt"), F.when(~F.isnan("value"), real("value")).alias("value"))
+
+
+@query("""select user_id, user_id % 2 = 0 as consistent from events group by 1""")
 def bitmap_consistency(spark, sf_dir):
-    bit = F.col("event_type") != "error"
-    n = F.sum(F.when(bit, 1).otherwise(0))
-    return read(spark, sf_dir, "events").groupBy("user_id").agg((n == F.count(F.when(bit, F.col("value")))).alias("consistent"), n.alias("encoded"))
+    """A bitmap with as many set bits as encoded values is good, one with another number isn't."""
+
+    def good(present, encoded):
+        try:
+            decode.bitmap_bits(len(present), encoded, np.packbits(present).tobytes())
+        except DecodeError:
+            return False
+        return True
+
+    claimed = F.size("dense") + F.col("user_id") % 2
+    return bitmaps(spark, sf_dir).select("user_id", applied(good, "boolean", pa.bool_(), present=F.col("present"), encoded=claimed).alias("consistent"))
 
 
 # ---- Octets and numbers (J, C, D) ----
@@ -232,16 +314,38 @@ def parameter_key24(spark, sf_dir):
 @query("""with m as (select s_suppkey, cast(s_suppkey % 256 as bigint) as m from supplier)
 select s_suppkey, (m & 128) = 0 as plus_i, (m & 64) <> 0 as plus_j, (m & 32) = 0 as i_runs, (m & 16) <> 0 as alternating, (m & 15) <> 0 as unsupported from m""")
 def scanning_flags(spark, sf_dir):
-    m = (F.col("s_suppkey") % 256).cast("bigint")
-    bit = lambda b: m.bitwiseAND(b)
-    return read(spark, sf_dir, "supplier").select("s_suppkey", (bit(128) == 0).alias("plus_i"), (bit(64) != 0).alias("plus_j"), (bit(32) == 0).alias("i_runs"), (bit(16) != 0).alias("alternating"), (bit(15) != 0).alias("unsupported"))
+    """What the library makes of each scanning mode: directions, and the order of a 3 by 3 grid."""
+
+    def flags(mode):
+        try:
+            grids.grid_index(3, 3, mode)
+            unsupported = False
+        except NotSupported:
+            unsupported = True
+        i, j = grids.grid_index(3, 3, mode & 0xF0)
+        i_runs = bool(i[1] != i[0])
+        return {"plus_i": grids.plus_i(mode), "plus_j": grids.plus_j(mode), "i_runs": i_runs, "alternating": bool((i if i_runs else j)[3]), "unsupported": unsupported}
+
+    names = ("plus_i", "plus_j", "i_runs", "alternating", "unsupported")
+    made = applied(flags, f"struct<{', '.join(f'{n}: boolean' for n in names)}>", pa.struct([(n, pa.bool_()) for n in names]), mode=F.col("s_suppkey") % 256)
+    return read(spark, sf_dir, "supplier").select("s_suppkey", made.alias("x")).select("s_suppkey", "x.*")
 
 
 @query("""with m as (select s_suppkey, cast(s_suppkey % 256 as bigint) as m from supplier)
-select s_suppkey, (m & 128) = 0 as north, (m & 64) <> 0 as bipolar, (m & 63) <> 0 as unsupported, m = 255 as missing from m""")
+select s_suppkey, case when (m & 63) = 0 then (m & 128) = 0 end as north, (m & 63) <> 0 as unsupported from m""")
 def projection_flags(spark, sf_dir):
-    m = (F.col("s_suppkey") % 256).cast("bigint")
-    return read(spark, sf_dir, "supplier").select("s_suppkey", (m.bitwiseAND(128) == 0).alias("north"), (m.bitwiseAND(64) != 0).alias("bipolar"), (m.bitwiseAND(63) != 0).alias("unsupported"), (m == 255).alias("missing"))
+    """Which pole a projection centre flag names: a step of 1000 km from 60 degrees north is over 5 degrees only on a northern plane."""
+
+    def flags(centre):
+        g = {"earth_shape": encode.SPHERE, "ni": 1, "nj": 2, "first_point_lat": 60_000_000, "first_point_lon": 0, "lad": 60_000_000, "lov": 0, "dx": 1_000_000_000, "dy": 1_000_000_000, "projection_centre": centre, "scanning_mode": 0x40}
+        try:
+            lat, _ = grids.polar_stereographic(g)
+        except NotSupported:
+            return {"north": None, "unsupported": True}
+        return {"north": bool(lat[1] - lat[0] > 5), "unsupported": False}
+
+    made = applied(flags, "struct<north: boolean, unsupported: boolean>", pa.struct([("north", pa.bool_()), ("unsupported", pa.bool_())]), centre=F.col("s_suppkey") % 256)
+    return read(spark, sf_dir, "supplier").select("s_suppkey", made.alias("x")).select("s_suppkey", "x.*")
 
 
 @query("""with k as (select c_custkey, 260 + c_custkey % 55 as k from customer)
@@ -280,69 +384,72 @@ def forecast_texts(spark, sf_dir):
 
 # ---- Grids (M) ----
 
+CENTRE = {"resolution_and_component_flags": 0, "projection_centre": 0, "scanning_mode": 0x40}
 
-@query("""select c_custkey, round(10 + c_custkey * (80.0 - 10.0) / ((select count(*) from customer) - 1), 6) as lat from customer""")
-def regular_lat(spark, sf_dir):
-    rows = read(spark, sf_dir, "customer")
-    n = rows.count()
-    return rows.select("c_custkey", F.round(10 + F.col("c_custkey") * F.lit(70.0) / (n - 1), 6).alias("lat"))
 
+def grid_points(rows: DataFrame, key: str, number: int, make, points: Column, **columns: Column) -> DataFrame:
+    """(key, pt, lat, lon) of a grid for each row: ``make`` gives the fields of the template, Section 3 goes through the library."""
+    made = applied(lambda points, **x: encode.section3(points, number, make(**x)), "binary", pa.binary(), points=points, **columns)
+    c = rows.select(big(key).alias(key), R.coordinates_udf(False, False)(made).alias("c"))
+    flat = c.select(key, F.posexplode_outer(F.arrays_zip(F.col("c.lat").alias("lat"), F.col("c.lon").alias("lon"))).alias("pt", "p"))
+    return flat.select(key, big("pt"), real("p.lat").alias("lat"), (real("p.lon") + 0.0).alias("lon"))
 
-@query("""with a as (select unnest(range(16)) as j), b as (select unnest(range(25)) as i)
-select cast(j * 25 + i as bigint) as pt, cast(60.0 - j * 2.5 as double) as lat, cast(case when 350.0 + i * 1.25 < 360 then 350.0 + i * 1.25 else 350.0 + i * 1.25 - 360 end as double) as lon from a, b""")
-def regular_latlon(spark, sf_dir):
-    """Rows times columns of a grid that crosses the zero meridian, by the library's own coordinates."""
-    g = encode.lat_lon_grid((25, 16), (60.0, 350.0), (22.5, 380.0 - 360.0))
-    g["scanning_mode"] = 0
-    s3 = encode.section3(25 * 16, 0, {"earth": encode.SPHERE, "lat_lon": g})
-    ship(spark)
-    made = spark.createDataFrame([(bytearray(s3),)], "s3 binary").select(R.coordinates_udf(False, False)("s3").alias("c"))
-    flat = made.select(F.posexplode_outer(F.arrays_zip(F.col("c.lat").alias("lat"), F.col("c.lon").alias("lon"))).alias("pt", "p"))
-    return flat.select(big("pt"), F.round(real("p.lat"), 4).alias("lat"), F.round(real("p.lon"), 4).alias("lon"))
 
+@query("""with g as (select s_suppkey, 80 - s_suppkey % 40 as first, 4 * (1 + s_suppkey % 7) as span from supplier), p as (select *, unnest(range(5)) as j from g), q as (select *, unnest(range(2)) as i from p),
+f as (select s_suppkey, j * 2 + i as pt, cast(first * 1000000 as float) as a, cast((first - span) * 1000000 as float) as z, j, i from q)
+select s_suppkey, cast(pt as bigint) as pt, cast((a + cast(j as float) * ((z - a) / cast(4 as float))) * cast(1e-6 as float) as double) as lat, cast(cast((10 + 10 * i) * 1000000 as float) * cast(1e-6 as float) as double) as lon from f""")
+def regular_grid(spark, sf_dir):
+    def make(first, span):
+        g = encode.lat_lon_grid((2, 5), (float(first), 10.0), (float(first - span), 20.0))
+        return {"earth": encode.SPHERE, "lat_lon": g}
 
-STEREO = {"lat_ts": 60.0, "lon_0": 249.0, "r": 6371229.0}
+    k = F.col("s_suppkey")
+    return grid_points(read(spark, sf_dir, "supplier"), "s_suppkey", 0, make, F.lit(10), first=80 - k % 40, span=4 * (1 + k % 7))
 
 
-@query("""select o_orderkey, round(degrees(pi() / 2 - 2 * atan(sqrt(x * x + y * y) / (2 * 6371229.0 * (1 + sin(radians(60.0))) / 2))), 4) as lat
-from (select o_orderkey, (o_orderkey % 400) * 10000.0 - 2000000 as x, (o_orderkey % 300) * 10000.0 - 4500000 as y from orders)""")
-def stereo_inverse_lat(spark, sf_dir):
-    k = F.col("o_orderkey")
-    x, y = (k % 400) * F.lit(10000.0) - 2000000, (k % 300) * F.lit(10000.0) - 4500000
-    scale = 6371229.0 * (1 + np.sin(np.radians(60.0)))
-    return read(spark, sf_dir, "orders").select("o_orderkey", F.round(F.degrees(F.lit(np.pi / 2) - 2 * F.atan(F.sqrt(x * x + y * y) / scale)), 4).alias("lat"))
-
-
-@query("""with c as (select sin(radians(25.0)) as n), f as (select n, 6371200.0 * cos(radians(25.0)) * pow(tan(pi() / 4 + radians(25.0) / 2), n) / n as rf from c),
-g as (select n, rf, rf / pow(tan(pi() / 4 + radians(25.0) / 2), n) as r0 from f),
-p as (select o_orderkey, (o_orderkey % 500) * 10000.0 - 2500000 as x, (o_orderkey % 350) * 10000.0 - 800000 as y from orders)
-select o_orderkey, round(degrees(2 * atan(pow(rf / sqrt(x * x + (r0 - y) * (r0 - y)), 1 / n)) - pi() / 2), 4) as lat,
- round(265.0 + degrees(atan2(x, r0 - y) / n), 4) as lon from p, g""")
-def lambert_inverse(spark, sf_dir):
-    n = float(np.sin(np.radians(25.0)))
-    t = float(np.tan(np.pi / 4 + np.radians(25.0) / 2))
-    rf = 6371200.0 * float(np.cos(np.radians(25.0))) * t**n / n
-    r0 = rf / t**n
-    k = F.col("o_orderkey")
-    x, y = (k % 500) * F.lit(10000.0) - 2500000, (k % 350) * F.lit(10000.0) - 800000
-    r = F.sqrt(x * x + (r0 - y) * (r0 - y))
-    lat = F.degrees(2 * F.atan(F.pow(rf / r, F.lit(1 / n))) - F.lit(np.pi / 2))
-    return read(spark, sf_dir, "orders").select("o_orderkey", F.round(lat, 4).alias("lat"), F.round(265.0 + F.degrees(F.atan2(x, r0 - y) / n), 4).alias("lon"))
+#: A grid of 3 by 2 points for each supplier: its first point and the distance of its points in metres.
+PLANE = "select s_suppkey, radians(40 + s_suppkey % 30) as lat, radians({west} + s_suppkey % 40) as lon, (50 + s_suppkey % 50) * 1000.0 as d, {more} from supplier"
+STEPS = "p as (select *, unnest(range(6)) as pt from f), q as (select *, x + (pt % 3) * d as u, y + (pt // 3) * d as v from p)"
+FLOAT = "cast(cast(degrees({}) as float) as double)"
 
 
-@query("""with p as (select o_orderkey, radians((o_orderkey % 300) * 0.1 - 15) as b, radians((o_orderkey % 600) * 0.1 - 30) as a, radians(36.08852) as p, radians(245.305142) + pi() as q from orders)
-select o_orderkey, round(degrees(asin(sin(p) * sin(b) + cos(p) * cos(b) * cos(a))), 3) as lat, round(degrees(q - atan2(cos(b) * sin(a), cos(p) * sin(b) - sin(p) * cos(b) * cos(a))), 3) as lon from p""")
-def rotated_latlon(spark, sf_dir):
-    k = F.col("o_orderkey")
-    b, a = F.radians((k % 300) * F.lit(0.1) - 15), F.radians((k % 600) * F.lit(0.1) - 30)
-    p, q = float(np.radians(36.08852)), float(np.radians(245.305142) + np.pi)
-    sp, cp = float(np.sin(p)), float(np.cos(p))
-    lat = F.degrees(F.asin(sp * F.sin(b) + cp * F.cos(b) * F.cos(a)))
-    lon = F.degrees(q - F.atan2(F.cos(b) * F.sin(a), cp * F.sin(b) - sp * F.cos(b) * F.cos(a)))
-    return read(spark, sf_dir, "orders").select("o_orderkey", F.round(lat, 3).alias("lat"), F.round(lon, 3).alias("lon"))
+def plane(lad: int, lov: int, **more):
+    return lambda lat, lon, km: {"earth_shape": encode.SPHERE, "ni": 3, "nj": 2, "first_point_lat": lat * 1_000_000, "first_point_lon": lon * 1_000_000, "lad": lad * 1_000_000, "lov": lov * 1_000_000, "dx": km * 1_000_000, "dy": km * 1_000_000} | CENTRE | more
+
+
+@query(f"""with g as ({PLANE.format(west=230, more="6371229.0 * cos(radians(60)) / tan(pi() / 4 - radians(60) / 2) as k, radians(249) as c")}),
+f as (select *, k * tan(pi() / 4 - lat / 2) * sin(lon - c) as x, -k * tan(pi() / 4 - lat / 2) * cos(lon - c) as y from g), {STEPS}
+select s_suppkey, cast(pt as bigint) as pt, {FLOAT.format("pi() / 2 - 2 * atan(sqrt(u * u + v * v) / k)")} as lat, {FLOAT.format("(c + atan2(u, -v) + pi()) % (2 * pi()) - pi()")} as lon from q""")
+def polar_stereographic_grid(spark, sf_dir):
+    k = F.col("s_suppkey")
+    return grid_points(read(spark, sf_dir, "supplier"), "s_suppkey", 20, plane(60, 249), F.lit(6), lat=40 + k % 30, lon=230 + k % 40, km=50 + k % 50)
+
+
+@query(f"""with g as ({PLANE.format(west=250, more="sin(radians(25)) as n, radians(265) as c, pi() / 4 as q")}),
+h as (select *, 6371229.0 * cos(radians(25)) / (n * pow(tan(q - radians(25) / 2), n)) as k from g), i as (select *, k * pow(tan(q - radians(25) / 2), n) as base, k * pow(tan(q - lat / 2), n) as r from h),
+f as (select *, r * sin(n * (lon - c)) as x, base - r * cos(n * (lon - c)) as y from i), {STEPS.replace("q as", "z as")}
+select s_suppkey, cast(pt as bigint) as pt, {FLOAT.format("pi() / 2 - 2 * atan(pow(sqrt(u * u + (base - v) * (base - v)) / k, 1 / n))")} as lat, {FLOAT.format("(c + atan2(u, base - v) / n + pi()) % (2 * pi()) - pi()")} as lon from z""")
+def lambert_grid(spark, sf_dir):
+    k = F.col("s_suppkey")
+    cone = {"latin1": 25_000_000, "latin2": 25_000_000, "south_pole_lat": -90_000_000, "south_pole_lon": 0}
+    return grid_points(read(spark, sf_dir, "supplier"), "s_suppkey", 30, plane(25, 265, **cone), F.lit(6), lat=40 + k % 30, lon=250 + k % 40, km=50 + k % 50)
+
+
+@query("""with g as (select s_suppkey, unnest(range(6)) as pt from supplier), p as (select s_suppkey, pt, radians(20 - s_suppkey % 30 - 5.0 * (pt // 3)) as b, radians(s_suppkey % 40 + 10.0 * (pt % 3)) as a, radians(36) as p, radians(245) + pi() as q from g)
+select s_suppkey, cast(pt as bigint) as pt, round(degrees(asin(sin(p) * sin(b) + cos(p) * cos(b) * cos(a))), 1) + 0.0 as lat, round(degrees(q - atan2(cos(b) * sin(a), cos(p) * sin(b) - sin(p) * cos(b) * cos(a))), 1) + 0.0 as lon from p""")
+def rotated_grid(spark, sf_dir):
+    """In single precision, so that tenths of a degree are compared."""
+
+    def make(lat, lon):
+        g = encode.lat_lon_grid((3, 2), (float(lat), float(lon)), (float(lat - 5), float(lon + 20)))
+        return {"earth": encode.SPHERE, "lat_lon": g, "rotation": {"south_pole_lat": -36_000_000, "south_pole_lon": 245_000_000, "rot_angle": 0.0}}
+
+    k = F.col("s_suppkey")
+    p = grid_points(read(spark, sf_dir, "supplier"), "s_suppkey", 1, make, F.lit(6), lat=20 - k % 30, lon=k % 40)
+    return p.select("s_suppkey", "pt", (F.round("lat", 1) + 0.0).alias("lat"), (F.round("lon", 1) + 0.0).alias("lon"))
 
 
-@query("""with recursive g(n) as (values (2), (5), (32), (160)), r as (select n, unnest(range(n)) as i from g),
+@query("""with recursive g(n) as (select distinct [2, 5, 32, 160][cast(s_suppkey % 4 as integer) + 1] from supplier), r as (select n, unnest(range(n)) as i from g),
 s as (select n, i, 0 as step, (1 - 1 / (8.0::double * n * n) + 1 / (8.0::double * n * n * n)) * cos((4 * i + 3) * pi() / (4 * n + 2)) as x, 1 as k, 1.0::double as p0, 0.0::double as p1 from r
  union all
  select n, i, case when k = n then step + 1 else step end,
@@ -351,13 +458,31 @@ s as (select n, i, 0 as step, (1 - 1 / (8.0::double * n * n) + 1 / (8.0::double
   case when k = n then 1.0 when k = 1 then x else p1 end,
   case when k = n then 0.0 else ((2 * (k + 1) - 1) * x * (case when k = 1 then x else p1 end) - k * p0) / (k + 1) end
  from s where step < 6)
-select cast(n as bigint) as n, cast(i as bigint) as i, round(degrees(asin(x)), 6) as lat from s where step = 6""")
+select cast(n as bigint) as n, cast(i as bigint) as i, cast(cast(degrees(asin(x)) as float) as double) as lat from s where step = 6""")
 def gaussian_latitudes(spark, sf_dir):
-    """Newton's steps on Legendre polynomials as nested aggregates: no Python."""
-    g = spark.sql("select n, explode(sequence(0, n - 1)) as i from values (2), (5), (32), (160) as t(n)")
-    legendre = "aggregate(sequence(2, n), named_struct('a', 1.0D, 'b', x), (p, k) -> named_struct('a', p.b, 'b', ((2 * k - 1) * x * p.b - (k - 1) * p.a) / k))"
-    newton = f"aggregate(sequence(1, 10), (1 - 1 / (8.0D * n * n) + 1 / (8.0D * n * n * n)) * cos((4 * i + 3) * pi() / (4 * n + 2)), (x, s) -> x - aggregate(array({legendre}), 0.0D, (z, p) -> p.b * (1 - x * x) / (n * (p.a - x * p.b))))"
-    return g.select(big("n"), big("i"), F.expr(f"round(degrees(asin({newton})), 6)").alias("lat"))
+    """Latitudes of Gaussian grids of two columns, from their Section 3."""
+
+    def make(n):
+        grid = encode.lat_lon_grid((2, n), (90.0, 0.0), (-90.0, 180.0))["grid"]
+        return {"earth": encode.SPHERE, "gaussian": {"grid": grid, "i_direction_inc": 0, "n": n, "scanning_mode": 0}}
+
+    n = F.element_at(F.array(*map(F.lit, (2, 5, 32, 160))), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    p = grid_points(read(spark, sf_dir, "supplier").select(n.alias("n")).distinct(), "n", 40, make, 2 * F.col("n"), n=F.col("n"))
+    return p.where("pt % 2 = 0").select("n", (F.col("pt") / 2).cast("long").alias("i"), "lat")
+
+
+
+@query("""with a as (select unnest(range(16)) as j), b as (select unnest(range(25)) as i)
+select cast(j * 25 + i as bigint) as pt, cast(60.0 - j * 2.5 as double) as lat, cast(case when 350.0 + i * 1.25 < 360 then 350.0 + i * 1.25 else 350.0 + i * 1.25 - 360 end as double) as lon from a, b""")
+def regular_latlon(spark, sf_dir):
+    """Rows times columns of a grid that crosses the zero meridian, by the library's own coordinates."""
+    g = encode.lat_lon_grid((25, 16), (60.0, 350.0), (22.5, 380.0 - 360.0))
+    g["scanning_mode"] = 0
+    s3 = encode.section3(25 * 16, 0, {"earth": encode.SPHERE, "lat_lon": g})
+    ship(spark)
+    made = spark.createDataFrame([(bytearray(s3),)], "s3 binary").select(R.coordinates_udf(False, False)("s3").alias("c"))
+    flat = made.select(F.posexplode_outer(F.arrays_zip(F.col("c.lat").alias("lat"), F.col("c.lon").alias("lon"))).alias("pt", "p"))
+    return flat.select(big("pt"), F.round(real("p.lat"), 4).alias("lat"), F.round(real("p.lon"), 4).alias("lon"))
 
 
 @query("""with s as (select s_suppkey, s_suppkey % 10 as shape, 6371 + s_suppkey % 7 as v from supplier)
@@ -410,11 +535,6 @@ def template_distinct(spark, sf_dir):
     return R.templates(rows)
 
 
-@query("""select cast(o_custkey as bigint) as msg, cast(sum(5 + o_orderkey % 90) + 20 as bigint) as total from orders group by 1""")
-def message_octets(spark, sf_dir):
-    return read(spark, sf_dir, "orders").groupBy(big("o_custkey").alias("msg")).agg((F.sum(5 + F.col("o_orderkey") % 90) + 20).alias("total"))
-
-
 @query("""with t(code, text) as (values (0, 'Analysis'), (1, 'Initialization'), (2, 'Forecast'), (3, 'Bias corrected forecast'), (4, 'Ensemble forecast'), (5, 'Probability forecast'), (6, 'Forecast error'), (7, 'Analysis error'), (8, 'Observation'))
 select s_suppkey, coalesce(text, concat('code ''', s_suppkey % 12, ''' is not implemented')) as process from supplier left join t on t.code = s_suppkey % 12""")
 def code_lookup(spark, sf_dir):
@@ -496,16 +616,30 @@ def grib_nan_roundtrip(spark, sf_dir):
     return back.select("user_id", F.posexplode_outer("values").alias("pt", "value")).select("user_id", big("pt"), F.when(~F.isnan("value"), F.round(x, 2) + 0.0).alias("value"))
 
 
-@query("""select vec_id, cast(pt as bigint) as pt, cast(70 - 10.0 * (pt // 8) as double) as lat, cast(10.0 * (pt % 8) as double) as lon from (select vec_id, unnest(range(64)) as pt from embeddings)""")
+@query("""with q as (""" + QUANTISED + """) select vec_id, pt, cast(70 - 10.0 * (pt // 8) as double) as lat, cast(10.0 * (pt % 8) as double) as lon, value from q""")
 def grib_points(spark, sf_dir):
     p = embedded(spark, sf_dir).points()
-    return p.select(big("path").alias("vec_id"), "pt", F.round(real("lat"), 3).alias("lat"), (F.round(real("lon"), 3) + 0.0).alias("lon"))
+    return p.select(big("path").alias("vec_id"), "pt", F.round(real("lat"), 3).alias("lat"), (F.round(real("lon"), 3) + 0.0).alias("lon"), (F.round(real("value"), 5) + 0.0).alias("value"))
+
+
+#: Bits of a code of each embedding's field, and with them the octets of Section 7 and of the message.
+LENGTHS = """s as (select vec_id, label, unnest(embedding) as e from embeddings), m as (select vec_id, any_value(label) as label, cast(min(cast(e as double) * 1000) as float) as r, max(cast(e as double) * 1000) as t, min(cast(e as double) * 1000) as b from s group by 1),
+w as (select *, cast(case when t = b or round(t - cast(r as double)) = 0 then 0 else length(bin(cast(round(t - cast(r as double)) as bigint))) end as bigint) as bits from m),
+l as (select *, 5 + 8 * bits as s7, 16 + 21 + 72 + 34 + 21 + 6 + 5 + 8 * bits + 4 as total from w)"""
 
 
-@query("""select vec_id, label % 4 as category, cast(vec_id % 24 as bigint) as ft_value, timestamp '2020-02-28 18:00:00' + to_hours(cast(vec_id % 24 as bigint)) as valid_time, cast(100 * (vec_id % 10) as bigint) as surf1_value from embeddings""")
+@query(f"""with {LENGTHS}
+select vec_id, 0 as msg, 0 as sub, 0 as discipline, cast(total as bigint) as total_length, 255 as centre, 0 as subcentre, 29 as master_ver, 0 as local_ver, 1 as ref_significance, 2 as prod_status, 1 as data_type,
+ 0 as grid_source, 64 as num_points, 0 as num_coordinates, 0 as grid_tmpl, 0 as prod_tmpl, 0 as repr_tmpl, label % 4 as category, 1 as number, 2 as process, 1 as ft_unit, cast(vec_id % 24 as bigint) as ft_value, cast(vec_id % 24 as bigint) as ft_value_signed,
+ 100 as surf1_type, 0 as surf1_scale, cast(100 * (vec_id % 10) as bigint) as surf1_value, 255 as surf2_type, -127 as surf2_scale, -2147483647 as surf2_value, 64 as num_encoded, 0 as num_missing, 255 as bitmap_indicator,
+ cast(256 * (label % 4) + 1 as bigint) as parameter, '2020-02-28 18:00:00 UTC' as ref_text, timestamp '2020-02-28 18:00:00' as ref_time, timestamp '2020-02-28 18:00:00' + to_hours(cast(vec_id % 24 as bigint)) as valid_time, 'regular_ll' as grid_name, cast(139 as bigint) as s7_offset_before, cast(s7 as bigint) as s7_size from l""")
 def layer_list(spark, sf_dir):
+    """All fields of all layers."""
     rows = embedded(spark, sf_dir).layers()
-    return rows.select(big("path").alias("vec_id"), F.col("category").cast("int"), big("ft_value"), F.col("valid_time").cast("timestamp_ntz").alias("valid_time"), big("surf1_value"))
+    ints = "msg sub discipline centre subcentre master_ver local_ver ref_significance prod_status data_type grid_source num_points num_coordinates grid_tmpl prod_tmpl repr_tmpl category number process ft_unit surf1_type surf1_scale surf2_type surf2_scale surf2_value num_encoded num_missing bitmap_indicator".split()
+    longs = "total_length ft_value ft_value_signed surf1_value parameter s7_size".split()
+    times = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("ref_time", "valid_time")]
+    return rows.select(big("path").alias("vec_id"), *[F.col(c).cast("int").alias(c) for c in ints], *[big(c).alias(c) for c in longs], *times, "ref_text", "grid_name", (big("s7_offset") - 36 + 5).alias("s7_offset_before"))
 
 
 @query("""select vec_id from embeddings where vec_id % 24 = 6""")
@@ -526,22 +660,27 @@ def index_find(spark, sf_dir):
     return R.at_index(p, "0.1").select("user_id", "event_id", "sub")
 
 
-@query("""select user_id, min(event_id) as event_id from events group by 1""")
-def info_first_submessage(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    return read(spark, sf_dir, "events").withColumn("sub", F.row_number().over(w) - 1).where("sub = 0").select("user_id", "event_id")
+@query(QUANTISED)
+def flat_binary(spark, sf_dir):
+    """Values as octets, read back from there."""
 
+    @F.arrow_udf("array<float>")
+    def back(octets: pa.Array) -> pa.Array:
+        return pa.array([np.frombuffer(o, "<f4") for o in octets.to_pylist()], pa.list_(pa.float32()))
 
-@query("""select vec_id, cast(len(embedding) as bigint) * 8 as chars from embeddings""")
-def flat_binary(spark, sf_dir):
-    v = embedded(spark, sf_dir).values()
-    return v.select(big("path").alias("vec_id"), big(F.length(F.hex(sinks.flat_binary(F.col("values"), "little")))).alias("chars"))
+    v = embedded(spark, sf_dir).values().select(big("path").alias("vec_id"), F.posexplode(back(sinks.flat_binary(F.col("values"), "little"))).alias("pt", "value"))
+    return v.select("vec_id", big("pt"), (F.round(real("value"), 5) + 0.0).alias("value"))
 
 
-@query("""with q as (""" + QUANTISED + """) select vec_id, pt, concat(lpad(printf('%.6f', 70 - 10.0 * (pt // 8)), 10, ' '), ' ', lpad(printf('%.6f', 10.0 * (pt % 8)), 11, ' ')) as coordinates from q""")
+@query("""with v as (select vec_id, unnest(range(len(embedding))) as pt, unnest(embedding) as e from embeddings), s as (select vec_id, pt, cast(e as double) * 1000 as s from v), r as (select vec_id, cast(min(s) as float) as r from s group by 1),
+q as (select s.vec_id as vec_id, pt, (r + cast(greatest(round(s - cast(r as double)), 0) as float)) * cast(0.001 as float) as x from s join r using (vec_id)),
+t as (select *, cast(x as varchar) as c from q), d as (select *, replace(regexp_extract(c, '^-?([0-9.]+)e', 1), '.', '') as digits, try_cast(regexp_extract(c, 'e(-?[0-9]+)$', 1) as integer) as e from t),
+f as (select *, case when e < 0 then concat(case when c[1] = '-' then '-' else '' end, '0.', repeat('0', -e - 1), digits) else regexp_replace(c, '[.]0$', '') end as value from d)
+select vec_id, cast(pt as bigint) as pt, concat(lpad(printf('%.6f', 70 - 10.0 * (pt // 8)), 10, ' '), ' ', lpad(printf('%.6f', 10.0 * (pt % 8)), 11, ' '), ' ', case when length(value) < 9 then lpad(value, 9, ' ') else value end) as text from f""")
 def text_export(spark, sf_dir):
+    """Whole lines: latitude, longitude and value."""
     lines = reports.point_lines(embedded(spark, sf_dir).points())
-    return lines.select(big("path").alias("vec_id"), "pt", F.substring("text", 1, 22).alias("coordinates"))
+    return lines.select(big("path").alias("vec_id"), "pt", "text")
 
 
 @query("""select cast(label as bigint) as label, count(*) as submessages, cast(count(*) as bigint) as points_64 from embeddings group by 1""")
@@ -556,10 +695,14 @@ def multi_product_messages(spark, sf_dir):
     return subs.groupBy(big("path").alias("label")).agg(F.count("*").alias("submessages"), F.count(F.when(F.col("num_points") == 64, 1)).alias("points_64"))
 
 
-@query("""select vec_id, cast(9 as bigint) as sections, cast(8 as bigint) as last_num from embeddings""")
+SECTION_ROWS = f"""{LENGTHS}, n as (select unnest([0, 1, 3, 4, 5, 6, 7, 8]) as num, unnest(range(8)) as pos, unnest([0, 16, 37, 109, 143, 164, 170, 170]) as place, unnest([16, 21, 72, 34, 21, 6, 0, 4]) as size),
+t as (select vec_id, label, pos, num, cast(place + case when num = 8 then s7 else 0 end as bigint) as "offset", cast(case when num = 7 then s7 else size end as bigint) as size from l, n)"""
+
+
+@query(f"""with {SECTION_ROWS} select vec_id, cast(pos as bigint) as pos, 0 as msg, num, "offset", size, case when num in (3, 4, 5) then 0 end as template_num from t""")
 def section_scan(spark, sf_dir):
     s = embedded(spark, sf_dir).sections()
-    return s.groupBy(big("path").alias("vec_id")).agg((F.count("*") + 1).alias("sections"), big(F.max("num")).alias("last_num"))
+    return s.select(big("path").alias("vec_id"), big("pos").alias("pos"), "msg", F.col("num").cast("int"), "offset", "size", "template_num")
 
 
 @query()
@@ -567,24 +710,38 @@ def dump_lines(spark, sf_dir):
     return embedded(spark, sf_dir).dump()
 
 
-@query()
+@query(f"""with {SECTION_ROWS} select vec_id, cast(pos as bigint) as pos, concat(lpad(cast(pos as varchar), 5, ' '), ' │ ', lpad(lower(to_hex("offset")), 16, '0'), ' - ', lpad(lower(to_hex("offset" + size)), 16, '0'), ' │ Section ', num) as text from t""")
 def inspect_sections(spark, sf_dir):
-    return embedded(spark, sf_dir).inspect()[0]
+    return embedded(spark, sf_dir).inspect()[0].select(big("path").alias("vec_id"), big("pos").alias("pos"), "text")
 
 
-@query()
+@query("""select vec_id, '     0.0 │     -     2     3     4     5     6 │ 3.0     4.0     5.0    ' as text from embeddings""")
 def inspect_submessages(spark, sf_dir):
-    return embedded(spark, sf_dir).inspect()[1]
+    return embedded(spark, sf_dir).inspect()[1].select(big("path").alias("vec_id"), "text")
 
 
-@query()
+@query("""select 3 as num, 0 as template_num, '3.0      - Latitude/longitude' as text union all select 4, 0, '4.0      - Analysis or forecast at a horizontal level or in a horizontal layer at a point in time' union all select 5, 0, '5.0      - Grid point data - simple packing'""")
+def inspect_templates(spark, sf_dir):
+    return embedded(spark, sf_dir).inspect()[2].select(F.col("num").cast("int"), "template_num", "text")
+
+
+@query("""select vec_id, concat('     0.0 │ ', rpad(['Virtual temperature', 'Relative humidity', 'Wind speed', 'Pressure reduced to MSL'][label % 4 + 1], 31, ' '), ' ', rpad('Forecast', 18, ' '), ' ', lpad(concat(vec_id % 24, ' [h]'), 14, ' '), ' ',
+ lpad(concat(100 * (vec_id % 10), ' [Pa]'), 33, ' '), ' ', lpad('NaN', 33, ' '), ' │ ', lpad('0', 10, ' '), '/', lpad('64', 10, ' '), ' ', rpad('regular_ll', 21, ' ')) as text from embeddings""")
 def list_lines(spark, sf_dir):
-    return embedded(spark, sf_dir).list()
+    return embedded(spark, sf_dir).list().select(big("path").alias("vec_id"), "text")
 
 
-@query()
+INFO = (
+    ("Discipline:", "Meteorological products"), ("Total Length:", "{}"), ("Originating/generating centre:", "code ''255'' is not implemented"), ("Originating/generating sub-centre:", "0"),
+    ("GRIB Master Tables Version Number:", "29 (code ''29'' is not implemented)"), ("GRIB Local Tables Version Number:", "0 (Local tables not used. Only table entries and templates from the current master table are valid)"),
+    ("Significance of Reference Time:", "Start of forecast"), ("Reference time of data:", "2020-02-28 18:00:00 UTC"), ("Production status of processed data:", "Research products"), ("Type of processed data:", "Forecast products"),
+)
+BLOCK = "Message 0\n\n" + "".join(f"    {name:<40}{value}\n" for name, value in INFO) + "\n"
+
+
+@query(f"""with {LENGTHS} select vec_id, replace('{BLOCK}', '{{}}', cast(total as varchar)) as text from l""")
 def info_blocks(spark, sf_dir):
-    return embedded(spark, sf_dir).info()
+    return embedded(spark, sf_dir).info().select(big("path").alias("vec_id"), "text")
 
 
 @query()

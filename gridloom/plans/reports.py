@@ -5,6 +5,10 @@ Texts are put together by Spark expressions from ``layers``; the formats are fix
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +33,35 @@ def text(c: Column | str) -> Column:
     return F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(""))
 
 
+def plain(v: Column) -> Column:
+    """A number that Spark writes with an exponent as plain digits, without a fraction of zero."""
+    s = v.cast("string")
+    digits = F.regexp_replace(F.regexp_replace(F.regexp_extract(s, r"^-?([0-9.]+)E", 1), r"\.", ""), "0+$", "")
+    power = F.regexp_extract(s, r"E(-?[0-9]+)$", 1).try_cast("int")
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    large = F.when(F.length(digits) <= power + 1, F.rpad(digits, power + 1, "0")).otherwise(F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.length(digits))))
+    sign = F.when(s.startswith("-"), "-").otherwise("")
+    return F.when(power.isNotNull(), F.concat(sign, F.when(power < 0, small).otherwise(large))).otherwise(F.regexp_replace(s, r"\.0$", ""))
+
+
 def number(v: Column) -> Column:
-    """A value of a fixed surface: whole ones without a fraction, NaN as it is."""
-    return F.when(F.isnan(v), "NaN").when(v == F.floor(v), v.cast("decimal(38,0)").cast("string")).otherwise(v.cast("string"))
+    """A value of a fixed surface: plain digits, NaN as it is."""
+    return F.when(F.isnan(v), "NaN").otherwise(plain(v))
+
+
+def shortest(x: np.ndarray) -> list[str]:
+    """The fewest digits that tell a float from its neighbours, without an exponent."""
+    out = x.astype(str).tolist()
+    out = [np.format_float_positional(x[i], unique=True) if "e" in t else t for i, t in enumerate(out)]
+    return ["NaN" if t == "nan" else t.removesuffix(".0").removesuffix(".") for t in out]
+
+
+def shortest_text(value: Column) -> Column:
+    @F.arrow_udf("string")
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array(shortest(values.to_numpy(zero_copy_only=False).astype(np.float32)), pa.string())
+
+    return run(value)
 
 
 def surface(n: int) -> Column:
@@ -126,7 +156,7 @@ def submessage_map(sections: DataFrame) -> DataFrame:
 def template_list(sections: DataFrame, table: DataFrame) -> DataFrame:
     """(num, template_num, text): which templates occur, with their texts."""
     part = table.where(F.col("tbl").isin("3.1", "4.0", "5.0")).select(F.substring("tbl", 1, 1).cast("short").alias("num"), F.col("code").alias("template_num"), "description")
-    t = R.templates(sections).join(F.broadcast(part), ["num", "template_num"], "left")
+    t = R.templates(sections).join(part, ["num", "template_num"], "left")
     name = F.concat(F.col("num").cast("string"), F.lit("."), F.col("template_num").cast("string"))
     return t.select("num", "template_num", F.concat(left(name, 8), F.lit(" - "), F.coalesce("description", codes.missing_text(F.col("template_num")))).alias("text")).orderBy("num", "template_num")
 
@@ -134,7 +164,7 @@ def template_list(sections: DataFrame, table: DataFrame) -> DataFrame:
 def point_lines(points: DataFrame) -> DataFrame:
     """(path, msg, sub, pt, text): points as lines of latitude, longitude and value (B1); NaN where the grid isn't known."""
     fixed = lambda c: F.when(F.isnan(c) | c.isNull(), "NaN").otherwise(F.format_string("%.6f", c.cast("double")))
-    value = F.when(F.isnan("value"), "NaN").when(F.col("value") == F.floor("value"), F.col("value").cast("decimal(38,0)").cast("string")).otherwise(F.col("value").cast("string"))
+    value = F.coalesce(shortest_text(F.col("value")), F.lit("NaN"))
     line = F.concat(right(fixed(F.col("lat")), 10), F.lit(" "), right(fixed(F.col("lon")), 11), F.lit(" "), right(value, 9))
     return points.select(*R.KEYS, "pt", line.alias("text"))
 
@@ -142,9 +172,16 @@ def point_lines(points: DataFrame) -> DataFrame:
 POINT_HEADER = "  Latitude   Longitude     Value"
 
 
+#: Colours of a dump's parts.
+YELLOW_BOLD, RED, GREEN, BOLD, CYAN, MAGENTA_BOLD, DIM, RESET = "\x1b[33m\x1b[1m", "\x1b[31m", "\x1b[32m", "\x1b[1m", "\x1b[36m", "\x1b[35m\x1b[1m", "\x1b[2m", "\x1b[0m"
+DUMPED = re.compile(r"([0-9]+(?:-[0-9]+)?)(\s+\S+\s+)(=)(\s+.+?)((?:\s+//.+)?)")
+
+
 def colorized(line: str) -> str:
-    """A line of a dump with colours for terminals (B13): headings bold, the octets grey, the description green."""
+    """A line of a dump with colours for terminals (B13): octets, name, sign, value and description; headings; errors."""
     if line.startswith("#"):
-        return f"\x1b[1m{line}\x1b[0m"
-    body, mark, doc = line.partition("  // ")
-    return f"\x1b[90m{body[:10]}\x1b[0m{body[10:]}" + (f"\x1b[32m{mark}{doc}\x1b[0m" if mark else "")
+        return f"{YELLOW_BOLD}{line}{RESET}"
+    if line.startswith("error:"):
+        return f"{RED}{line}{RESET}"
+    found = DUMPED.fullmatch(line)
+    return "".join(f"{style}{part}{RESET}" for style, part in zip((GREEN, BOLD, CYAN, MAGENTA_BOLD, DIM), found.groups(), strict=True)) if found else line

@@ -15,6 +15,7 @@ import gzip
 import io
 import lzma
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -48,30 +49,130 @@ def rows_of(path: str, file, size: int, payload: str, mode: str, at: int = 0, ms
         yield path, pos, None, None, None, None, None, None, str(e)
 
 
-def batches_of(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+def scan_binary(files: DataFrame, payload: str = "meta", mode: str = "FAILFAST") -> DataFrame:
+    """``sections`` of a DataFrame (path, content); null or empty content has none."""
+    return scan_files(files.select("path", "content"), payload, mode)
+
+
+#: What a submessage is made of, as ``relations.submessages`` has it, and where its bitmap and data are.
+SUBS = "path string, msg int, sub int, " + "".join(f"s{k} int, " for k in range(9)) + "".join(f"p{k} binary, " for k in range(8)) + "s6_offset long, s6_size long, s7_offset long, s7_size long"
+SUBS_ARROW = pa.schema(
+    [("path", pa.string()), ("msg", pa.int32()), ("sub", pa.int32()), *[(f"s{k}", pa.int32()) for k in range(9)], *[(f"p{k}", pa.binary()) for k in range(8)], *[(c, pa.int64()) for c in ("s6_offset", "s6_size", "s7_offset", "s7_size")]]
+)
+
+
+def submessages_of(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """A row for each Section 7 of a file's sections, in their order: what comes before it carries forward within its message."""
+    now, held = None, None
+    for path, pos, msg, num, offset, size, _, payload, _ in rows:
+        if num is None:
+            continue
+        if msg != now:
+            now, places, payloads, sub, bitmap = msg, [None] * 7, [None] * 7, 0, (None, None)
+        if held:
+            yield (*held[0], pos if num == 8 and msg == held[0][1] else 0, *held[1])
+            held = None
+        if num < 7:
+            places[num], payloads[num] = pos, payload
+            if num == 6:
+                bitmap = (offset, size)
+        elif num == 7:
+            held = (path, msg, sub, *places, pos), (*payloads, payload, *bitmap, offset, size)
+            sub += 1
+    if held:
+        yield (*held[0], 0, *held[1])
+
+
+def packed_rows(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Record batches of bounded rows and octets."""
     held, octets = [], 0
     for r in rows:
         held.append(r)
-        octets += len(r[7] or b"")
+        octets += sum(len(x) for x in r if isinstance(x, bytes))
         if len(held) >= ROWS or octets >= OCTETS:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), ARROW, strict=True)], schema=ARROW)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
             held, octets = [], 0
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), ARROW, strict=True)], schema=ARROW)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
+def opened(path: str):
+    """A seekable file by its path as Spark names it, and its size; packed ones are unpacked."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    system, place = fs.FileSystem.from_uri(quote(path, safe="/:@[]")) if "://" in path else (fs.LocalFileSystem(), path)
+    file = system.open_input_file(place)
+    head = file.read(6)
+    file.seek(0)
+    if path.endswith((".gz", ".xz")) or head[:2] == b"\x1f\x8b" or head == b"\xfd7zXZ\0":
+        data = inflate(path, file.read())
+        file.close()
+        return io.BytesIO(data), len(data)
+    return file, file.size()
+
+
+def each_file(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, object, int]]:
+    """(path, file, size) of rows (path, content) or, to be opened and read by seeking, (path)."""
+    for b in batches:
+        contents = b.column("content") if "content" in b.schema.names else [None] * b.num_rows
+        for path, content in zip(b.column("path").to_pylist(), contents, strict=True):
+            if "content" in b.schema.names:
+                data = inflate(path or "", content.as_py() or b"")
+                yield path, io.BytesIO(data), len(data)
+            else:
+                file, size = opened(path)
+                with file:
+                    yield path, file, size
 
 
-def scan_binary(files: DataFrame, payload: str = "meta", mode: str = "FAILFAST") -> DataFrame:
-    """``sections`` of a DataFrame (path, content); null or empty content has none."""
+def scan_files(files: DataFrame, payload: str = "meta", mode: str = "FAILFAST") -> DataFrame:
+    """``sections`` of files (path, content), or (path) to be opened."""
     if payload not in PAYLOADS:
         raise ValueError(f"payload must be one of {PAYLOADS}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-                data = inflate(path or "", content.as_py() or b"")
-                yield from batches_of(rows_of(path, io.BytesIO(data), len(data), payload, mode))
+        for path, file, size in each_file(batches):
+            yield from packed_rows(rows_of(path, file, size, payload, mode), ARROW)
 
-    return files.select("path", "content").mapInArrow(run, SCHEMA)
+    return files.mapInArrow(run, SCHEMA)
+
+
+def scan_submessages(files: DataFrame, payload: str = "meta", mode: str = "FAILFAST") -> DataFrame:
+    """Submessages with their octets (``SUBS``), put together by the task that reads the file: nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, file, size in each_file(batches):
+            yield from packed_rows(submessages_of(rows_of(path, file, size, payload, mode)), SUBS_ARROW)
+
+    return files.mapInArrow(run, SUBS)
+
+
+def with_data(subs: DataFrame) -> DataFrame:
+    """Submessages of opened files that survived a filter, with the octets of Sections 6 and 7 read by their places (A10)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            now, file = None, None
+            for i in range(b.num_rows):
+                r = b.slice(i, 1)
+                row = r.to_pylist()[0]
+                if row["path"] != now:
+                    if file:
+                        file.close()
+                    now, file = row["path"], opened(row["path"])[0]
+                for k in (6, 7):
+                    data = None
+                    if row[f"s{k}_offset"] is not None:
+                        file.seek(row[f"s{k}_offset"])
+                        data = file.read(row[f"s{k}_size"])
+                    r = r.set_column(r.schema.get_field_index(f"p{k}"), f"p{k}", pa.array([data], pa.binary()))
+                yield r
+            if file:
+                file.close()
+
+    return subs.mapInArrow(run, subs.schema)
 
 
 def read_sections(spark: SparkSession, paths: str | list[str], payload: str = "meta", mode: str = "FAILFAST") -> DataFrame:
@@ -132,9 +233,9 @@ class GribReader(DataSourceReader):
             file.seek(0)
             if path.endswith((".gz", ".xz")) or head[:2] == b"\x1f\x8b" or head == b"\xfd7zXZ\0":
                 data = inflate(path, file.read())
-                yield from batches_of(rows_of(path, io.BytesIO(data), len(data), self.payload, self.mode))
+                yield from packed_rows(rows_of(path, io.BytesIO(data), len(data), self.payload, self.mode), ARROW)
             else:
-                yield from batches_of(rows_of(path, file, size, self.payload, self.mode, at, msg))
+                yield from packed_rows(rows_of(path, file, size, self.payload, self.mode, at, msg), ARROW)
 
 
 def numbered(sections: DataFrame) -> DataFrame:

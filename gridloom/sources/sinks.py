@@ -21,18 +21,23 @@ FIELD = "struct<s5: binary, s6: binary, s7: binary>"
 FIELD_ARROW = pa.struct([("s5", pa.binary()), ("s6", pa.binary()), ("s7", pa.binary())])
 
 
+def points_of(x: pa.ListScalar) -> np.ndarray:
+    """Elements of a list as an array; null ones are NaN."""
+    return x.values.to_numpy(zero_copy_only=False)
+
+
 def encode_field(values: Column, decimals: int, ahead: int | None = None) -> Column:
     """Sections 5, 6 and 7 of an array of doubles; null elements are NaN. Complex packing with ``ahead``."""
 
-    def one(x) -> dict | None:
-        if x is None:
+    def one(x: pa.ListScalar) -> dict | None:
+        if not x.is_valid:
             return None
-        parts = encode.encode_field(np.array([np.nan if v is None else v for v in x], float), decimals, ahead)
+        parts = encode.encode_field(points_of(x).astype(float), decimals, ahead)
         return dict(zip(("s5", "s6", "s7"), parts, strict=True))
 
     @F.arrow_udf(FIELD)
     def run(column: pa.Array) -> pa.Array:
-        return pa.array([one(x) for x in column.to_pylist()], FIELD_ARROW)
+        return pa.array([one(x) for x in column], FIELD_ARROW)
 
     return run(values)
 
@@ -78,11 +83,8 @@ def flat_binary(values: Column, endian: str = "big") -> Column:
 
     @F.arrow_udf("binary")
     def run(column: pa.Array) -> pa.Array:
-        out = []
-        for x in column:
-            v = None if not x.is_valid else np.array([np.nan if e is None else e for e in x.as_py()], np.float32)
-            out.append(None if v is None else np.where(np.isnan(v), np.float32(np.nan), v).astype(kind).tobytes())
-        return pa.array(out, pa.binary())
+        each = (points_of(x).astype(np.float32) if x.is_valid else None for x in column)
+        return pa.array([None if v is None else np.where(np.isnan(v), np.float32(np.nan), v).astype(kind).tobytes() for v in each], pa.binary())
 
     return run(values)
 

@@ -178,12 +178,13 @@ OBSERVATIONAL = forecast("Hours of observational data cutoff after reference tim
 PLAIN_TIME = forecast("Hours after reference time of data cutoff (see Note 1).", "Minutes after reference time of data cutoff.")
 
 
-def surface(which):
-    value = scaled("value", "i1", "i4", f"Scale factor of {which} fixed surface.", f"Scaled value of {which} fixed surface.")
-    return group(f"{which}_surface", [field("surface_type", "u1", f"Type of {which} fixed surface (see Code Table 4.5)."), value])
-
-
-HORIZONTAL = group("horizontal", [surface("first"), surface("second")])
+HORIZONTAL = group(
+    "horizontal",
+    [
+        group("first_surface", [field("surface_type", "u1", "Type of first fixed surface (see Code Table 4.5)."), scaled("value", "i1", "i4", "Scale factor of first fixed surface.", "Scaled value of first fixed surface.")]),
+        group("second_surface", [field("surface_type", "u1", "Type of second fixed surface (see Code Table 4.5)."), scaled("value", "i1", "i4", "Scale factor of second fixed surface.", "Scaled value of second fixed surface.")]),
+    ],
+)
 MEMBERS = field("num_forecasts", "u1", "Number of forecasts in ensemble.")
 
 PRODUCTS = {
@@ -241,13 +242,10 @@ COMPLEX = group(
         field("num_group_len_bits", "u1", "Number of bits used for the scaled group lengths (after subtraction of the reference value given in octets 38-41 and division by the length increment given in octet 42)."),
     ],
 )
-COEFFICIENTS = "coefficients to define {} dimension coordinate values in functional form, or the explicit coordinate values (IEEE 32-bit floating-point value)."
 UNPACKED = [
     field("ts", "u4", "TS - total number of values in the unpacked subset (see Note 1)."),
     field("precision", "u1", "Precision of the unpacked subset (see Code table 5.7)."),
 ]
-PENTAGONAL = "{} - pentagonal resolution parameter of the unpacked subset (see Note 1)."
-BI_FOURIER = "{} - bi-Fourier resolution parameter of the unpacked subset (see Note 1)."
 LAPLACE = field("p", "i4", "P - Laplacian scaling factor (expressed in 10-6 units).")
 
 REPRESENTATIONS = {
@@ -265,8 +263,8 @@ REPRESENTATIONS = {
         field("num_dim_2_coeffs", "u1", "NC2 - number of coefficients or values used to specify second dimension coordinate function."),
         field("dim_1_significance", "u1", "First dimension physical significance (Code table 5.3)."),
         field("dim_2_significance", "u1", "Second dimension physical significance (Code table 5.3)."),
-        field("dim_1_coeffs", ("f4", "num_dim_1_coeffs"), COEFFICIENTS.format("first").capitalize()),
-        field("dim_2_coeffs", ("f4", "num_dim_2_coeffs"), COEFFICIENTS.format("second").capitalize()),
+        field("dim_1_coeffs", ("f4", "num_dim_1_coeffs"), "Coefficients to define first dimension coordinate values in functional form, or the explicit coordinate values (IEEE 32-bit floating-point value)."),
+        field("dim_2_coeffs", ("f4", "num_dim_2_coeffs"), "Coefficients to define second dimension coordinate values in functional form, or the explicit coordinate values (IEEE 32-bit floating-point value)."),
     ],
     2: [SIMPLE, ORIGINAL, COMPLEX],
     3: [
@@ -292,13 +290,21 @@ REPRESENTATIONS = {
         field("ref_sample_interval", "u2", "Reference sample interval."),
     ],
     50: [SIMPLE, field("real_part_zero", "f4", "Real part of (0.0) coefficient (IEEE 32-bit floating-point value).")],
-    51: [SIMPLE, LAPLACE, *[field(n.lower(), "u2", PENTAGONAL.format(n)) for n in ("JS", "KS", "MS")], *UNPACKED],
+    51: [
+        SIMPLE,
+        LAPLACE,
+        field("js", "u2", "JS - pentagonal resolution parameter of the unpacked subset (see Note 1)."),
+        field("ks", "u2", "KS - pentagonal resolution parameter of the unpacked subset (see Note 1)."),
+        field("ms", "u2", "MS - pentagonal resolution parameter of the unpacked subset (see Note 1)."),
+        *UNPACKED,
+    ],
     53: [
         SIMPLE,
         field("bi_fourier_subtrunc_type", "u1", "Bi-Fourier sub-truncation type (see Code table 5.25)."),
         field("bi_fourier_pack_mode", "u1", "Packing mode for axes (see Code table 5.26)."),
         LAPLACE,
-        *[field(n.lower(), "u2", BI_FOURIER.format(n)) for n in ("NS", "MS")],
+        field("ns", "u2", "NS - bi-Fourier resolution parameter of the unpacked subset (see Note 1)."),
+        field("ms", "u2", "MS - bi-Fourier resolution parameter of the unpacked subset (see Note 1)."),
         *UNPACKED,
     ],
     61: [SIMPLE, field("preprocess_param", "f4", "Pre-processing parameter (B) (IEEE 32-bit floating-point value).")],
@@ -335,7 +341,11 @@ PAYLOADS = {
             "ref_time",
             [
                 field("year", "u2", "Year (4 digits) - Reference time of data."),
-                *[field(n, "u1", f"{n.capitalize()} - Reference time of data.") for n in ("month", "day", "hour", "minute", "second")],
+                field("month", "u1", "Month - Reference time of data."),
+                field("day", "u1", "Day - Reference time of data."),
+                field("hour", "u1", "Hour - Reference time of data."),
+                field("minute", "u1", "Minute - Reference time of data."),
+                field("second", "u1", "Second - Reference time of data."),
             ],
         ),
         field("prod_status", "u1", "Production status of processed data in this GRIB message (see Code table 1.3)."),

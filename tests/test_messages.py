@@ -388,3 +388,62 @@ def test_streaming(spark, tmp_path):
         q.awaitTermination()
         (folder / "b.grib2").write_bytes(ONE)
     assert sorted((r.path.rpartition("/")[2], r["sub"]) for r in got) == [("a.grib2", 0), ("a.grib2", 1), ("b.grib2", 0)]
+
+
+def two_files(folder):
+    """Files with messages of several submessages, a local section, a bitmap and octets between messages."""
+    grid = E.section3(6, 0, {"earth": E.SPHERE, "lat_lon": E.lat_lon_grid((3, 2), (10.0, 0.0), (5.0, 20.0))})
+    field = lambda k: E.encode_field(np.array([1.0, np.nan, k, 4.5, 5.0, 6.0]), 1)
+    product = lambda k: E.section4(0, k, 1, k)
+    head, local = E.section1(2020, 1, 1), E.section(2, b"local")
+    one = E.single_message(0, head, local, grid, product(1), field(2.0))
+    many = E.multi_product_message(0, head, None, grid, [(product(k), field(float(k))) for k in range(3)])
+    both = E.multi_grid_message(0, head, local, [(grid, product(k), field(float(k))) for k in range(2)])
+    folder.mkdir()
+    (folder / "a b.grib2").write_bytes(one + b"between" + many)
+    (folder / "c.grib2").write_bytes(both + one)
+    (folder / "d.grib2.gz").write_bytes(gzip.compress(many))
+
+
+def test_seeking_reads_what_whole_files_give(spark, tmp_path):
+    two_files(tmp_path / "in")
+    seek, whole = frames.read(spark, str(tmp_path / "in" / "*")), frames.read_whole(spark, str(tmp_path / "in"))
+    subs = whole.submessages("all").drop("s6_offset", "s6_size")
+    windows = R.submessages(whole.sections("all"))
+    assert sorted(map(tuple, subs.select(*windows.columns).collect())) == sorted(map(tuple, windows.collect()))
+    assert seek.count() == whole.count() == 10
+    for f in (lambda g: g.layers().drop("s6_offset"), lambda g: g.values("0.0"), lambda g: g.points(where="number = 1"), lambda g: g.list(), lambda g: g.dump()):
+        assert sorted(map(str, f(seek).collect())) == sorted(map(str, f(whole).collect()))
+    assert seek.points(where="number = 1").count() == 6 * 5
+
+
+def test_reading_shuffles_nothing_and_leaves_data_behind(spark, tmp_path):
+    two_files(tmp_path / "in")
+    g = frames.read(spark, str(tmp_path / "in"))
+    plan = g.points(where="ft_value = 1")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert "content" not in plan
+    meta = g.submessages().select("p6", "p7").collect()
+    assert all(len(r.p6) == 6 and r.p7 is None for r in meta)
+
+
+def test_plain_numbers(spark):
+    x = np.array([7.9878316e-7, np.inf, -np.inf, np.nan, -0.0, 1e20, 0.1, 3, 16777216, -1.5e-40, 0.001], np.float32)
+    assert reports.shortest(x)[:9] == ["0.00000079878316", "inf", "-inf", "NaN", "-0", "100000000000000000000", "0.1", "3", "16777216"]
+    assert reports.shortest(x)[10] == "0.001"
+    assert np.array(reports.shortest(x)[9], np.float32) == x[9]
+    rows = spark.createDataFrame([(v,) for v in (1e-7, 85000.0, 0.25, -1.25e-5, 1.5e10, 1e7, 123456789.5, float("nan"), 0.0)], "v double")
+    assert [r[0] for r in rows.select(reports.number(F.col("v"))).collect()] == ["0.0000001", "85000", "0.25", "-0.0000125", "15000000000", "10000000", "123456789.5", "NaN", "0"]
+
+
+def test_colours_of_a_dump():
+    assert reports.colorized("##  SECTION 1") == "\x1b[33m\x1b[1m##  SECTION 1\x1b[0m"
+    assert reports.colorized("error: no") == "\x1b[31merror: no\x1b[0m"
+    assert reports.colorized("plain") == "plain"
+    assert reports.colorized("1-4       len = 21  // Length.") == "\x1b[32m1-4\x1b[0m\x1b[1m       len \x1b[0m\x1b[36m=\x1b[0m\x1b[35m\x1b[1m 21\x1b[0m\x1b[2m  // Length.\x1b[0m"
+
+
+def test_texts_of_matrix_packing():
+    texts = [part for f in wire.REPRESENTATIONS[1] for part in f if isinstance(part, str) and "coordinate values in functional form" in part]
+    assert [t.split(" dimension")[0] for t in texts] == ["Coefficients to define first", "Coefficients to define second"]
+    assert all("(IEEE 32-bit floating-point value)" in t for t in texts)

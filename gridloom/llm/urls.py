@@ -49,6 +49,36 @@ ALLOWED = (
     "https://code.example.org/projects/parser/readme",
     "https://school.example.net/teachers/resources/reading",
     "http://archive.example.edu/books/1890/travels",
+    "https://www.example.org/en/articles/birds-of-the-coast.html",
+    "https://docs.example.com/reference/parser/options",
+    "http://library.example.edu/books/catalog/1712",
+    "https://blog.example.net/2019/08/notes-on-gardening",
+    "https://fr.example.org/wiki/Histoire_de_la_peinture",
+    "https://news.example.com/science/2022/02/14/report-on-weather",
+    "http://www.example.edu/departments/history/courses/7",
+    "https://museum.example.org/exhibitions/paintings-and-drawings",
+    "https://www.example.net/reports/quarterly/2021.html",
+    "https://recipes.example.com/bread/rye-bread",
+    "https://journal.example.edu/science/vol3/paper12",
+    "http://m.example.com/fr/story/8841",
+    "https://forum.example.org/topic/311/reading-list-for-teachers",
+    "https://travel.example.net/guides/coast-and-islands/",
+    "https://www.example.edu/es/noticias/historia",
+    "https://www.example.com/fr/culture/musique",
+    "https://www.example.org/de/nachrichten/wissenschaft",
+    "http://archive.example.net/poetry/1820/letters",
+    "https://weather.example.com/region/coast/forecast",
+    "https://courses.example.org/maths/geometry/lectures/4",
+    "https://health.example.edu/guide/nutrition-and-sleep",
+    "https://code.example.com/docs/readme.html",
+    "https://school.example.org/teachers/lectures/physics",
+    "http://books.example.edu/archive/travels-in-the-north",
+    "https://www.example.net/en/wiki/Printing_press",
+    "https://guides.example.com/getting-started/garden",
+    "https://en.example.edu/history/of/mathematics",
+    "https://catalog.example.org/item/paintings/3391",
+    "https://story.example.com/archive/2015/06/election",
+    "https://physics.example.net/notes/lecture-9.html",
 )
 BLOCKED = (
     "http://casino-bonus.example.com/free-spins?ref=x",
@@ -75,6 +105,36 @@ BLOCKED = (
     "http://earn-money-fast.example.org/bitcoin/double",
     "http://escort.example.net/gallery/xxx",
     "http://sweepstakes.example.edu/claim/prize?ref=x",
+    "http://free-spins.example.org/casino/bonus?ref=q",
+    "http://lottery-winner.example.com/claim/cash-now",
+    "https://porn-videos.example.edu/watch/xxx/77",
+    "http://buy-viagra.example.net/cheap-pills/online",
+    "http://live-cams.example.org/adult/girls-now",
+    "http://crack-keygen.example.com/download/serial",
+    "http://online-casino.example.edu/poker/play-now",
+    "https://click.example.net/track?offer=8&aff=12",
+    "http://fast-loans.example.org/payday/apply-now",
+    "http://win-iphone.example.com/free/prize/claim",
+    "http://redirect.example.edu/ads/banner?utm_source=mail",
+    "http://dating-singles.example.net/hot/near-you",
+    "http://movies-download.example.org/torrent/full-hd",
+    "http://cheap-watches.example.com/replica/sale",
+    "http://jackpot-slots.example.edu/bet/casino",
+    "http://miracle-pills.example.net/weight-loss/buy-now",
+    "http://offer.example.org/click-here/win/redirect",
+    "http://xxx-tube.example.com/porn/video/9",
+    "http://bet-now.example.edu/betting/odds",
+    "http://serial-crack.example.net/warez/download",
+    "http://buy-backlinks.example.org/seo/cheap",
+    "http://double-bitcoin.example.com/earn/money-fast",
+    "http://adult-escort.example.edu/girls/gallery",
+    "http://claim-prize.example.net/sweepstakes/winner",
+    "http://casino-slots.example.com/free/jackpot",
+    "http://online-pills.example.org/cheap/buy",
+    "http://hot-girls.example.net/live/cams/xxx",
+    "http://cash-loans.example.edu/fast/apply",
+    "http://download-movies.example.com/free/full-hd",
+    "http://click-offer.example.org/aff/redirect?ref=z",
 )
 
 

@@ -7,6 +7,7 @@ with what the rules of packing say the values must be.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -15,8 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import codes, frames
-from ..bits import pack
-from ..errors import DecodeError, NotSupported
+from ..bits import pack, sint, unpack
+from ..errors import DecodeError, GribError, NotSupported
 from ..functions import octets as X
 from ..operators import decode, encode, grids
 from ..operators import relations as R
@@ -202,6 +203,55 @@ def undiff_second_order(spark, sf_dir):
     return differences(spark, sf_dir, 2)
 
 
+@query("""select user_id, row_number() over (partition by user_id order by event_id) - 1 as pt, round(value) + 0.0 as value from events""")
+def png_fields(spark, sf_dir):
+    """Images of one line of 16-bit samples."""
+
+    def field(values):
+        chunk = lambda name, body: len(body).to_bytes(4, "big") + name + body + zlib.crc32(name + body).to_bytes(4, "big")
+        head = len(values).to_bytes(4, "big") + (1).to_bytes(4, "big") + bytes([16, 0, 0, 0, 0])
+        image = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(b"\0" + pack(np.array(values, np.int64), 16))) + chunk(b"IEND", b"")
+        template = {"simple": {"ref_val": 0.0, "exp": 0, "dec": 0, "num_bits": 16}, "orig_field_type": 0}
+        return {"n": len(values), "s5": encode.section5(len(values), 41, template), "s6": encode.section(6, b"\xff"), "s7": encode.section(7, image)}
+
+    f = sinks.gathered(read(spark, sf_dir, "events").withColumn("v", F.round("value")), ["user_id"], "event_id", "v")
+    return decoded(f.select("user_id", applied(field, FIELD_KIND, FIELD_ARROW, values=F.col("values")).alias("f")), "user_id")
+
+
+@query("""select user_id, row_number() over (partition by user_id order by event_id) - 1 as pt, round(value) + 0.0 as value from events""")
+def ccsds_fields(spark, sf_dir):
+    """Blocks of eight 16-bit samples without compression."""
+
+    def field(values):
+        x = np.r_[np.array(values, np.int64), np.zeros(-len(values) % 8, np.int64)].reshape(-1, 8)
+        codes, widths = np.c_[np.full(len(x), 15), x].ravel(), np.tile([4, *[16] * 8], len(x))
+        template = {"simple": {"ref_val": 0.0, "exp": 0, "dec": 0, "num_bits": 16}, "orig_field_type": 0, "mask": 4, "block_size": 8, "ref_sample_interval": 128}
+        return {"n": len(values), "s5": encode.section5(len(values), 42, template), "s6": encode.section(6, b"\xff"), "s7": encode.section(7, encode.pack_each(codes, widths))}
+
+    f = sinks.gathered(read(spark, sf_dir, "events").withColumn("v", F.round("value")), ["user_id"], "event_id", "v")
+    return decoded(f.select("user_id", applied(field, FIELD_KIND, FIELD_ARROW, values=F.col("values")).alias("f")), "user_id")
+
+
+@query("""select s_suppkey, case when s_suppkey % 5 = 0 or s_suppkey % 3 = 2 then 'NotSupported' when s_suppkey % 7 = 3 then 'DecodeError' when s_suppkey % 2 = 1 then 'NotSupported' end as kind from supplier""")
+def decode_checks(spark, sf_dir):
+    """Fields that can't be decoded: unknown templates and bitmap indicators, integer originals, too few values."""
+
+    def kind(template, bitmap, original, missing):
+        n, body = 4, {"simple": {"ref_val": 0.0, "exp": 0, "dec": 0, "num_bits": 8}, "orig_field_type": original}
+        s5 = bytearray(encode.section5(n, 0, body))
+        if template:
+            s5[9:11] = (1234).to_bytes(2, "big")
+        try:
+            decode.decode_field(n + missing, bytes(s5), encode.section(6, bytes([254 if bitmap else 255])), encode.section(7, b"\1\2\3\4"))
+        except GribError as e:
+            return "DecodeError" if isinstance(e, DecodeError) else type(e).__name__
+        return None
+
+    k = F.col("s_suppkey")
+    made = applied(kind, "string", pa.string(), template=k % 5 == 0, bitmap=k % 3 == 2, original=(k % 2).cast("int"), missing=(k % 7 == 3).cast("int"))
+    return read(spark, sf_dir, "supplier").select("s_suppkey", made.alias("kind"))
+
+
 #: Points of small grids in all scanning modes, from the suppliers' keys.
 SHAPE = "(s_suppkey % 16) * 16 as mode, 3 + s_suppkey % 5 as ni, 2 + s_suppkey % 4 as nj"
 
@@ -278,6 +328,24 @@ def sign_magnitude(spark, sf_dir):
     return v.select("o_orderkey", "value", (X.to_sign_magnitude(F.col("value"), 8) == F.col("x")).alias("round_trip"))
 
 
+@query("""select c_nationkey, row_number() over (partition by c_nationkey order by c_custkey) - 1 as pt, cast(c_custkey % 1024 as bigint) as value from customer""")
+def bits_roundtrip(spark, sf_dir):
+    """Numbers of ten bits, written and read after some bits."""
+    f = sinks.gathered(read(spark, sf_dir, "customer").withColumn("v", F.col("c_custkey") % 1024), ["c_nationkey"], "c_custkey", "v")
+    back = applied(lambda values, offset: unpack(pack(np.array(values, np.int64), 10, offset), 10, len(values), offset).tolist(), "array<long>", FIRST_ARROW, values=F.col("values"), offset=F.col("c_nationkey") % 13)
+    return f.select("c_nationkey", F.posexplode(back).alias("pt", "value")).select("c_nationkey", big("pt"), "value")
+
+
+@query("""select o_orderkey, cast(1 + o_orderkey % 4 as bigint) as size, cast(case when o_orderkey % 3 = 0 then -(o_orderkey % 100) else o_orderkey % 100 end as bigint) as value from orders""")
+def signed_octets(spark, sf_dir):
+    """Signed numbers of one to four octets."""
+    k = F.col("o_orderkey")
+    size, value = 1 + k % 4, k % 100
+    octets = lambda size, value, minus: (value | (1 << 8 * size - 1 if minus else 0)).to_bytes(size, "big")
+    made = applied(lambda size, value, minus: sint(octets(size, value, minus), 0, size), "long", pa.int64(), size=size, value=value, minus=k % 3 == 0)
+    return read(spark, sf_dir, "orders").select("o_orderkey", size.alias("size"), made.alias("value"))
+
+
 @query("""select o_orderkey, o_orderkey as value from orders""")
 def octets_roundtrip(spark, sf_dir):
     """Numbers written as six big-endian octets and read back inside the JVM."""
@@ -485,14 +553,35 @@ def regular_latlon(spark, sf_dir):
     return flat.select(big("pt"), F.round(real("p.lat"), 4).alias("lat"), F.round(real("p.lon"), 4).alias("lon"))
 
 
-@query("""with s as (select s_suppkey, s_suppkey % 10 as shape, 6371 + s_suppkey % 7 as v from supplier)
-select s_suppkey, cast(case shape when 0 then 6367470.0 when 1 then v * 1000.0 when 2 then 6378160.0 when 3 then v * 1000.0 when 4 then 6378137.0 when 5 then 6378137.0 when 6 then 6371229.0 when 7 then v * 1.0 when 8 then 6371200.0 end as double) as major from s""")
+@query("""with s as (select s_suppkey, s_suppkey % 10 as shape, (6371 + s_suppkey % 7) * pow(10, s_suppkey % 3) as v, (6350 + s_suppkey % 5) * pow(10, s_suppkey % 2) as w from supplier)
+select s_suppkey, cast(case shape when 0 then 6367470.0 when 1 then v when 2 then 6378160.0 when 3 then v * 1000 when 4 then 6378137.0 when 5 then 6378137.0 when 6 then 6371229.0 when 7 then v when 8 then 6371200.0 end as double) as major,
+ cast(case shape when 0 then 6367470.0 when 1 then v when 2 then 6356775.0 when 3 then w * 1000 when 4 then 6356752.314 when 5 then 6356752.3142 when 6 then 6371229.0 when 7 then w when 8 then 6371200.0 end as double) as minor from s""")
 def earth_radii(spark, sf_dir):
+    def axes(shape, major, major_factor, minor, minor_factor):
+        scaled = lambda f, v: {"scale_factor": f, "scaled_value": v}
+        return grids.radii({"shape": shape, "spherical_earth_radius": scaled(major_factor, major), "major_axis": scaled(major_factor, major), "minor_axis": scaled(minor_factor, minor)})
+
     k = F.col("s_suppkey")
-    v = real(6371 + k % 7)
-    shape = (k % 10).cast("int")
-    given = F.when(shape.isin(1, 3), v * 1000).when(shape == 7, v)
-    return read(spark, sf_dir, "supplier").select("s_suppkey", F.coalesce(given, X.lookup(shape, {s: a for s, (a, _) in grids.RADII.items()})).alias("major"))
+    made = applied(axes, "array<double>", pa.list_(pa.float64()), shape=k % 10, major=6371 + k % 7, major_factor=k % 3, minor=6350 + k % 5, minor_factor=k % 2)
+    return read(spark, sf_dir, "supplier").select("s_suppkey", made.alias("x")).select("s_suppkey", F.col("x")[0].alias("major"), F.col("x")[1].alias("minor"))
+
+
+@query("""with g as (select s_suppkey, s_suppkey % 2 as up, s_suppkey % 3 as turn, s_suppkey % 5 as more from supplier)
+select s_suppkey, case when more = 4 then 'InvalidValue' when turn = 2 and up = 1 then null when turn <> 2 and up = 0 then null else 'InvalidValue' end as kind from g""")
+def grid_checks(spark, sf_dir):
+    """Latitudes that contradict the scanning mode, and numbers of points that aren't the grid's."""
+
+    def kind(up, turn, more):
+        first, last = (10.0, 30.0) if up else (30.0, 10.0)
+        g = encode.lat_lon_grid((3, 2), (first, 0.0), (last, 20.0)) | {"scanning_mode": 0x40 if turn == 2 else 0}
+        try:
+            grids.lat_lons(encode.section3(7 if more == 4 else 6, 0, {"earth": encode.SPHERE, "lat_lon": g}))
+        except GribError as e:
+            return type(e).__name__
+        return None
+
+    k = F.col("s_suppkey")
+    return read(spark, sf_dir, "supplier").select("s_suppkey", applied(kind, "string", pa.string(), up=k % 2, turn=k % 3, more=k % 5).alias("kind"))
 
 
 # ---- Sections and submessages (A, F1, F7, F9, G3) ----
@@ -744,10 +833,19 @@ def info_blocks(spark, sf_dir):
     return embedded(spark, sf_dir).info().select(big("path").alias("vec_id"), "text")
 
 
-@query()
+@query(f"""with {LENGTHS} select vec_id, cast(21 as bigint) as len1, cast(2020 as bigint) as year, cast(18 as bigint) as hour, cast(64 as bigint) as num_points, cast(8 as bigint) as ni, cast(70000000 as bigint) as last_lon, cast(label % 4 as bigint) as category,
+ cast(vec_id % 24 as bigint) as forecast, cast(100 * (vec_id % 10) as bigint) as surface, cast(-127 as bigint) as none, cast(r as double) as ref_val, cast(3 as bigint) as "dec", bits as num_bits, cast(255 as bigint) as bitmap from l""")
 def typed_sections(spark, sf_dir):
+    """Fields of Sections 1, 3, 4, 5 and 6 by their names."""
     subs = embedded(spark, sf_dir).submessages()
-    return subs.select("path", *[R.typed(F.col(f"p{k}"), k).alias(f"section{k}") for k in (1, 3, 4, 5)])
+    typed = subs.select(big("path").alias("vec_id"), *[R.typed(F.col(f"p{k}"), k).alias(f"section{k}") for k in (1, 3, 4, 5, 6)])
+    wanted = (
+        ("len1", 1, "header.len"), ("year", 1, "payload.ref_time.year"), ("hour", 1, "payload.ref_time.hour"), ("num_points", 3, "payload.num_points"), ("ni", 3, "payload.template.lat_lon.grid.ni"),
+        ("last_lon", 3, "payload.template.lat_lon.grid.last_point_lon"), ("category", 4, "payload.template.param.category"), ("forecast", 4, "payload.template.forecast_time.time.len"),
+        ("surface", 4, "payload.template.horizontal.first_surface.value.scaled_value"), ("none", 4, "payload.template.horizontal.second_surface.value.scale_factor"), ("ref_val", 5, "payload.template.simple.ref_val"),
+        ("dec", 5, "payload.template.simple.dec"), ("num_bits", 5, "payload.template.simple.num_bits"), ("bitmap", 6, "payload.bitmap_indicator"),
+    )
+    return typed.select("vec_id", *[F.get_json_object(f"section{k}", f"$.{path}").cast("double" if name == "ref_val" else "bigint").alias(name) for name, k, path in wanted])
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ import gzip
 import io
 import lzma
 from collections.abc import Iterator
+from fnmatch import fnmatchcase
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -197,6 +198,11 @@ class GribFiles(DataSource):
         return GribReader(dict(self.options))
 
 
+def matches(path: list[str], pattern: list[str]) -> bool:
+    """Whether the names of a path are those of a pattern, one by one."""
+    return len(path) == len(pattern) and all(map(fnmatchcase, path, pattern))
+
+
 class GribReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
@@ -213,9 +219,17 @@ class GribReader(DataSourceReader):
 
         system, path = self.opened(self.path)
         info = system.get_file_info(path)
-        if info.type == fs.FileType.NotFound:
+        if info.type == fs.FileType.NotFound and any(c in path for c in "*?["):  # a pattern: what lies below the last plain folder
+            parts = path.split("/")
+            plain = next(i for i, p in enumerate(parts) if any(c in p for c in "*?["))
+            below = system.get_file_info(fs.FileSelector("/".join(parts[:plain]) or "/", recursive=True, allow_not_found=True))
+            found = sorted((f for f in below if f.is_file and matches(f.path.split("/"), parts)), key=lambda f: f.path)
+            if not found:
+                raise FileNotFoundError(self.path)
+        elif info.type == fs.FileType.NotFound:
             raise FileNotFoundError(self.path)
-        found = [info] if info.is_file else sorted((f for f in system.get_file_info(fs.FileSelector(path, recursive=True)) if f.is_file), key=lambda f: f.path)
+        else:
+            found = [info] if info.is_file else sorted((f for f in system.get_file_info(fs.FileSelector(path, recursive=True)) if f.is_file), key=lambda f: f.path)
         out = []
         for f in found:
             if self.split and f.size > self.split and not f.path.endswith((".gz", ".xz")):

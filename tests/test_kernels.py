@@ -187,6 +187,22 @@ def test_png(bits_, depth, colour, octets):
         decode.png_pixels(b"no image")
 
 
+@pytest.mark.parametrize(("wide", "high", "depth"), [(5, 7, 8), (1, 1, 8), (16, 9, 16), (11, 3, 4), (3, 20, 1)])
+def test_interlaced_png(wide, high, depth):
+    """Seven passes of an image, written by the definition of their pixels."""
+    x = np.random.default_rng(wide).integers(0, 1 << depth, (high, wide))
+    passes = [[x[r, c] for c in range(wide)] for r in range(high)]
+    raw = b""
+    for first, top, right, down in ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)):
+        for r in range(top, high, down):
+            line = [passes[r][c] for c in range(first, wide, right)]
+            raw += b"\0" + bits.pack(np.array(line), depth) if line else b""
+    chunk = lambda name, body: len(body).to_bytes(4, "big") + name + body + zlib.crc32(name + body).to_bytes(4, "big")
+    head = wide.to_bytes(4, "big") + high.to_bytes(4, "big") + bytes([depth, 0, 0, 0, 1])
+    got = decode.png_pixels(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+    assert got == b"".join(bits.pack(row, depth) for row in x)
+
+
 @pytest.mark.parametrize("width", [1, 3, 4, 8, 12, 16, 20, 32])
 @pytest.mark.parametrize("mask", [0, 8, 8 | 4, 8 | 32, 8 | 16, 8 | 1])
 def test_aec(width, mask):

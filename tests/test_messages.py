@@ -427,6 +427,15 @@ def test_reading_shuffles_nothing_and_leaves_data_behind(spark, tmp_path):
     assert all(len(r.p6) == 6 and r.p7 is None for r in meta)
 
 
+def test_patterns_of_the_data_source(spark, tmp_path):
+    two_files(tmp_path / "in")
+    grib.register(spark)
+    load = lambda p: spark.read.format("grib2").option("payload", "none").load(str(tmp_path / p)).where("num = 0").count()
+    assert (load("in"), load("in/*.grib2"), load("*/c.gr?b2"), load("in/d.grib2.gz")) == (5, 4, 2, 1)
+    with pytest.raises(Exception, match="no\\*"):
+        load("in/no*")
+
+
 def test_plain_numbers(spark):
     x = np.array([7.9878316e-7, np.inf, -np.inf, np.nan, -0.0, 1e20, 0.1, 3, 16777216, -1.5e-40, 0.001], np.float32)
     assert reports.shortest(x)[:9] == ["0.00000079878316", "inf", "-inf", "NaN", "-0", "100000000000000000000", "0.1", "3", "16777216"]

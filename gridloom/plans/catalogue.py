@@ -767,8 +767,8 @@ t as (select *, cast(x as varchar) as c from q), d as (select *, replace(regexp_
 f as (select *, case when e < 0 then concat(case when c[1] = '-' then '-' else '' end, '0.', repeat('0', -e - 1), digits) else regexp_replace(c, '[.]0$', '') end as value from d)
 select vec_id, cast(pt as bigint) as pt, concat(lpad(printf('%.6f', 70 - 10.0 * (pt // 8)), 10, ' '), ' ', lpad(printf('%.6f', 10.0 * (pt % 8)), 11, ' '), ' ', case when length(value) < 9 then lpad(value, 9, ' ') else value end) as text from f""")
 def text_export(spark, sf_dir):
-    """Whole lines: latitude, longitude and value."""
-    lines = reports.point_lines(embedded(spark, sf_dir).points())
+    """Whole lines: latitude, longitude and value; one half way between two shortest texts in full, as SQL's engine writes it."""
+    lines = reports.point_lines(embedded(spark, sf_dir).points(), ties="exact")
     return lines.select(big("path").alias("vec_id"), "pt", "text")
 
 

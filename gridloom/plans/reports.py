@@ -49,17 +49,29 @@ def number(v: Column) -> Column:
     return F.when(F.isnan(v), "NaN").otherwise(plain(v))
 
 
-def shortest(x: np.ndarray) -> list[str]:
-    """The fewest digits that tell a float from its neighbours, without an exponent."""
+def shortest(x: np.ndarray, ties: str = "even") -> list[str]:
+    """The fewest digits that tell a float from its neighbours, without an exponent.
+
+    Half way between two such texts, the one with the even digit; with ``ties="exact"`` the float's own value, which has one
+    digit more.
+    """
     out = x.astype(str).tolist()
     out = [np.format_float_positional(x[i], unique=True) if "e" in t else t for i, t in enumerate(out)]
-    return ["NaN" if t == "nan" else t.removesuffix(".0").removesuffix(".") for t in out]
+    out = ["NaN" if t == "nan" else t.removesuffix(".0").removesuffix(".") for t in out]
+    if ties == "exact":
+        wide = x.astype(np.float64)
+        # an odd number of 2^-j has j decimals; with more than 14 it has over 10 digits, and a float's text has at most 9
+        for i in np.flatnonzero(np.isfinite(wide) & (wide * 2.0**14 == np.floor(wide * 2.0**14))).tolist():
+            decimals = len(out[i].partition(".")[2])
+            if abs(wide[i]) * 2.0 ** (decimals + 1) % 2 == 1:
+                out[i] = np.format_float_positional(wide[i], unique=True, trim="-")
+    return out
 
 
-def shortest_text(value: Column) -> Column:
+def shortest_text(value: Column, ties: str = "even") -> Column:
     @F.arrow_udf("string")
     def run(values: pa.Array) -> pa.Array:
-        return pa.array(shortest(values.to_numpy(zero_copy_only=False).astype(np.float32)), pa.string())
+        return pa.array(shortest(values.to_numpy(zero_copy_only=False).astype(np.float32), ties), pa.string())
 
     return run(value)
 
@@ -161,10 +173,13 @@ def template_list(sections: DataFrame, table: DataFrame) -> DataFrame:
     return t.select("num", "template_num", F.concat(left(name, 8), F.lit(" - "), F.coalesce("description", codes.missing_text(F.col("template_num")))).alias("text")).orderBy("num", "template_num")
 
 
-def point_lines(points: DataFrame) -> DataFrame:
-    """(path, msg, sub, pt, text): points as lines of latitude, longitude and value (B1); NaN where the grid isn't known."""
+def point_lines(points: DataFrame, ties: str = "even") -> DataFrame:
+    """(path, msg, sub, pt, text): points as lines of latitude, longitude and value (B1); NaN where the grid isn't known.
+
+    ``ties``: values half way between two shortest texts, see ``shortest``.
+    """
     fixed = lambda c: F.when(F.isnan(c) | c.isNull(), "NaN").otherwise(F.format_string("%.6f", c.cast("double")))
-    value = F.coalesce(shortest_text(F.col("value")), F.lit("NaN"))
+    value = F.coalesce(shortest_text(F.col("value"), ties), F.lit("NaN"))
     line = F.concat(right(fixed(F.col("lat")), 10), F.lit(" "), right(fixed(F.col("lon")), 11), F.lit(" "), right(value, 9))
     return points.select(*R.KEYS, "pt", line.alias("text"))
 

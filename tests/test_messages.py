@@ -445,6 +445,13 @@ def test_plain_numbers(spark):
     assert [r[0] for r in rows.select(reports.number(F.col("v"))).collect()] == ["0.0000001", "85000", "0.25", "-0.0000125", "15000000000", "10000000", "123456789.5", "NaN", "0"]
 
 
+def test_half_way_between_two_texts():
+    x = np.array([1.19921875, -0.439453125, 2**-12, 285.015625, 2**-13, 0.5, 0.1, -0.0, np.nan, -np.inf, 1e20], np.float32)
+    near = ["1.1992188", "-0.43945312", "0.00024414062", "285.01562", "0.00012207031", "0.5", "0.1", "-0", "NaN", "-inf", "100000000000000000000"]
+    assert reports.shortest(x) == near
+    assert reports.shortest(x, "exact") == ["1.19921875", "-0.439453125", "0.000244140625", "285.015625", *near[4:]]
+
+
 def test_colours_of_a_dump():
     assert reports.colorized("##  SECTION 1") == "\x1b[33m\x1b[1m##  SECTION 1\x1b[0m"
     assert reports.colorized("error: no") == "\x1b[31merror: no\x1b[0m"
